@@ -14,22 +14,32 @@ from __future__ import annotations
 
 import base64
 import json
-import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import char_class, library_memo
+
 #: How text is split before merging; fixed by the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Unicode's white space.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 PIECE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
-#: Distinct pieces kept by one worker.
-MEMO = 400_000
+# The pattern spelled out for texts of characters below U+0250 and of common punctuation.
+_LETTER = char_class(lambda c: unicodedata.category(c)[0] == "L")
+_NUMBER = char_class(lambda c: unicodedata.category(c)[0] == "N")
+_KNOWN = "\x00-\u024f\u2010-\u2027\u2030-\u205e"
+OTHERS = re.compile(f"[^{_KNOWN}]")
+PLAIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{SPACE}{_LETTER}{_NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+
+
+def cut_text(text: str) -> list[str]:
+    """Pieces that are encoded independently."""
+    return (PIECE if OTHERS.search(text) else PLAIN).findall(text)
 
 
 def byte_characters() -> list[str]:
@@ -72,43 +82,25 @@ def library_json(ranks: dict[bytes, int]) -> str:
     })
 
 
-class Memo(dict):
-    """Piece -> its ids as little-endian 32-bit bytes, encoded on first sight."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.encode = tokenizer.encode
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        out = self[piece] = np.array(self.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        return out
-
-
 class Codec:
     def __init__(self, description: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(description)
-        self.memo = Memo(self.tokenizer)
+        self.memo = library_memo(description)
+        self.tokenizer = self.memo.tokenizer
         back = {c: b for b, c in enumerate(byte_characters())}
         vocab = self.tokenizer.get_vocab()
         self.table = [b""] * (max(vocab.values(), default=-1) + 1)
         for token, i in vocab.items():
             self.table[i] = bytes(back[c] for c in token)
 
-    def encode(self, text: str) -> bytes:
-        memo = self.memo
-        return b"".join([memo[p] for p in PIECE.findall(text)])
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self.memo.joined([cut_text(t) for t in texts], "")
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """Span of characters of each token; a token that ends inside a character covers all of it."""
         return self.tokenizer.encode(text, add_special_tokens=False).offsets
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.table.__getitem__, memoryview(ids).cast("I")))
+        return b"".join([self.table[i] for i in memoryview(ids).cast("I")])
 
 
 _CODECS: dict[str, Codec] = {}
@@ -122,11 +114,6 @@ def codec(description: str) -> Codec:
     return _CODECS[description]
 
 
-def _pieces(column: pa.Array, rows: int = 256):
-    for at in range(0, len(column), rows):
-        yield column.slice(at, rows)
-
-
 def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit) and, on demand, spans (array of start and end in characters)."""
     held = df.sparkSession.sparkContext.broadcast(library_json(read_ranks(ranks_path)))  # of the vocabulary's size
@@ -134,10 +121,10 @@ def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(held.value)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                columns = [part.column(0), pa.array([c.encode(t) for t in texts], pa.binary())]
+                columns = [part.column(0), pa.array(c.encode(texts), pa.binary())]
                 if offsets:
                     columns.append(pa.array([[{"start": s, "end": e} for s, e in c.offsets(t)] for t in texts], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "spans"][: len(columns)])
@@ -153,8 +140,8 @@ def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(held.value)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
                 out = pa.array([c.decode(x or b"") for x in part.column(1).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), out], ["doc_id", "ids", "decoded"])
 

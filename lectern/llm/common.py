@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +46,62 @@ def ascii_lower(c: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def library_memo(description: str, ordinary: bool = True, most: int = 800_000):
+    """Piece of text -> its ids as little-endian 32-bit bytes, by the tokenizers library; at most `most` pieces are kept."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(description)
+    tokenizer.encode_special_tokens = ordinary
+    return PieceMemo(tokenizer, most)
+
+
+class PieceMemo(dict):
+    """The pieces seen of late. New ones are encoded together: a run of pieces that the library would cut apart by itself is
+    handed over as one text, and cut by the library's count of words."""
+
+    def __init__(self, tokenizer, most: int):
+        super().__init__()
+        self.tokenizer, self.most, self.before = tokenizer, most, {}
+
+    def learn(self, texts: list[list[str]], joiner: str | None) -> None:
+        if len(self) > self.most // 2:
+            self.before = dict(self)
+            self.clear()
+        new, before = [], self.before
+        for p in set().union(*texts) - self.keys():
+            if p in before:
+                self[p] = before[p]
+            else:
+                new.append(p)
+        # Pieces that can stand in a row: with "" between, those that begin with a space.
+        alone = [p for p in new if joiner is None or (not joiner and p[:1] != " ")]
+        row = [p for p in new if not (joiner is None or (not joiner and p[:1] != " "))]
+        for at in range(0, len(row), 512):
+            part = row[at : at + 512]
+            e = self.tokenizer.encode(joiner.join(part), add_special_tokens=False)
+            words, ids = np.array(e.word_ids, np.int64), np.array(e.ids, "<u4")
+            edges = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+            if len(edges) == len(part):
+                cuts = [*(edges * 4).tolist(), len(ids) * 4]
+                data = ids.tobytes()
+                for k, p in enumerate(part):
+                    self[p] = data[cuts[k] : cuts[k + 1]]
+            else:
+                alone += part
+        for at in range(0, len(alone), 4096):
+            part = alone[at : at + 4096]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self[p] = np.array(e.ids, "<u4").tobytes()
+
+    def joined(self, texts: list[list[str]], joiner: str | None = None) -> list[bytes]:
+        """The ids of texts cut into pieces. joiner: what may stand between two pieces without changing either; None: nothing."""
+        self.learn(texts, joiner)
+        return [b"".join([self[p] for p in t]) for t in texts]
+
+
+def char_class(wanted: Callable[[str], bool], end: int = 0x250) -> str:
+    """The characters below `end` that are wanted, as they stand inside brackets in a pattern."""
+    return "".join(re.escape(chr(c)) for c in range(end) if wanted(chr(c)))

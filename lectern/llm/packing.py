@@ -22,9 +22,9 @@ empty result. Only the two named columns are read.
 from __future__ import annotations
 
 import bisect
-import os
 import re
 import sys
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -35,46 +35,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import PieceMemo, char_class, library_memo, written
 
-#: Distinct words kept by one worker.
-MEMO = 400_000
+#: Nodes of the search tree that are looked at; each costs a best fit over the counts.
+MOST_NODES = 300
 #: Where the tokenizer always starts a new word, whatever stands beside.
 GAPS = re.compile("[ \n\r\t]+")
+# Letters and signs below U+0250 whose composition is plain and whose lower case is one character: the tokenizer's own
+# split is spelled out for texts of these, so that a word costs a lookup whatever punctuation it touches.
+_PLAIN = [c for c in map(chr, range(0x250)) if len(c.lower()) == 1 and ord(c.lower()) < 0x250 and unicodedata.is_normalized("NFC", c)]
+_LETTER = char_class(lambda c: unicodedata.category(c)[0] == "L")
+_NUMBER = char_class(lambda c: unicodedata.category(c)[0] == "N")
+_SPACE = "\t-\r \x85\xa0"
+OTHERS = re.compile(f"[^{''.join(map(re.escape, _PLAIN))}]")
+WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 
 
-class WordMemo(dict):
-    """Word -> its ids as little-endian 32-bit bytes."""
+def cut_text(text: str) -> list[str]:
+    """Pieces that the tokenizer encodes independently."""
+    return GAPS.split(text) if OTHERS.search(text) else WORDS.findall(text.lower())
 
-    def __init__(self, description: str):
-        super().__init__()
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(description)
-        self.tokenizer.encode_special_tokens = True
+_MEMOS: dict[str, PieceMemo] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        out = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return out
 
-
-_MEMOS: dict[str, WordMemo] = {}
-
-
-def word_memo(description: str) -> WordMemo:
+def word_memo(description: str) -> PieceMemo:
+    """One a worker process."""
     if description not in _MEMOS:
         _MEMOS.clear()
-        _MEMOS[description] = WordMemo(description)
+        _MEMOS[description] = library_memo(description)
     return _MEMOS[description]
 
 
-def token_ids(text: str, memo: WordMemo) -> bytes:
-    return b"".join([memo[w] for w in GAPS.split(text)])
-
-
 def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, on demand, ids (little-endian 32-bit)."""
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -87,11 +79,11 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids]
         for b in batches:
-            for at in range(0, b.num_rows, 512):
+            for at in range(0, b.num_rows, 256):
                 rows = []
-                part = b.slice(at, 512)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = token_ids(text or "", memo) + end
+                part = b.slice(at, 256)
+                for doc, ids in zip(part.column(0).to_pylist(), memo.joined([cut_text(t or "") for t in part.column(1).to_pylist()], " "), strict=True):
+                    ids += end
                     for k, s in enumerate(range(0, len(ids), step)):
                         cut = ids[s : s + step]
                         rows.append((doc, k, s // 4, len(cut) // 4, zlib.crc32(cut), *[cut] * with_ids))
@@ -114,17 +106,15 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     if not len(lengths):
         return 0
     n = np.array([counts[int(x)] for x in lengths], dtype=np.int64)
-    best = -(-int((lengths * n).sum()) // capacity)
-    half = capacity // 2
-    big = lengths > half
-    for t in {1, *(int(x) for x in lengths if x <= half)}:
-        alone = lengths > capacity - t
-        mid = big & ~alone
-        small = (lengths >= t) & ~big
-        free = int((capacity * n[mid] - lengths[mid] * n[mid]).sum())
-        over = int((lengths[small] * n[small]).sum()) - free
-        best = max(best, int(n[alone].sum()) + int(n[mid].sum()) + max(0, -(-over // capacity)))
-    return best
+    # Sums over the lengths from each place on.
+    number, tokens = (np.r_[np.cumsum(v[::-1])[::-1], 0] for v in (n, n * lengths))
+    half = int(np.searchsorted(lengths, capacity // 2, side="right"))
+    t = np.arange(half)
+    alone = np.maximum(np.searchsorted(lengths, capacity - lengths[t], side="right"), half)
+    mid = number[half] - number[alone]
+    free = capacity * mid - (tokens[half] - tokens[alone])
+    over = np.maximum(0, -(-(tokens[t] - tokens[half] - free) // capacity))
+    return int(max([-(-int(tokens[0]) // capacity), int(number[half]), *(number[alone] + mid + over)]))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Counter[Filling]:
@@ -171,39 +161,38 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter[Filling]:
 
 
 def fillings(lengths: list[int], counts: dict[int, int], room: int, limit: int) -> list[Filling]:
-    """Undominated sets of lengths (longest first) for the room, fullest first; at most `limit` are looked at in one enumeration.
-    A set is dominated if a left-out piece fits into the room that stays, or can take the place of a shorter one."""
-    found: list[Filling] = []
-    seen = 0
+    """Undominated sets of lengths (longest first) for the room, fullest first. A set is dominated if a left-out piece fits into the
+    room that stays, or can take the place of a shorter one. The enumeration ends after `limit` sets or 50 times as many steps."""
+    found: set[Filling] = set()
+    ascending = lengths[::-1]
+    steps = 0
 
     def dominated(chosen: list[int], waste: int) -> bool:
         used = Counter(chosen)
-        for x in lengths:
-            if counts[x] - used[x] <= 0:
-                continue
-            if x <= waste or any(y < x <= y + waste for y in used):
-                return True
+        # Only lengths up to `waste` above a chosen one, or up to it, can dominate.
+        for low, high in [(0, waste), *((y, y + waste) for y in used)]:
+            for x in ascending[bisect.bisect_right(ascending, low) : bisect.bisect_right(ascending, high)]:
+                if counts[x] > used[x]:
+                    return True
         return False
 
-    def go(at: int, chosen: list[int], left: int):
-        nonlocal seen
-        seen += 1
-        if seen > limit:
-            return
-        at = next((i for i in range(at, len(lengths)) if lengths[i] <= left), len(lengths))
-        if at == len(lengths) or left == 0:
-            if not dominated(chosen, left):
-                found.append(tuple(chosen))
+    def go(end: int, chosen: list[int], left: int):
+        """ascending[:end] may still be chosen from."""
+        nonlocal steps
+        steps += 1
+        end = min(end, bisect.bisect_right(ascending, left))
+        if not end:
+            if not left or not dominated(chosen, left):
+                found.add(tuple(chosen))
             return
-        x = lengths[at]
-        most = min(counts[x], left // x)
-        for k in range(most, -1, -1):
-            go(at + 1, chosen + [x] * k, left - x * k)
-            if seen > limit:
+        x = ascending[end - 1]
+        for k in range(min(counts[x], left // x), -1, -1):
+            if len(found) >= limit or steps >= 50 * limit:
                 return
+            go(end - 1, chosen + [x] * k, left - x * k)
 
-    go(0, [], room)
-    return sorted(set(found), key=lambda f: (-sum(f), [-x for x in f]))
+    go(len(ascending), [], room)
+    return sorted(found, key=lambda f: (-sum(f), [-x for x in f]))
 
 
 @dataclass
@@ -217,7 +206,7 @@ class Packing:
         return sum(self.plan.values())
 
 
-def pack_counts(counts: dict[int, int], capacity: int, max_nodes: int = 20_000, max_fillings: int = 2_000) -> Packing:
+def pack_counts(counts: dict[int, int], capacity: int, max_nodes: int = MOST_NODES, max_fillings: int = 200) -> Packing:
     counts = {x: n for x, n in counts.items() if n > 0}
     bound = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
@@ -292,7 +281,7 @@ class Places:
         return first[at] + ranks - starts[at], offset[at]
 
 
-def best_fit_pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False, max_nodes: int = 20_000) -> DataFrame:
+def best_fit_pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False, max_nodes: int = MOST_NODES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids on demand): one row a piece."""
     spark = df.sparkSession
     cut = pieces(df, tokenizer_path, id_col, text_col, capacity, end_id, with_ids)
