@@ -5,19 +5,48 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup
+from lectern.llm import exact_dedup, language, packing, simhash, suffix_dedup
 from lectern.llm.common import scratch_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language can be told go; the others stay as they are."""
+    return language.known_language(docs)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the longest original stays, then the smallest id."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts whose shingles of five words are alike by four fifths, the smallest id stays."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes or more that an earlier document holds are cut out; every document stays, if only with an empty text."""
+    return suffix_dedup.without_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document, with its ids, its sequence and its place there."""
+    return packing.best_fit_pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("exact_dedup", exact),
+    ("simhash_near_dedup", near),
+    ("suffix_dedup", passages),
+    ("best_fit_packing", pack),
+]
+#: The stages are not a matter of SQL; tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 
