@@ -1,10 +1,10 @@
 """Exact top-k by integer inner product, over an impact-ordered score-at-a-time index.
 
-Components are quantised to floor(64 x). A portion of the vectors is indexed by component: postings lie in the order of the size of the
-quantised value, so that runs of equal values are segments of equal impact. A query takes segments of all its components by
-descending impact |q_j v_j| and adds each to its vectors' accumulators: the score so far, and what is left of both norms.
-By Cauchy and Schwarz a vector's score is at most the score so far plus the product of the norms that are left. Whatever cannot
-reach the query's threshold is out by proof; once few are left, these possible members are scored exactly. The
+Components are quantised to floor(64 x). A portion of the vectors is indexed by component: postings are grouped into segments by the
+quantised size of their impact, the largest first. A block of queries takes one segment after the other, for all
+components at once, and adds it to its accumulators: the scores so far, and what is left of both norms beyond the postings seen.
+By Cauchy and Schwarz a vector's score is at most the score so far plus the product of the norms that are left. A vector that cannot
+reach the query's threshold is out by proof; a query of which few are left stops, and these possible members are scored exactly. The
 threshold is the k-th best exact score among the query's fellow queries, which are candidates too, so it is never too high.
 
 Queries go out in blocks of bounded size; each block is held against all vectors, and every portion answers with at most k of its members,
@@ -30,8 +30,10 @@ from .common import scratch_dir, written
 SCALE = 64
 #: Vectors in one index, queries in one block.
 PORTION, BLOCK = 1 << 14, 1 << 13
-#: Impacts, as parts of the largest, down to which segments are taken before the bounds are looked at again.
-STAGES = (0.3, 0.15, 0.07, 0.03, 0.0)
+#: Parts of the postings that have been seen after each segment.
+SEGMENTS = (0.25, 0.5, 0.75, 1.0)
+#: Queries that go through the segments together.
+TOGETHER = 256
 #: Part of the vectors that may be left when they are scored exactly.
 FEW = 1 / 16
 
@@ -50,54 +52,53 @@ class Index:
         """vectors: n x d whole numbers."""
         self.ids, self.vectors = ids, vectors.astype(np.float64)
         size = np.abs(vectors)
-        n, d = vectors.shape
-        order = np.argsort(-size, axis=0, kind="stable")
-        # Postings of component j: places j n to (j + 1) n, the largest first.
-        self.at = np.ascontiguousarray(order.T).reshape(-1)
-        self.value = np.ascontiguousarray(np.take_along_axis(self.vectors, order, axis=0).T).reshape(-1)
-        sizes = np.abs(self.value)
-        self.step = float(sizes.max(initial=0)) + 1
-        # Ascending over all components, so one search finds a place in each.
-        self.key = np.repeat(np.arange(d), n) * (2 * self.step) + (self.step - sizes)
-        self.first = np.arange(d) * n
-        self.norm = (self.vectors**2).sum(axis=1)
-        self.top = sizes.reshape(d, n)[:, 0] if n else np.zeros(d)
-
-    def search(self, query_id: int, query: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best k of this index that reach the threshold."""
-        n, d = self.vectors.shape
-        q = query.astype(np.float64)
-        possible = np.arange(n)
-        if np.isfinite(threshold) and n and d:
-            weight = np.abs(q)
-            most = float((weight * self.top).max(initial=0))
-            score, left_q, left_v = np.zeros(n), np.full(n, float((q**2).sum())), self.norm.copy()
-            done = self.first.copy()
-            live = weight > 0
-            for part in STAGES:
-                # Down to this size, in each component, the impact is at least part * most.
-                least = np.full(d, self.step)
-                least[live] = np.minimum(np.ceil(part * most / weight[live]), self.step)
-                upto = np.searchsorted(self.key, np.arange(d) * (2 * self.step) + self.step - least, side="right")
-                upto = np.maximum(np.where(live, upto, done), done)
-                lengths = upto - done
-                if total := int(lengths.sum()):
-                    at = np.repeat(done - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(total)
-                    vector, value, own = self.at[at], self.value[at], np.repeat(q, lengths)
-                    score += np.bincount(vector, own * value, n)
-                    left_q -= np.bincount(vector, own * own, n)
-                    left_v -= np.bincount(vector, value * value, n)
-                done = upto
-                bound = score + np.sqrt(np.maximum(left_q, 0) * np.maximum(left_v, 0))
-                possible = np.flatnonzero(bound >= threshold - 1e-3)
-                if len(possible) <= max(2 * k, n * FEW):
-                    break
-        ids = self.ids[possible]
-        scores = self.vectors[possible] @ q
-        own = (ids != query_id) & (scores >= threshold)
-        ids, scores = ids[own], scores[own]
+        ranked = np.sort(size, axis=None)
+        n = len(ranked)
+        # Least impacts of the segments; equal impacts never lie in two.
+        floors = sorted({int(ranked[max(0, n - int(np.ceil(n * part)))]) for part in SEGMENTS}, reverse=True) if n else []
+        norm = (self.vectors**2).sum(axis=1)
+        self.segments = []
+        upper = None
+        for low in floors:
+            own = size >= low if upper is None else (size >= low) & (size < upper)
+            values = np.where(own, self.vectors, 0.0)
+            norm = norm - (values**2).sum(axis=1)
+            # The postings of the segment, which components they are of, and what stays of each vector's norm.
+            self.segments.append((values, own.astype(np.float64), norm))
+            upper = low
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, thresholds: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each query the ids and scores of the best k of this index that reach its threshold."""
+        for s in range(0, len(query_ids), TOGETHER):
+            yield from self._block(query_ids[s : s + TOGETHER], queries[s : s + TOGETHER].astype(np.float64), thresholds[s : s + TOGETHER], k)
+
+    def _block(self, query_ids: np.ndarray, queries: np.ndarray, thresholds: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        n = len(self.ids)
+        few = max(2 * k, int(n * FEW))
+        live = np.arange(len(query_ids))
+        score, unseen = np.zeros((len(live), n)), np.repeat((queries**2).sum(axis=1)[:, None], n, axis=1)
+        for depth, (values, own, left) in enumerate(self.segments):
+            q = queries[live]
+            score += q @ values.T
+            unseen -= q**2 @ own.T
+            bound = score + np.sqrt(np.maximum(unseen, 0) * np.maximum(left, 0))
+            possible = bound >= thresholds[live, None] - 1e-3
+            done = (possible.sum(axis=1) <= few) | (depth == len(self.segments) - 1)
+            for i in np.flatnonzero(done):
+                at = np.flatnonzero(possible[i])
+                yield self._exact(int(query_ids[live[i]]), queries[live[i]], float(thresholds[live[i]]), at, k)
+            live, score, unseen = live[~done], score[~done], unseen[~done]
+            if not len(live):
+                return
+        for i in live:  # no segments: vectors without components
+            yield self._exact(int(query_ids[i]), queries[i], float(thresholds[i]), np.arange(n), k)
+
+    def _exact(self, query_id: int, query: np.ndarray, threshold: float, at: np.ndarray, k: int) -> tuple[int, np.ndarray, np.ndarray]:
+        ids, scores = self.ids[at], self.vectors[at] @ query
+        fit = (ids != query_id) & (scores >= threshold)
+        ids, scores = ids[fit], scores[fit]
         best = np.lexsort((ids, -scores))[:k]
-        return ids[best], scores[best].astype(np.int64)
+        return query_id, ids[best], scores[best].astype(np.int64)
 
 
 def thresholds(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
@@ -123,8 +124,7 @@ def _portion(held, k: int):
             if size not in queries:
                 continue
             index = Index(np.array([ids[i] for i in own], np.int64), np.array([vectors[i] for i in own], np.int64).reshape(len(own), size))
-            for query_id, query, threshold in zip(*queries[size], strict=True):
-                found, scores = index.search(int(query_id), query, float(threshold), k)
+            for query_id, found, scores in index.search(*queries[size], k):
                 out.append((np.full(len(found), query_id, np.int64), found, scores))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
