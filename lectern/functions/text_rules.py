@@ -44,6 +44,7 @@ class Rule:
     before: str | None = None
     after: str | None = None
     bare: str = ""  # pattern for the span alone, where `pattern` looks around it
+    spans: str = ""  # pattern of the matches that change, where most don't
     mutates: bool = True
     further: tuple[tuple[str, str], ...] = ()  # applied after the first, one after the other
     in_place: bool = False  # contexts show what the rule has changed before the span; lengths stay
@@ -57,22 +58,23 @@ _units_long = "|".join(sorted((u for u in UNITS if len(u) > 1), key=len, reverse
 _units_short = "|".join(u for u in UNITS if len(u) == 1)
 _word = r"[\p{L}\p{Nd}]"
 
-#: In the order of their execution.
+#: In the order of their execution. Where a pattern looks behind over a distance, it does so after its first character has matched: at every
+#: other place it would look in vain.
 STEPS: tuple[Rule, ...] = (
     Rule("ctrl-clean", "Невидимые/битые символы", "ocr", "A", r"[\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{00AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{FFFD}]", ""),
-    Rule("sp-ws", "Лишние пробелы и переносы", "spacing", "A", r"[ \t\r\n]+", " "),
-    Rule("dehyph", "Склейка переноса слова", "ocr", "B", r"(\p{L}+)-[ \t\r\n]+(\p{Ll}\p{L}*)", "$1$2", scope="dictionary"),
+    Rule("sp-ws", "Лишние пробелы и переносы", "spacing", "A", r"[ \t\r\n]+", " ", spans=r"[\t\r\n][ \t\r\n]*| [ \t\r\n]+"),
+    Rule("dehyph", "Склейка переноса слова", "ocr", "B", r"(?<!\p{L})(\p{L}++)-[ \t\r\n]+(\p{Ll}\p{L}*)", "$1$2", scope="dictionary"),
     Rule("quotes", "Кавычки-ёлочки «…»", "typography", "B", scope="container"),
     Rule("dash-multi", "Двойной/тройной дефис → тире", "typography", "A", r"-{2,}", "—"),
     Rule("ell-dots", "Три точки → многоточие", "typography", "A", r"\.{3,}", "…"),
     Rule("ell-spaced", "Растянутое многоточие → …", "typography", "A", r"\.(?:[ \x{00A0}]*\.){2,}", "…"),
-    Rule("dialog-dash", "Тире в начале реплики", "typography", "B", r"(?<=\A[ \x{00A0}\t]{0,99})[-–−](?=[ \x{00A0}\t])", "—", scope="first", bare="[-–−]"),
-    Rule("dialog-dash-glue", "Пробел после тире реплики", "typography", "B", r"(?<=\A[ \x{00A0}\t]{0,99})[-–—−](?=\p{L})", "— ", scope="first", bare="[-–—−]"),
+    Rule("dialog-dash", "Тире в начале реплики", "typography", "B", r"[-–−](?<=\A[ \x{00A0}\t]{0,99}[-–−])(?=[ \x{00A0}\t])", "—", scope="first", bare="[-–−]"),
+    Rule("dialog-dash-glue", "Пробел после тире реплики", "typography", "B", r"[-–—−](?<=\A[ \x{00A0}\t]{0,99}[-–—−])(?=\p{L})", "— ", scope="first", bare="[-–—−]"),
     Rule("sp-before-punct", "Пробел перед знаком препинания", "spacing", "A", r"[ \x{00A0}]+([,.;:!?…)»\]“])", "$1"),
     Rule("sp-bracket", "Пробелы внутри скобок и кавычек", "spacing", "A", r"([(\[«„])[ \x{00A0}]+", "$1"),
     Rule("sp-after-punct", "Нет пробела после знака", "spacing", "A", r"([,;:!?])(\p{L})", "$1 $2"),
     Rule("dash-hyphen", "Дефис между пробелами → тире", "typography", "A", " - ", " — "),
-    Rule("dash-range", "Числовой диапазон через тире", "typography", "B", r"(?<!\p{Nd}-{0,64})(\p{Nd}{1,4})-(\p{Nd}{1,4})(?!\p{Nd}|-+\p{Nd}|-*\p{L})", "$1–$2", bare=r"(\p{Nd}+)-(\p{Nd}+)", in_place=True),
+    Rule("dash-range", "Числовой диапазон через тире", "typography", "B", r"(\p{Nd}(?<!\p{Nd}-{0,64}\p{Nd})\p{Nd}{0,3})-(\p{Nd}{1,4})(?!\p{Nd}|-+\p{Nd}|-*\p{L})", "$1–$2", bare=r"(\p{Nd}+)-(\p{Nd}+)", in_place=True),
     Rule("dash-endash", "Короткое тире – → длинное —", "typography", "B", " – ", " — "),
     Rule("quotes-apos", "Апостроф ’", "typography", "B", r"(\p{L})['\x{02BC}](\p{L})", "$1’$2"),
     Rule("sym-copy", "(c) → ©", "typography", "A", r"\([cC]\)", "©"),
@@ -91,9 +93,9 @@ STEPS: tuple[Rule, ...] = (
         before=" ", after=NBSP, in_place=True,
     ),
     Rule("nbsp-dash", "Неразрывный пробел перед тире", "typography", "B", r"([^ \t\n\f\r\x{00A0}])[ ]+(\x{2014})", f"$1{NBSP}$2"),
-    Rule("ell-two", "Две точки → многоточие?", "typography", "C", r"(?<![.?!])\.\.(?!\.)", "…", bare=r"\.\."),
+    Rule("ell-two", "Две точки → многоточие?", "typography", "C", r"\.(?<![.?!]\.)\.(?!\.)", "…", bare=r"\.\."),
     Rule(
-        "dot-space", "Пропущен пробел после точки", "punctuation", "C", rf"(?<=\p{{L}})(\p{{Ll}})(?<!(?iu:(?<!\p{{L}})(?:{'|'.join(ABBREVIATIONS)})))\.(\p{{Lu}})", "$1. $2",
+        "dot-space", "Пропущен пробел после точки", "punctuation", "C", rf"(\p{{Ll}})\.(?=\p{{Lu}})(?<=\p{{L}}\p{{Ll}}\.)(?<!(?iu:(?<!\p{{L}})(?:{'|'.join(ABBREVIATIONS)})\.))(\p{{Lu}})", "$1. $2",
         bare=r"(\p{Ll})\.(\p{Lu})",
     ),
     Rule("mixed-alpha", "Смешанный алфавит (лат/кир)", "ocr", "C", r"(?<!\p{L})(?=\p{L}*[A-Za-z])(?=\p{L}*\p{IsCyrillic})\p{L}+", mutates=False),
@@ -204,30 +206,34 @@ def _changed(rule: Rule, m: str) -> tuple[str, str]:
     return m, f"regexp_replace({m}, {literal(rule.bare or rule.pattern)}, {literal(rule.replacement)})"
 
 
+def _spans(x: str, y: str, pattern: str, before: str, after: str, run: str, level: str, keep: str = "f.before <> f.after", z: str = "''") -> str:
+    """SQL: a finding for each match of the pattern in x. y: the text whose start the context shows. before and after may use the
+    match, its place (from 0) and another text z, as t.m, t.at and t.z."""
+    before, after, level = (v.replace("t.m", "t.s.m[k]").replace("t.at", "t.at[k]").replace("t.z", "t.s.z") for v in (before, after, level))
+    row = f"""named_struct('run_ord', {run}, 'match_ord', k, 'before', {before}, 'after', {after}, 'context',
+      concat(right(left(t.s.y, t.at[k]), 12), '⟦', t.s.m[k], '⟧', left(substring(t.s.x, t.at[k] + length(t.s.m[k]) + 1, 12), 12)), 'level', {level})"""
+    rows = f"filter(transform(sequence(0, size(t.s.m) - 1), k -> {row}), f -> {keep})"
+    cut = f"named_struct('x', {x}, 'y', {y}, 'z', {z}, 'm', regexp_extract_all({x}, {literal(pattern)}, 0), 'g', split({x}, {literal(pattern)}, -1))"
+    none = f"cast(array() as {FINDING})"
+    return f"if({x} rlike {literal(pattern)}, {_let('s', cut, _let('t', f"named_struct('s', s, 'at', {_starts('s')})", rows))}, {none})"
+
+
 def run_findings(rule: Rule, x: str, run: str) -> str:
     """SQL: the findings in one run, in order; a span that the rule leaves as it is gives none."""
-    out, text = [], x
+    out = []
     for pattern, replacement in rule.passes:
         one = Rule(rule.id, rule.name, rule.category, rule.level, pattern, replacement, before=rule.before, after=rule.after, bare=rule.bare if pattern == rule.pattern else "")
-        before, after = _changed(one, "t.s.m[k]")
-        seen = replaced(one, text) if rule.in_place else text
-        found = f"named_struct('x', {text}, 'y', {seen}, 'm', regexp_extract_all({text}, {literal(pattern)}, 0), 'g', split({text}, {literal(pattern)}, -1))"
-        row = f"""named_struct('run_ord', {run}, 'match_ord', k, 'before', {before}, 'after', {after}, 'context',
-          concat(right(left(t.s.y, t.at[k]), 12), '⟦', t.s.m[k], '⟧', left(substring(t.s.x, t.at[k] + length(t.s.m[k]) + 1), 12)), 'level', '{rule.level}')"""
-        rows = f"if(size(t.s.m) = 0, cast(array() as {FINDING}), filter(transform(sequence(0, size(t.s.m) - 1), k -> {row}), f -> f.before <> f.after))"
-        out.append(f"if({text} rlike {literal(pattern)}, {_let('s', found, _let('t', f"named_struct('s', s, 'at', {_starts('s')})", rows))}, cast(array() as {FINDING}))")
-        text = f"regexp_replace({text}, {literal(pattern)}, {literal(replacement)})"
+        before, after = _changed(one, "t.m")
+        seen = replaced(one, x) if rule.in_place else x
+        out.append(_spans(x, seen, rule.spans or pattern, before, after, run, f"'{rule.level}'"))
+        x = f"regexp_replace({x}, {literal(pattern)}, {literal(replacement)})"
     return out[0] if len(out) == 1 else f"concat({', '.join(out)})"
 
 
 def quote_findings(before: str, after: str) -> str:
-    """SQL: the places where runs before and after the quotes rule differ; both have the same lengths. The context is of the run
-    as it was before the rule."""
-    row = """named_struct('run_ord', i, 'match_ord', k - 1, 'before', '"', 'after', substring(p.y, k, 1),
-      'context', concat(right(left(p.x, k - 1), 12), '⟦"⟧', left(substring(p.x, k + 1), 12)), 'level', 'B')"""
-    marks = "filter(sequence(1, greatest(length(p.x), 1)), k -> substring(p.x, k, 1) = '\"')"
+    """SQL: a finding for each straight quote, of runs before and after the rule; both have the same lengths."""
     pairs = f"zip_with({before}, {after}, (x, y) -> named_struct('x', x, 'y', y))"
-    return f"flatten(transform({pairs}, (p, i) -> if(instr(p.x, '\"') = 0, cast(array() as {FINDING}), transform({marks}, k -> {row}))))"
+    return f"flatten(transform({pairs}, (p, i) -> {_spans('p.x', 'p.x', '\"', 't.m', 'substring(t.z, t.at + 1, 1)', 'i', "'B'", 'true', 'p.y')}))"
 
 
 def trim_findings(before: str, after: str) -> str:
@@ -288,12 +294,10 @@ def dehyph(runs: str) -> str:
 
 
 def dehyph_findings(runs: str) -> str:
-    joined, hanging, has = _split_words("t.s.m[k]")
-    row = f"""named_struct('run_ord', i, 'match_ord', k, 'before', t.s.m[k], 'after', {joined},
-      'context', concat(right(left(t.s.x, t.at[k]), 12), '⟦', t.s.m[k], '⟧', left(substring(t.s.x, t.at[k] + length(t.s.m[k]) + 1), 12)), 'level', if({has}, 'B', 'C'))"""
-    rows = f"if(size(t.s.m) = 0, cast(array() as {FINDING}), transform(filter(sequence(0, size(t.s.m) - 1), k -> not {hanging}), k -> {row}))"
-    found = f"named_struct('x', r, 'm', regexp_extract_all(r, {literal(_DEHYPH.pattern)}, 0), 'g', split(r, {literal(_DEHYPH.pattern)}, -1))"
-    return f"flatten(transform({runs}, (r, i) -> {_let('s', found, _let('t', f"named_struct('s', s, 'at', {_starts('s')})", rows))}))"
+    joined, hanging, has = _split_words("t.m")
+    # A hanging hyphen shows no change, and so gives no finding.
+    after = f"if({hanging}, t.m, {joined})"
+    return f"flatten(transform({runs}, (r, i) -> {_spans('r', 'r', _DEHYPH.pattern, 't.m', after, 'i', f"if({has}, 'B', 'C')")}))"
 
 
 # --- blocks ---

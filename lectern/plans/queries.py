@@ -144,7 +144,7 @@ def findings_top200(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _context(rule: R.Rule) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         d = fixtures.runs(spark, sf_dir)
-        return d.select("doc_id", F.inline(F.expr(R.findings(rule, "runs", "runs")))).select("doc_id", "match_ord", "before", "after", "context")
+        return d.select("doc_id", F.inline(F.expr(R.findings(rule, "runs", "runs")))).select("doc_id", "before", "after", "context")
 
     return run
 

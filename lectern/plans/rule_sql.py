@@ -118,7 +118,7 @@ ORACLE |= {
     "dialog-dash-glue": _first(r"^([ \x{00A0}\t]*)[-–—−](\p{L})", r"\1— \2"),
     "nbsp-prep": _prep, "nbsp-units": _units, "nbsp-abbr": _abbr, "dash-range": _range, "ell-two": _two_dots, "dot-space": _dot_space, "mixed-alpha": _mixed, "ocr-digit": _ocr,
 }
-ORACLE.pop("dehyph")
+ORACLE.pop("dehyph", None)
 
 #: The dictionary: distinct lower-case Cyrillic words of the injected texts.
 DICTIONARY = r"SELECT DISTINCT replace(w, 'ё', 'е') AS word FROM (SELECT unnest(regexp_extract_all(lower(t), '\p{Cyrillic}+')) AS w FROM d) WHERE length(w) >= 2"
@@ -204,6 +204,6 @@ def context_query(rule: R.Rule, source: str) -> str:
 x AS (SELECT doc_id, t, regexp_extract_all(t, {q(p)}) AS m, string_split_regex(t, {q(p)}) AS g FROM d),
 y AS (SELECT doc_id, t, k, m[k] AS m, CAST(list_sum(list_transform(g[1:k], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda s: length(s))), 0) AS BIGINT) AS place
   FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM x))
-SELECT doc_id, CAST(k - 1 AS INTEGER) AS match_ord, m AS before, regexp_replace(m, {q(p)}, {q(r)}, 'g') AS after,
+SELECT doc_id, m AS before, regexp_replace(m, {q(p)}, {q(r)}, 'g') AS after,
   right(left(t, place), 12) || '⟦' || m || '⟧' || left(substr(t, place + length(m) + 1), 12) AS context
 FROM y WHERE regexp_replace(m, {q(p)}, {q(r)}, 'g') <> m"""
