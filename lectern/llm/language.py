@@ -87,25 +87,29 @@ class Model:
         np.add.at(total, at, lengths)
 
 
+def _unit_rows(bits: np.ndarray) -> np.ndarray:
+    x = np.unpackbits(bits, axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+
 def fit(rows: np.ndarray, langs: list[str], landmarks: int = 192, ridge: float = 1e-2) -> Model:
-    """rows: presence, one row a stretch; langs: of each row."""
+    """rows: presence, one row of packed bits a stretch; langs: of each row."""
     names = sorted(set(langs))
     if len(rows) == 0:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
-    x = rows.astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
     code = np.array([names.index(v) for v in langs])
     # Landmarks in turn from each language.
     turn = np.zeros(len(code), np.int64)
     for c in range(len(names)):
         turn[code == c] = np.arange((code == c).sum())
     chosen = np.lexsort((code, turn))[:landmarks]
-    marks = x[chosen]
+    marks = _unit_rows(rows[chosen])
     k_mm = marks @ marks.T
     value, vector = np.linalg.eigh(k_mm.astype(np.float64))
     keep = value > 1e-6 * value[-1]
     whiten = vector[:, keep] / np.sqrt(value[keep])
-    z = (x @ marks.T).astype(np.float64) @ whiten
+    # A few rows at a time are unpacked.
+    z = np.concatenate([_unit_rows(rows[s : s + 256]) @ marks.T for s in range(0, len(rows), 256)]).astype(np.float64) @ whiten
     y = np.where(code[:, None] == np.arange(len(names)), 1.0, -1.0)
     # Each language weighs the same, however many of its rows were sampled.
     n = np.bincount(code, minlength=len(names)).astype(np.float64)
@@ -141,12 +145,12 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     ids = [r.id for r in d.select("id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_lang).select("id").collect()]
     if not ids:
-        return fit(np.zeros((0, BUCKETS), np.uint8), [])
+        return fit(np.zeros((0, BUCKETS // 8), np.uint8), [])
     chosen = d.where(F.col("id").isin(ids)).select("text", "lang")
     # per_lang * LEARNED * 4 KiB a language at most. Sorted: the fit doesn't depend on the order of arrival.
     sample = [(r.lang, bytes(r.bits)) for r in chosen.mapInArrow(_rows_of_sample, "lang string, bits binary").collect()]
     sample.sort(key=lambda r: (r[0], zlib.crc32(r[1]), r[1]))
-    return fit(np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for _, b in sample]), [v for v, _ in sample], landmarks)
+    return fit(np.stack([np.frombuffer(b, np.uint8) for _, b in sample]), [v for v, _ in sample], landmarks)
 
 
 def tagged(df: DataFrame, model: Model, text_col: str = "text", temperature: float = 4.0) -> DataFrame:
