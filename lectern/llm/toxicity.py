@@ -2,7 +2,7 @@
 
 The categories are predicted one after the other: `insult` (names for a person), `contempt` (words that belittle), then `toxic`
 (the human label). Each is a logistic model over the presence of words; later models are also fed the probabilities of the earlier
-categories. In training these are out-of-fold: a row's probability comes from a model that hasn't seen the row, as it
+categories. The flag's threshold is the one that parts the sample best by the out-of-fold probabilities. In training these are out-of-fold: a row's probability comes from a model that hasn't seen the row, as it
 will be in use. There are human labels for `toxic` only; a labelled row is of one of the other categories if it is labelled toxic
 and has a word of that category's list.
 
@@ -114,6 +114,8 @@ def fit(docs: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, l2: float =
 @dataclass
 class Chain:
     models: list[Linear] = field(default_factory=list)
+    #: The last category is flagged from here on.
+    threshold: float = 0.5
 
     def probabilities(self, docs: list[np.ndarray]) -> np.ndarray:
         earlier = np.zeros((len(docs), 0))
@@ -136,9 +138,21 @@ def fit_chain(docs: list[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> C
             unseen[rest] = model.margin([docs[i] for i in rest], earlier[rest])
         chain.models.append(fit(docs, earlier, y))
         earlier = np.column_stack([earlier, logit(sigmoid(unseen))])
+    if len(docs) and 0 < y.sum() < len(y):
+        chain.threshold = best_cut(sigmoid(earlier[:, -1]), y)
     return chain
 
 
+def best_cut(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability that parts rows best, by F1, half way to the next lower one; of equals the highest."""
+    order = np.argsort(-p, kind="stable")
+    p, hits = p[order], np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
+    f1[:-1][p[:-1] == p[1:]] = -1  # equal probabilities aren't parted
+    at = int(np.argmax(f1))
+    return float((p[at] + p[min(at + 1, len(p) - 1)]) / 2)
+
+
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [buckets_of(t) for t in b.column(1).to_pylist()]
@@ -194,9 +208,10 @@ class Scorer:
         return sigmoid(earlier)
 
 
-def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = None) -> DataFrame:
     """doc_id, p_insult, p_contempt, p_toxic, toxic: one row for each row of df."""
     held = df.sparkSession.sparkContext.broadcast(chain)  # FEATURES words a category
+    cut = chain.threshold if threshold is None else threshold
     names = ["doc_id", *(f"p_{c}" for c in CATEGORIES), "toxic"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +221,7 @@ def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "
                 part = b.slice(at, 512)
                 texts = part.column(1).to_pylist()
                 p = s.probabilities(texts)
-                flag = np.array([bool(t) for t in texts], bool) & (p[:, -1] >= threshold)
+                flag = np.array([bool(t) for t in texts], bool) & (p[:, -1] >= cut)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(flag)], names)
 
     schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean"
