@@ -268,3 +268,135 @@ def encoding_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.encode(F.regexp_replace("text", r"[^\x{00}-\x{FF}]", "?"), "ISO-8859-1"))
     )
     return table(spark, sf_dir, "documents").withColumn("content", content).select("doc_id", M.detected_encoding(F.col("content")).alias("encoding"))
+
+
+# --- books: a document becomes a marked-up file, is parsed again, and packed ---
+
+_LINES = "SELECT doc_id, lang, source, CAST(unnest(range(len(l))) AS INTEGER) AS ord, unnest(l) AS line FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents)"
+
+
+def book_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: a file for each document. Every third one leaves its last section open, every fourth has a bare & in its title."""
+    d = table(spark, sf_dir, "documents")
+    lines = F.transform(F.split("text", "\n"), lambda x: F.when(x == "", "<empty-line/>").otherwise(F.concat(F.lit("<p>"), M.escape_text(x), F.lit("</p>"))))
+    number = F.col("doc_id").cast("string")
+    amp = F.when(F.col("doc_id") % 4 == 0, " & Co").otherwise("")
+    end = F.when(F.col("doc_id") % 3 == 0, "").otherwise("</section></body></FictionBook>")
+    text = F.concat(
+        F.lit("<?xml version='1.0' encoding='UTF-8'?>\n<FictionBook><description><title-info><author><first-name>A</first-name><last-name>"), F.col("source"), F.lit("</last-name></author><book-title>Doc "), number, amp,
+        F.lit("</book-title><lang>"), F.col("lang"), F.lit("</lang></title-info></description><body><section id='s"), number, F.lit("'><title><p>T <strong>"), number, F.lit("</strong></p></title>"),
+        F.array_join(lines, ""), end,
+    )
+    return d.select(number.alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import fb2
+
+    return fb2.parse_files(book_files(spark, sf_dir))
+
+
+@query("meta_info", "SELECT CAST(doc_id AS VARCHAR) AS book, 'Doc ' || doc_id || CASE WHEN doc_id % 4 = 0 THEN ' & Co' ELSE '' END AS title, 'A ' || source AS author, lang, 1 AS sections, FALSE AS has_cover FROM documents")
+def meta_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import fb2
+
+    return fb2.meta_info(books(spark, sf_dir))
+
+
+@query("sections_tree", "SELECT CAST(doc_id AS VARCHAR) AS book, 0 AS sec_ord, 1 AS depth, 's' || doc_id AS id, 'T ' || doc_id AS title FROM documents")
+def sections_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import fb2
+
+    return fb2.sections(books(spark, sf_dir)).select("book", "sec_ord", "depth", "id", "title")
+
+
+@query("blocks", f"SELECT CAST(doc_id AS VARCHAR) AS book, ord + 1 AS block_ord, CASE WHEN line = '' THEN 'empty-line' ELSE 'paragraph' END AS kind, line AS text FROM ({_LINES})")
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import fb2
+
+    b = fb2.blocks(books(spark, sf_dir)).where("role = 'content'")
+    return b.select("book", "block_ord", "kind", F.array_join(F.transform("runs", lambda r: r["text"]), "").alias("text"))
+
+
+@query("runs", "SELECT CAST(doc_id AS VARCHAR) AS book, k AS run_ord, CASE k WHEN 0 THEN '' ELSE 'strong' END AS style, CASE k WHEN 0 THEN 'T ' ELSE CAST(doc_id AS VARCHAR) END AS text FROM documents, (VALUES (0), (1)) v(k)")
+def title_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import fb2
+
+    r = fb2.text_runs(books(spark, sf_dir)).where("block_ord = 0")
+    return r.select("book", "run_ord", F.array_join("style", " ").alias("style"), "text")
+
+
+MODIFIED = "2020-01-01T00:00:00Z"
+
+
+@query("xhtml_docs", "SELECT CAST(doc_id AS VARCHAR) AS book, 7 AS entries, 'text/chap_0001.xhtml' AS chapter, 'application/epub+zip' AS mimetype FROM documents")
+def xhtml_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import assembly
+
+    e = assembly.package_entries(books(spark, sf_dir), MODIFIED)
+    return e.groupBy("book").agg(
+        F.count(F.lit(1)).cast("int").alias("entries"), F.max(F.when(F.col("name").contains("chap_"), F.regexp_replace("name", "^OEBPS/", ""))).alias("chapter"),
+        F.max(F.when(F.col("name") == "mimetype", F.decode("content", "UTF-8"))).alias("mimetype"),
+    )
+
+
+@query("opf_xml")
+def opf_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import assembly
+
+    e = assembly.package_entries(books(spark, sf_dir), MODIFIED)
+    return e.where("name = 'OEBPS/content.opf'").select("book", F.decode("content", "UTF-8").alias("opf"))
+
+
+@query("epub_zip")
+def epub_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import assembly
+
+    return assembly.packages(books(spark, sf_dir), MODIFIED).select("book", F.octet_length("epub").alias("bytes"), F.sha2("epub", 256).alias("sha256"))
+
+
+@query("page_blocks")
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Malformed web pages through the tolerant reader: how many paragraphs and runs of text it gets out of each."""
+    from ..sources import fb2
+
+    wrap = F.concat(F.lit("<FictionBook><description><title-info><book-title>page</book-title></title-info></description><body><section>"), F.col("html"), F.lit("</section></body></FictionBook>"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.encode(wrap, "UTF-8").alias("content"))
+    return fb2.parse_files(pages).select(F.col("path").alias("page"), F.size("sections").alias("sections"), F.size("blocks").alias("blocks"))
+
+
+@query("preview")
+def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import assembly
+
+    return assembly.previews(books(spark, sf_dir)).select("book", F.length("html").alias("chars"), F.md5(F.encode("html", "UTF-8")).alias("digest"))
+
+
+@query("yo_lookup")
+def yo_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import yo
+
+    words = F.explode(F.lit([w.replace("ё", "е") for w in yo.WORDS] + ["Еще", "ЕЩЕ", "слово"]))
+    return table(spark, sf_dir, "region").select("r_regionkey", words.alias("word")).withColumn("restored", yo.restored(F.col("word"))).where("restored is not null")
+
+
+@query(
+    "cover_config",
+    """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size END AS width, CASE WHEN p_size * 3 BETWEEN 1 AND 100 THEN p_size * 3 ELSE 88 END AS quality,
+  CASE WHEN p_size / 40.0 > 0 AND p_size / 40.0 <= 1 THEN round(p_size / 40.0, 4) ELSE 0.8 END AS plate FROM part""",
+)
+def cover_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import covers
+
+    size = F.col("p_size").cast("string")
+    width = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit('"width": '), size, F.lit(", ")))
+    text = F.concat(F.lit("{"), width, F.lit('"jpegQuality": '), (F.col("p_size") * 3).cast("string"), F.lit(', "plateWidth": '), (F.col("p_size") / 40).cast("string"), F.lit("}"))
+    d = table(spark, sf_dir, "part").withColumn("c", covers.config(text))
+    return d.select("p_partkey", "c.width", F.col("c.jpegQuality").alias("quality"), F.round("c.plateWidth", 4).alias("plate"))
+
+
+@query("wrap_lines")
+def wrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import covers
+
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(covers.wrap_lines(F.concat_ws(" ", "p_name", "p_type", "p_brand"), 16), "|").alias("lines"))
