@@ -158,8 +158,12 @@ class Layout:
         self.anchor[s] = self._unique(own)
         self._register(self.sections[s]["id"], file, self.anchor[s])
         for b in self.content.get((s, "content"), []):
-            if b["kind"] == "paragraph" and b["id"]:
-                self.block_anchor[b["block_ord"]] = self._unique(safe_id(b["id"]))
+            if b["kind"] == "paragraph" and (b["id"] or b.get("heading")):
+                own = safe_id(b["id"])
+                if not own:
+                    self.auto += 1
+                    own = f"h_{self.auto}"
+                self.block_anchor[b["block_ord"]] = self._unique(own)
                 self._register(b["id"], file, self.block_anchor[b["block_ord"]])
 
     def _place(self, s: int, file: str, threshold: int) -> None:
@@ -221,6 +225,8 @@ class Renderer:
         kind, inner = b["kind"], self.l.inner.get(b["block_ord"], [])
         if kind == "paragraph":
             anchor = self.l.block_anchor.get(b["block_ord"]) or safe_id(b["id"])
+            if b.get("heading"):
+                return el("h4", self.inline(b["runs"]), id=anchor or None, class_="detected-heading") + "\n"
             if not anchor and not any(r["text"].strip() or r["href"] or r["image"] for r in b["runs"]):
                 return ""
             return el("p", self.inline(b["runs"]), id=anchor or None, class_=f"st-{b['style']}" if b["style"] else None) + "\n"
@@ -298,24 +304,30 @@ def contents(layout: Layout, tops: list[int]) -> tuple[str, str, int]:
     """Navigation as a list, as numbered points, and its depth."""
     number = 0
 
-    def href(s: int) -> str:
-        return f"{layout.file[s]}#{layout.anchor[s]}"
+    def tree(s: int) -> tuple[str, str, list]:
+        """Title, place and what is below: headings found in the content, then sections."""
+        heads = [b for b in layout.content.get((s, "content"), []) if b["kind"] == "paragraph" and b.get("heading")]
+        below = [("".join(r["text"] for r in b["runs"]).strip(), f"{layout.file[s]}#{layout.block_anchor[b['block_ord']]}", []) for b in heads]
+        return layout.title(s), f"{layout.file[s]}#{layout.anchor[s]}", [*below, *(tree(k) for k in layout.kids.get(s, []))]
 
-    def points(rows: list[int]) -> str:
+    def points(rows: list) -> str:
         nonlocal number
         out = []
-        for s in rows:
+        for title, href, below in rows:
             number += 1
             n = str(number)
-            label = el("navLabel", el("text", escape(layout.title(s)))) + el("content", src=href(s))
-            out.append(el("navPoint", label, points(layout.kids.get(s, [])), id=f"navpoint-{n}", playOrder=n))
+            label = el("navLabel", el("text", escape(title))) + el("content", src=href)
+            out.append(el("navPoint", label, points(below), id=f"navpoint-{n}", playOrder=n))
         return "".join(out)
 
-    def items(rows: list[int]) -> str:
-        return el("ol", *(el("li", el("a", escape(layout.title(s)), href=href(s)), items(layout.kids.get(s, []))) for s in rows)) if rows else ""
+    def items(rows: list) -> str:
+        return el("ol", *(el("li", el("a", escape(title), href=href), items(below)) for title, href, below in rows)) if rows else ""
 
-    depth = max((s["depth"] for s in layout.sections if s["body"] != "notes"), default=1)
-    return items(tops), points(tops), depth
+    def depth(rows: list) -> int:
+        return max((1 + depth(below) for _, _, below in rows), default=0)
+
+    rows = [tree(s) for s in tops]
+    return items(rows), points(rows), max(1, depth(rows))
 
 
 def entries(book: dict, modified: str, threshold: int = THRESHOLD) -> list[tuple[str, bytes]]:
