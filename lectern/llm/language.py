@@ -153,10 +153,10 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return fit(np.stack([np.frombuffer(b, np.uint8) for _, b in sample]), [v for v, _ in sample], landmarks)
 
 
-def tagged(df: DataFrame, model: Model, text_col: str = "text", temperature: float = 4.0) -> DataFrame:
-    """df with two more columns, lang_pred and score. A column of df that has one of these names gives way."""
+def tagged(df: DataFrame, model: Model, text_col: str = "text", temperature: float = 4.0, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """df with two more columns, the language and its score. A column of df that has one of their names gives way."""
     held = df.sparkSession.sparkContext.broadcast(model)  # 128 KiB a language
-    own = [c for c in df.columns if c.lower() not in ("lang_pred", "score", "__letters")]
+    own = [c for c in df.columns if c.lower() not in (*names, "__letters")]
     d = df.select(*[df[c] for c in own], has_letter(df[text_col]).alias("__letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +175,9 @@ def tagged(df: DataFrame, model: Model, text_col: str = "text", temperature: flo
                     score = np.where(known, p.max(axis=1), 0.0)
                 else:
                     lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*own, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*own, *names])
 
-    schema = T.StructType([*d.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*d.schema.fields[:-1], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return d.mapInArrow(run, schema)
 
 
@@ -193,4 +193,5 @@ def learn_and_identify(df: DataFrame) -> DataFrame:
 
 def known_language(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of df whose language the model can tell, with all their columns."""
-    return tagged(df, learn(df, text_col=text_col), text_col).where(F.col("lang_pred") != UNKNOWN).select(*df.columns)
+    out = tagged(df, learn(df, text_col=text_col), text_col, names=("__lang", "__lang_score"))
+    return out.where(F.col("__lang") != UNKNOWN).select(*df.columns)

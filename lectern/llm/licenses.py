@@ -43,7 +43,9 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", ("free and unencumbered software released into the public domain",)),
 )
 #: Of a template's words this part, and so many at most, are in the index: the rarest.
-PART, MOST = 0.6, 12
+PART, MOST = 0.6, 24
+#: Part of a template's indexed words that must stand in one alignment: a file may hold a piece of it; key phrases decide.
+VOTES = 0.25
 #: A file's licence words that are looked up.
 LOOKED_UP = 64
 
@@ -78,7 +80,7 @@ class Index:
             for w, p in places:
                 self.postings.setdefault(w, []).append((t, p))
         self.vocabulary = sorted(self.postings, key=lambda w: (-idf(w), w))
-        self.needed = [max(2, math.ceil(n / 2)) for n in self.sizes]
+        self.needed = [max(2, math.ceil(n * VOTES)) for n in self.sizes]
 
     def literal(self) -> Column:
         entries = []

@@ -160,7 +160,9 @@ class Contexts:
 
     def by_shard(self) -> Iterator[tuple[int, np.ndarray]]:
         own = self.target[self.order]
-        cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else []
+        if not len(own):
+            return
+        cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         for s, e in zip(cuts, [*cuts[1:], len(own)], strict=True):
             yield int(own[s]), self.order[s:e]
 
