@@ -48,7 +48,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def library_memo(description: str, ordinary: bool = True, most: int = 800_000):
+def library_memo(description: str, ordinary: bool = True, most: int = 200_000):
     """Piece of text -> its ids as little-endian 32-bit bytes, by the tokenizers library; at most `most` pieces are kept."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -102,6 +102,29 @@ class PieceMemo(dict):
         return [b"".join([self[p] for p in t]) for t in texts]
 
 
+class ChunkMemo(dict):
+    """Chunk of text (what stands between white space) -> its ids. A new chunk is cut into pieces, which a PieceMemo knows."""
+
+    def __init__(self, pieces: PieceMemo, cut: Callable[[str], list[str]], joiner: str, most: int = 800_000):
+        super().__init__()
+        self.pieces, self.cut, self.joiner, self.most, self.before = pieces, cut, joiner, most, {}
+
+    def of(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks."""
+        if len(self) > self.most // 2:
+            self.before = dict(self)
+            self.clear()
+        new, before = [], self.before
+        for c in chunks:
+            if c not in self:
+                if c in before:
+                    self[c] = before[c]
+                else:
+                    new.append(c)
+        self.update(zip(new, self.pieces.joined([self.cut(c) for c in new], self.joiner), strict=True))
+        return [self[c] for c in chunks]
+
+
 def char_class(wanted: Callable[[str], bool], end: int = 0x250) -> str:
     """The characters below `end` that are wanted, as they stand inside brackets in a pattern."""
     return "".join(re.escape(chr(c)) for c in range(end) if wanted(chr(c)))

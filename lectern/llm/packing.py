@@ -32,15 +32,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PieceMemo, char_class, library_memo, written
+from .common import ChunkMemo, char_class, library_memo, written
 
 #: Nodes of the search tree that are looked at; each costs a best fit over the counts.
 MOST_NODES = 300
-#: Where the tokenizer always starts a new word, whatever stands beside.
-GAPS = re.compile("[ \n\r\t]+")
 # Letters and signs below U+0250 whose composition is plain and whose lower case is one character: the tokenizer's own
 # split is spelled out for texts of these, so that a word costs a lookup whatever punctuation it touches.
 _PLAIN = [c for c in map(chr, range(0x250)) if len(c.lower()) == 1 and ord(c.lower()) < 0x250 and unicodedata.is_normalized("NFC", c)]
@@ -51,19 +50,42 @@ OTHERS = re.compile(f"[^{''.join(map(re.escape, _PLAIN))}]")
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 
 
-def cut_text(text: str) -> list[str]:
+# Signs that stand for themselves; not the apostrophe, which may begin a word of its own.
+_SIGNS = "\\x00-\\x08\\x0e-\\x1f!-&(-/:-@\\[-`{-\\x7f"
+#: A text with one of these is cut at white space only.
+_UNSURE = "'|[^\\x00-\\x7fÀ-ÖØ-öø-ÿ]"
+
+
+def token_ids(texts: pa.Array, memo: ChunkMemo) -> list[bytes]:
+    """The ids of each text, little-endian 32-bit. Words are cut and told apart in Arrow; only distinct ones are looked up."""
+    low = pc.ascii_lower(pc.fill_null(texts, ""))
+    spaced = pc.replace_substring_regex(low, pattern=f"([{_SIGNS}]+)", replacement=r" \1 ")
+    words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(low, _UNSURE), low, spaced))
+    coded = words.flatten().dictionary_encode()
+    blobs = memo.of(coded.dictionary.to_pylist())
+    sizes = np.array([len(b) for b in blobs], np.int64) // 4
+    pool, begin = np.frombuffer(b"".join(blobs), "<u4"), np.r_[0, np.cumsum(sizes)]
+    word = coded.indices.to_numpy(zero_copy_only=False)
+    n = sizes[word]
+    ends = np.r_[0, np.cumsum(n)]
+    ids = pool[np.repeat(begin[word] - ends[:-1], n) + np.arange(ends[-1])]
+    edges = ends[np.asarray(words.offsets) - words.offsets[0].as_py()].tolist()
+    return [ids[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def cut_chunk(chunk: str) -> list[str]:
     """Pieces that the tokenizer encodes independently."""
-    return GAPS.split(text) if OTHERS.search(text) else WORDS.findall(text.lower())
+    return [chunk] if OTHERS.search(chunk) else WORDS.findall(chunk.lower())
 
 
-_MEMOS: dict[str, PieceMemo] = {}
+_MEMOS: dict[str, ChunkMemo] = {}
 
 
-def word_memo(description: str) -> PieceMemo:
+def word_memo(description: str) -> ChunkMemo:
     """One a worker process."""
     if description not in _MEMOS:
         _MEMOS.clear()
-        _MEMOS[description] = library_memo(description)
+        _MEMOS[description] = ChunkMemo(library_memo(description), cut_chunk, " ")
     return _MEMOS[description]
 
 
@@ -79,10 +101,10 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids]
         for b in batches:
-            for at in range(0, b.num_rows, 256):
+            for at in range(0, b.num_rows, 2048):
                 rows = []
-                part = b.slice(at, 256)
-                for doc, ids in zip(part.column(0).to_pylist(), memo.joined([cut_text(t or "") for t in part.column(1).to_pylist()], " "), strict=True):
+                part = b.slice(at, 2048)
+                for doc, ids in zip(part.column(0).to_pylist(), token_ids(part.column(1), memo), strict=True):
                     ids += end
                     for k, s in enumerate(range(0, len(ids), step)):
                         cut = ids[s : s + step]
