@@ -104,8 +104,8 @@ def fit(docs: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, l2: float =
     w0, b0 = w, b
     for k in range(steps):
         m = k / (k + 3)
-        wy, by = w + m * (w - w0), b + m * (b - b0)
-        g = sigmoid(x @ wy + by) - y
+        wy, by = (w + m * (w - w0)).astype(np.float32), b + m * (b - b0)
+        g = (sigmoid(x @ wy + np.float32(by)) - y).astype(np.float32)  # x isn't widened
         w0, b0 = w, b
         w, b = (wy - (x.T @ g + l2 * wy) / curve).astype(np.float32), by - float(g.sum()) / curve
     return Linear(words, w[: len(words)], w[len(words) :].astype(np.float64), float(b))
@@ -165,6 +165,9 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(train_rows)
     d = df.select(df[id_col].alias("id"), df[text_col].alias("text")).join(F.broadcast(chosen), "id")  # train_rows rows
     rows = sorted((r.id, r.toxic, bytes(r.words)) for r in d.select("id", "text", "toxic").mapInArrow(_sample, "id long, words binary, toxic int").collect())
+    # Copies of a text would count its words again and again: of equal sets of words the smallest id is learned from.
+    first = {w: i for i, _, w in reversed(rows)}
+    rows = [r for r in rows if first[r[2]] == r[0]]
     docs = [np.frombuffer(w, "<i4").astype(np.int64) for _, _, w in rows]
     toxic = np.array([t > 0 for _, t, _ in rows], bool)
     columns = []
