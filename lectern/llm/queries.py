@@ -66,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
     "op7_top_k": topk.ORACLE_SQL,
     "op9_url_filter": url_filter.oracle_sql(),

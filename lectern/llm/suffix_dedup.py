@@ -432,3 +432,20 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if length_col in df.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(df.schema[length_col].dataType))
     return out
+
+
+#: Texts as hexadecimal, two digits a byte; all strings of 50 bytes, spelled out.
+ORACLE_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 49)) AS p FROM d)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+x AS (SELECT w.doc_id, p, p - lag(p) OVER (PARTITION BY w.doc_id ORDER BY p) AS gap FROM w JOIN m USING (s) WHERE least < w.doc_id),
+y AS (SELECT doc_id, p, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM x),
+r AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM y GROUP BY doc_id, k),
+g AS (SELECT doc_id, k, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS before FROM r),
+c AS (SELECT g.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY k) AS head, max(b) AS tail, sum(b - a) AS gone, count(*) AS spans
+  FROM g JOIN d USING (doc_id) GROUP BY g.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN tail IS NULL THEN h ELSE head || substr(h, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
