@@ -6,7 +6,8 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,10 +28,46 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: What this process has left in the shared folder and the warehouse: (kind, place).
+_LEFT: list[tuple[str, str]] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _LEFT.append(("path", path))
+    return path
+
+
+def scratch_table(name: str) -> str:
+    """A new name for a table in the warehouse."""
+    table_name = f"{name}_{uuid.uuid4().hex}"
+    _LEFT.append(("table", table_name))
+    return table_name
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Whatever operators write for themselves inside is deleted at the end. Results are lazy: write them inside, too, or they lose
+    what they read."""
+    before = len(_LEFT)
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for kind, place in _LEFT[before:]:
+            if kind == "table":
+                spark.sql(f"DROP TABLE IF EXISTS {place}")
+            else:
+                path = jvm.org.apache.hadoop.fs.Path(place)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        del _LEFT[before:]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

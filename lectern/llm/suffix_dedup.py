@@ -26,7 +26,6 @@ their batch. An empty table gives an empty result. Columns other than the two na
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import scratch_table, written
 
 GRAM = 16
 #: Bytes that are hashed at once, and stretches of a long text.
@@ -401,7 +400,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = [f"c{k}" for k in range(len(others))]
     slot = F.pmod(F.xxhash64(df[id_col]), F.lit(batches)).cast("int")
     rows = df.select(F.get(F.lit(labels), slot).alias("batch"), df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"), *[df[c].alias(n) for c, n in zip(others, names, strict=True)])
-    name = f"suffix_batches_{uuid.uuid4().hex}"
+    name = scratch_table("suffix_batches")
     # Rows lie in the order of ids in their batch.
     rows.repartition(batches, "batch").write.option("compression", "zstd").bucketBy(batches, "batch").format("parquet").saveAsTable(name)
     t = spark.table(name)

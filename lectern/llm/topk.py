@@ -17,7 +17,6 @@ id is asked once, with the vector that is smallest in order. Null ids take no pa
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, written
+from .common import scratch_path, written
 
 SCALE = 64
 #: Vectors in one index, queries in one block.
@@ -154,7 +153,7 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", v
     # Blocks by a hash; each is collected by itself, BLOCK queries or so.
     blocks = max(1, -(-asked.count() // BLOCK))
     asked = written(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).repartition("block").sortWithinPartitions("block"), "queries")
-    path = f"{scratch_dir(spark).rstrip('/')}/topk-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "topk")
     schema = "query_id long, vec_id long, score long"
     for block in range(blocks):
         by_size: dict[int, list[tuple[int, list[int]]]] = {}

@@ -75,7 +75,9 @@ def test_stages(spark, table, tmp_path):
 
 def test_run(spark, table, tmp_path):
     table.write.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.catalog.listTables()
     assert C.run(spark, str(tmp_path)).count() > 0
+    assert spark.catalog.listTables() == before  # nothing of the stages' own is left
 
 
 def test_empty_and_odd_tables(spark, tmp_path):
