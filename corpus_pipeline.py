@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import exact_dedup, language, packing, simhash, suffix_dedup
-from lectern.llm.common import scratch_dir
+from lectern.llm.common import scratch, scratch_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -51,10 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every stage's result is written and read again."""
+    """The last stage's rows. Every stage's result is written and read again; then what the stage wrote for itself goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{scratch_dir(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
