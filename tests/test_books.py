@@ -166,3 +166,11 @@ def test_wrapping_and_lines(spark):
     assert column(spark, ["aa bb cc", "", "toolongword x"], lambda c: covers.wrap_lines(c, 5)) == [["aa bb", "cc"], [], ["toolongword", "x"]]
     d = spark.createDataFrame([(1, 0, i, k) for i, k in enumerate(["p", "empty-line", "empty-line", "p", "empty-line"])], "book long, parent long, ord long, kind string")
     assert sorted(r.ord for r in structure.collapse_empty_lines(d).collect()) == [0, 1, 3, 4]
+
+
+def test_templates_and_settings(spark, tmp_path):
+    for name in ("b.PNG", "a.jpg", "c.txt", "d"):
+        (tmp_path / name).write_bytes(b"x")
+    assert [r.name for r in covers.templates(spark, str(tmp_path)).collect()] == ["a.jpg", "b.PNG"]
+    made = column(spark, ['{"width": 5, "jpegQuality": 101, "plateWidth": 0.5}', "{}", "junk"], covers.config)
+    assert [(c.width, c.jpegQuality, c.plateWidth, c.plateCenterY) for c in made] == [(5, 88, 0.5, 0.3), (0, 88, 0.8, 0.3), (0, 88, 0.8, 0.3)]
