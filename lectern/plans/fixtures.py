@@ -17,7 +17,7 @@ DEFECTS = (
 )
 #: By doc_id mod 4, before the text; and after each.
 STARTS = ("  - ", "-", "– ", "")
-END = f"{chr(0xAD)}{chr(0x200B)}. \n"
+END = f"{chr(0xAD)}{chr(0x200B)} слово — дело. \n"
 LINES = ("42", "ГЛАВА ПЯТАЯ", "Глава шестая", "Он пришёл.")
 
 
