@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import table
+
 LATIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CYRILLIC = "абцдефгхийклмнопкрстуввхызАБЦДЕФГХИЙКЛМНОПКРСТУВВХЫЗ"
 DEFECTS = (
@@ -25,10 +27,6 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, t"""
     d = table(spark, sf_dir, "documents")
