@@ -72,10 +72,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def ascii_lower(c: Column) -> Column:
     """Only A-Z are lowered; other letters stay."""
     return F.translate(c, UPPER, LOWER)
