@@ -16,6 +16,7 @@ nothing is flagged on it. Rows may repeat; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -155,8 +156,10 @@ def best_cut(p: np.ndarray, y: np.ndarray) -> float:
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [buckets_of(t) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f.astype("<i4").tobytes() for f in found], pa.binary()), b.column(2)], ["id", "words", "toxic"])
+        texts = b.column(1).to_pylist()
+        words = [buckets_of(t).astype("<i4").tobytes() for t in texts]
+        digests = [hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).digest() for t in texts]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary()), b.column(2), pa.array(digests, pa.binary())], ["id", "words", "toxic", "digest"])
 
 
 def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 12_000) -> Chain:
@@ -164,10 +167,13 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.groupBy(known[id_col].alias("id")).agg(F.max(known[label_col].cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(train_rows)
     d = df.select(df[id_col].alias("id"), df[text_col].alias("text")).join(F.broadcast(chosen), "id")  # train_rows rows
-    rows = sorted((r.id, r.toxic, bytes(r.words)) for r in d.select("id", "text", "toxic").mapInArrow(_sample, "id long, words binary, toxic int").collect())
-    # Copies of a text would count its words again and again: of equal sets of words the smallest id is learned from.
-    first = {w: i for i, _, w in reversed(rows)}
-    rows = [r for r in rows if first[r[2]] == r[0]]
+    found = d.select("id", "text", "toxic").mapInArrow(_sample, "id long, words binary, toxic int, digest binary").collect()
+    # Copies of a text would count its words again and again: of equal texts the smallest id is learned from.
+    first: dict[bytes, int] = {}
+    rows = []
+    for r in sorted(found, key=lambda r: r.id):
+        if first.setdefault(bytes(r.digest), r.id) == r.id:
+            rows.append((r.id, r.toxic, bytes(r.words)))
     docs = [np.frombuffer(w, "<i4").astype(np.int64) for _, _, w in rows]
     toxic = np.array([t > 0 for _, t, _ in rows], bool)
     columns = []
