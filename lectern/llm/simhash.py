@@ -5,8 +5,10 @@ are linked; a component is all that links reach.
 
 With 64 bits and a small radius the search is exact. Texts of which only four fifths agree are about ten bits of 64 apart, too
 many to search for; for these there are wide fingerprints of several words of 64 bits, the further ones of hashes made from the first by
-mixing. Their distance tells the similarity well (of 512 bits, 78 for a Jaccard similarity of 0.8), and texts meet in the shard of some
-16 bits that agree: with eight words, 9 of 10 pairs of similarity 0.8 do, and 499 of 500 of similarity 0.9.
+mixing. They only propose: texts meet in the shard of some 16 bits that agree, of all bits dealt
+into bands several times, and those within a radius well beyond the similarity asked for are candidates. Components of candidates are then
+split by the sets themselves: in each, all pairs of at least that Jaccard similarity are linked, and components of these links count. A
+pair is missed only if no chain of candidates joins its texts.
 
 Distinct fingerprints are searched, never rows, so copies cost nothing. Each is sent to the shards of its bands: the 64 bits are cut into
 blocks, and two fingerprints within the radius agree in all blocks but `radius` of them, so they meet in the shard of some set of
@@ -26,6 +28,7 @@ result. Only the named columns are read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -42,6 +45,10 @@ SEED = 42
 COUNTED = 1 << 16
 #: Pairs of query and node that are looked at at once, and rows gathered before a batch of shards is searched.
 FRONTIER, GATHERED = 1 << 20, 1 << 17
+#: Of a wide fingerprint: words whose distance is taken, and how often all its bits are dealt into bands.
+MEASURED, DEALS = 4, 3
+#: One in so many fingerprints tells how crowded the shards of wide ones are.
+COUNTED_PART = 16
 
 
 # --- fingerprints ---
@@ -70,9 +77,16 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
 def fingerprint(text: str | None, words: int = 3, width: int = 1) -> bytes:
-    """width words of 64 bits, little-endian."""
-    hashes = shingle_hashes(text, words)
+    """width words of 64 bits, little-endian. A shingle counts as often as it stands there."""
+    return majority(shingle_hashes(text, words), width)
+
+
+def majority(hashes: list[int] | np.ndarray, width: int) -> bytes:
     counts = np.zeros((width, 64), np.int64)
     for at in range(0, len(hashes), COUNTED):
         h = np.array(hashes[at : at + COUNTED], np.uint64)
@@ -94,6 +108,21 @@ def fingerprints(df: DataFrame, words: int = 3, width: int = 1, id_col: str = "d
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, "doc_id long, fp binary")
 
 
+def set_fingerprints(df: DataFrame, words: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, shingles (a digest of the set of shingles), fp."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
+                digests = [hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest() for s in sets]
+                fp = [fingerprint(t, words, width) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(fp, pa.binary())], ["doc_id", "text", "shingles", "fp"])
+
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, "doc_id long, text string, shingles binary, fp binary")
+
+
 # --- shards and trees ---
 
 
@@ -107,6 +136,34 @@ def band_masks(n: int, radius: int, bits: int = 64) -> list[int]:
     return [sum(part[i] for i in kept) for kept in combinations(range(blocks), blocks - radius)]
 
 
+def band_bits(width: int) -> np.ndarray:
+    """Bands of 16 bits: all bits of width words, as they stand and then dealt anew."""
+    r = np.random.RandomState(SEED)
+    return np.concatenate([np.arange(64 * width), *(r.permutation(64 * width) for _ in range(DEALS - 1))])
+
+
+def _banded(width: int):
+    """A row for each band of each wide fingerprint, with the words whose distance is taken."""
+    order = band_bits(width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                fp = part.column("fp").to_pylist()
+                bits = np.unpackbits(np.frombuffer(b"".join(fp), np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+                keys = np.ascontiguousarray(np.packbits(bits[:, order], axis=1, bitorder="little")).view("<u2").astype(np.int64)
+                n, bands = keys.shape
+                rows = pa.array(np.repeat(np.arange(n), bands))
+                near = pa.array([f[: 8 * MEASURED] for f in fp], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), pa.array(keys.reshape(-1)), part.column("node").take(rows), near.take(rows)],
+                    ["band", "key", "node", "fp"],
+                )
+
+    return run
+
+
 def _sharded(masks: list[int], width: int):
     """A row for each band of each fingerprint. With one word: the masks of it; else each 16 bits of each word."""
 
@@ -159,7 +216,7 @@ class Forest:
     def near(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places of queries and of what is within the radius of them, in pieces."""
         todo = [(queries, self.root[queries])]
-        most = FRONTIER // self.fp.shape[1]
+        most = FRONTIER // self.fp.shape[1] ** 2
         while todo:
             q, node = todo.pop()
             if len(q) > most:
@@ -221,6 +278,7 @@ def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
 
 
 def _search(radius: int, width: int):
+    gathered = GATHERED // width
     def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(parts)
         band, key, salt, salts, node = (t.column(c).to_numpy().astype(np.int64) for c in ("band", "key", "salt", "salts", "node"))
@@ -240,7 +298,7 @@ def _search(radius: int, width: int):
             if not b.num_rows:
                 continue
             shard = [b.column(c).to_numpy(zero_copy_only=False) for c in ("band", "key", "salt")]
-            if held >= GATHERED:
+            if held >= gathered:
                 # Cut where the last shard ends.
                 on = (shard[0] != last[0]) | (shard[1] != last[1]) | (shard[2] != last[2])
                 at = int(np.argmax(on)) if on.any() else b.num_rows
@@ -275,6 +333,79 @@ def links(fps: DataFrame, n: int, radius: int = 3, width: int = 1, hot: int = 20
     return dealt.select("band", "key", "salt", "salts", "node", "fp").mapInArrow(_search(radius, width), "a long, b long")
 
 
+def candidates(fps: DataFrame, radius: int, width: int, hot: int = 20_000) -> DataFrame:
+    """a, b: links that span the components of the wide fingerprints fps (columns node and fp) that share a band and are within the radius,
+    which is in bits of MEASURED words."""
+    spark = fps.sparkSession
+    schema = "band int, key long, node long, fp binary"
+    shards = fps.select("node", "fp").mapInArrow(_banded(width), schema)
+    # How crowded shards are is told from a part of the fingerprints; it only settles how many tasks share one.
+    part = fps.where(F.pmod("node", F.lit(COUNTED_PART)) == 0).select("node", "fp").mapInArrow(_banded(width), schema)
+    crowded = part.groupBy("band", "key").agg((F.count(F.lit(1)) * COUNTED_PART).alias("n")).where(F.col("n") > hot)
+    crowded = written(crowded.select("band", "key", F.ceil(F.col("n") / hot).cast("int").alias("salts")), "crowded")
+    if crowded.isEmpty():
+        shards = shards.withColumns({"salts": F.lit(1), "salt": F.lit(0)})
+        dealt = shards.repartition(partitions(spark), "band", "key")
+    else:
+        shards = shards.join(crowded.hint("merge"), ["band", "key"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+        shards = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        dealt = shards.repartition(partitions(spark), "band", "key", "salt")
+    dealt = dealt.sortWithinPartitions("band", "key", "salt", "node")
+    return dealt.select("band", "key", "salt", "salts", "node", "fp").mapInArrow(_search(radius, MEASURED), "a long, b long")
+
+
+def alike_sets(sets: list[np.ndarray], alike: float) -> np.ndarray:
+    """Of each set, the place of the first one of its component; sets are linked from a Jaccard similarity of `alike` on, all pairs of them.
+
+    Two such sets share one of the rarest members of either, so only sets that do are compared, and only with sets not yet reached."""
+    label = np.full(len(sets), -1)
+    size = np.array([len(s) for s in sets], np.int64)
+    start = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, member, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    member = rank[member]
+    member = member[np.lexsort((member, owner))]
+    least = np.ceil(alike * size - 1e-9).astype(np.int64)
+    leading = np.arange(len(member)) - start[owner] <= (size - least)[owner]
+    own = np.zeros(len(count), bool)
+    names, places, held, left = np.zeros(0, np.int64), np.zeros(0, np.int64), None, len(sets)
+    for first in range(len(sets)):
+        if label[first] >= 0:
+            continue
+        label[first], todo = first, [first]
+        left -= 1
+        while todo and left:
+            if held is None or left <= held // 2:
+                at = np.flatnonzero(leading & (label[owner] < 0))
+                at = at[np.argsort(member[at], kind="stable")]
+                names, places, held = member[at], owner[at], left
+            x = todo.pop()
+            whole = member[start[x] : start[x] + size[x]]
+            lead = whole[: size[x] - least[x] + 1]
+            low, high = np.searchsorted(names, lead), np.searchsorted(names, lead, side="right")
+            met = np.zeros(len(sets), bool) if high.size and int((high - low).sum()) else None
+            if met is None:
+                continue
+            for s, e in zip(low.tolist(), high.tolist(), strict=True):
+                met[places[s:e]] = True
+            met = np.flatnonzero(met & (label < 0) & (size >= least[x]) & (least <= size[x]))
+            own[whole] = True
+            for at in range(0, len(met), 4096):
+                part = met[at : at + 4096]
+                n = size[part]
+                ends = np.cumsum(n)
+                members = member[np.repeat(start[part] - (ends - n), n) + np.arange(ends[-1])]
+                both = np.add.reduceat(own[members].astype(np.int64), ends - n)
+                new = part[both >= alike * (size[x] + n - both) - 1e-9]
+                label[new] = first
+                left -= len(new)
+                todo += new.tolist()
+            own[whole] = False
+    return label
+
+
 # --- components ---
 
 
@@ -325,8 +456,29 @@ def near_duplicates(df: DataFrame, words: int = 3, radius: int = 3, width: int =
     return out.select("doc_id", F.lower(digits).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, words: int = 5, radius: int = 80, width: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stay, the smallest id of each component, with all their columns."""
-    found = near_duplicates(df, words, radius, width, id_col, text_col)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay"))
+def drop_near_duplicates(df: DataFrame, words: int = 5, radius: int = 68, width: int = 8, id_col: str = "doc_id", text_col: str = "text", alike: float = 0.8) -> DataFrame:
+    """The rows of df that stay, the smallest id of each component of texts whose sets of shingles have a Jaccard similarity of `alike`
+    or more, with all their columns. radius: of candidates, in bits of MEASURED words."""
+    docs = written(set_fingerprints(df, words, width, id_col, text_col), "fingerprints")
+    sets = docs.groupBy("shingles", "fp").agg(F.min("doc_id").alias("rep"))
+    sets = written(sets.withColumn("node", F.xxhash64("shingles")), "sets")
+    found = components(candidates(sets, radius, width))
+    found = written(sets.join(found.hint("merge"), "node").select("shingles", "rep", "label"), "candidates")
+
+    def settle(t: pa.Table) -> pa.Table:
+        first: dict[bytes, tuple[int | None, str | None]] = {}
+        for digest, i, text in zip(*(t.column(c).to_pylist() for c in ("shingles", "rep", "text")), strict=True):
+            first.setdefault(digest, (i, text))
+        label = alike_sets([shingle_set(text, words) for _, text in first.values()], alike)
+        least: dict[int, int | None] = {}
+        for k, (i, _) in zip(label.tolist(), first.values(), strict=True):
+            known = [x for x in (i, least.get(k)) if x is not None]
+            least[k] = min(known) if known else None
+        return pa.table({"__stay": pa.array(list(least.values()), pa.int64())})
+
+    # Of copies of a set only the first is looked at.
+    texts = docs.select("shingles", "doc_id", "text").join(found.hint("merge"), "shingles").where(F.col("doc_id").eqNullSafe(F.col("rep")))
+    settled = texts.select("label", "shingles", "rep", "text").groupBy("label").applyInArrow(settle, "__stay long")
+    alone = sets.join(found.select("shingles").hint("merge"), "shingles", "left_anti").select(F.col("rep").alias("__stay"))
+    stay = written(alone.unionByName(settled), "stay")
     return df.join(stay, df[id_col].eqNullSafe(stay["__stay"]), "left_semi")

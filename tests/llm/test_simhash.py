@@ -115,3 +115,54 @@ def test_edges(spark):
     assert H.near_duplicates(docs(spark, [(1, long), (1, long)])).select("component_id").distinct().count() == 1
     clash = docs(spark, [(1, "a b c"), (2, "a b c")]).selectExpr("doc_id", "text", "1 as fp", "2 as component_id", "3 as __x")
     assert H.drop_near_duplicates(clash).columns == clash.columns and H.drop_near_duplicates(clash).count() == 1
+
+
+def shingles(text, words=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} or {tuple(w)}
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_near_dup_stage_is_the_components_of_exact_similarity(spark):
+    import random
+
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(60):
+        base = sentence(rng, 150, vocabulary).split()
+        for edits in (0, 2, 3, 4, 5, 6, 7):  # similarities from 0.87 down to 0.6, on both sides of 0.8
+            w = list(base)
+            for at in rng.sample(range(150), edits):
+                w[at] = f"x{rng.random()}"
+            texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i // 7 * 7, i) if alike(sets[i], sets[j]) >= 0.8]
+    own = components(len(texts), linked)
+    assert 60 < len(set(own)) < len(texts)
+    kept = {r.doc_id for r in H.drop_near_duplicates(docs(spark, texts)).collect()}
+    assert kept == set(own)
+
+
+def test_alike_sets_match_brute_force():
+    rng = np.random.default_rng(6)
+    base = [rng.integers(0, 2**63, int(n)).astype(np.uint64) for n in rng.integers(1, 60, 20)]
+    sets = [np.unique(np.r_[b[rng.random(len(b)) < 0.93], rng.integers(0, 2**63, int(rng.integers(0, 4))).astype(np.uint64)]) for b in base for _ in range(12)] + [np.zeros(0, np.uint64)]
+    plain = [set(s.tolist()) for s in sets]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if plain[i] | plain[j] and 5 * len(plain[i] & plain[j]) >= 4 * len(plain[i] | plain[j])]
+    want = components(len(sets), linked)
+    got = H.alike_sets(sets, 0.8)
+    empty = [i for i, s in enumerate(plain) if not s]
+    assert [g for i, g in enumerate(got.tolist()) if i not in empty] == [w for i, w in enumerate(want) if i not in empty]
+
+
+def test_crowded_shards_are_shared(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, (1, 8), dtype=np.uint64)
+    rows = [(int(i) * 16, bytearray((base ^ np.uint64(1 << int(i) % 60)).tobytes())) for i in range(40)]
+    frame = spark.createDataFrame(rows, "node long, fp binary")
+    found = dict(H.components(H.candidates(frame, 68, 8, hot=16)).collect())
+    assert set(found.values()) == {0} and len(found) == 40
