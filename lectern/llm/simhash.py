@@ -5,7 +5,7 @@ are linked; a component is all that links reach.
 
 With 64 bits and a small radius the search is exact. Texts of which only four fifths agree are about ten bits of 64 apart, too
 many to search for; for these there are wide fingerprints of several words of 64 bits, the further ones of hashes made from the first by
-mixing. They only propose: texts meet in the shard of some 16 bits that agree, of all bits dealt
+mixing. They are of the set of shingles, and only propose: texts meet in the shard of some 16 bits that agree, of all bits dealt
 into bands several times, and those within a radius well beyond the similarity asked for are candidates. Components of candidates are then
 split by the sets themselves: in each, all pairs of at least that Jaccard similarity are linked, and components of these links count. A
 pair is missed only if no chain of candidates joins its texts.
@@ -109,7 +109,7 @@ def fingerprints(df: DataFrame, words: int = 3, width: int = 1, id_col: str = "d
 
 
 def set_fingerprints(df: DataFrame, words: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, shingles (a digest of the set of shingles), fp."""
+    """doc_id, text, shingles (a digest of the set of shingles), fp: of the set, so that a repeated line counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,7 +117,7 @@ def set_fingerprints(df: DataFrame, words: int, width: int, id_col: str = "doc_i
                 part = b.slice(at, 512)
                 sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
                 digests = [hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest() for s in sets]
-                fp = [fingerprint(t, words, width) for t in part.column(1).to_pylist()]
+                fp = [majority(s, width) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(fp, pa.binary())], ["doc_id", "text", "shingles", "fp"])
 
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, "doc_id long, text string, shingles binary, fp binary")

@@ -166,3 +166,16 @@ def test_crowded_shards_are_shared(spark):
     frame = spark.createDataFrame(rows, "node long, fp binary")
     found = dict(H.components(H.candidates(frame, 68, 8, hot=16)).collect())
     assert set(found.values()) == {0} and len(found) == 40
+
+
+def test_repeated_lines_count_once_in_the_near_dup_stage(spark):
+    import random
+
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    line = sentence(rng, 12, vocabulary)
+    apart = [sentence(rng, 150, vocabulary) + f" {line}" * 20 for _ in range(2)]
+    text = sentence(rng, 300, vocabulary)
+    near = [f"{text} {line}", text + f" {line}" * 5]
+    kept = {r.doc_id for r in H.drop_near_duplicates(docs(spark, apart + near)).collect()}
+    assert kept == {0, 1, 2}
