@@ -10,8 +10,8 @@ The models are fitted on a bounded sample of labelled rows, `train_rows` (defaul
 scored, each by its whole text.
 
 Edge cases: null and empty texts get the rate that the models give to a text without words, and aren't flagged. Where a row has several
-labels, one toxic label counts. Rows without a label aren't learned from. With no label of some kind, the probability is constant and
-nothing is flagged on it. Rows may repeat; an empty table gives an empty result. Only the named columns are read.
+labels, one toxic label counts. Rows without a label aren't learned from. With no label of some kind, or no word that
+tells, the probability is constant and nothing is flagged on it. Rows may repeat; an empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -36,9 +36,9 @@ LISTS = {
 CATEGORIES = (*LISTS, "toxic")
 BUCKETS = 1 << 20
 FOLDS = 5
-#: Words that one model looks at, those that tell the classes apart best; in how many rows each must stand, and in what part of
-#: them: a word of one text and its copies says nothing about others.
-FEATURES, SEEN, SEEN_PART = 1024, 4, 0.01
+#: Words that one model looks at, those that tell the classes apart best; in how many rows each must stand at least. Rows are distinct
+#: texts, so a word of one text and its copies isn't seen often. Toxic words may be rare: no part of the rows is asked for.
+FEATURES, SEEN = 1024, 4
 #: Standard deviations by which a word's rows must differ from chance; of a million buckets few reach it by accident.
 TELLING = 5.0
 MEMO = 400_000
@@ -86,7 +86,7 @@ def fit(docs: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, l2: float =
     seen = np.bincount(flat, minlength=BUCKETS)
     hits = np.bincount(flat, weights=y[owner], minlength=BUCKETS)
     expect = seen * rate
-    z = np.where(seen >= max(SEEN, SEEN_PART * len(y)), np.abs(hits - expect) / np.sqrt(expect * (1 - rate) + 1), 0)
+    z = np.where(seen >= SEEN, np.abs(hits - expect) / np.sqrt(expect * (1 - rate) + 1), 0)
     words = np.flatnonzero(z >= TELLING)
     words = np.sort(words[np.argsort(-z[words], kind="stable")][:FEATURES])
     place = np.full(BUCKETS, -1)
@@ -128,7 +128,7 @@ class Chain:
 
 def fit_chain(docs: list[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> Chain:
     """labels: a column for each category, in the chain's order; fold: of each row."""
-    chain, earlier = Chain(), np.zeros((len(docs), 0))
+    chain, earlier, told = Chain(), np.zeros((len(docs), 0)), np.zeros(len(docs), bool)
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(np.float64)
         unseen = np.zeros(len(docs))
@@ -137,10 +137,14 @@ def fit_chain(docs: list[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> C
             model = fit([docs[i] for i in own], earlier[own], y[own])
             rest = np.flatnonzero(fold == f)
             unseen[rest] = model.margin([docs[i] for i in rest], earlier[rest])
+            told[rest] |= len(model.words) > 0
         chain.models.append(fit(docs, earlier, y))
         earlier = np.column_stack([earlier, logit(sigmoid(unseen))])
-    if len(docs) and 0 < y.sum() < len(y):
-        chain.threshold = best_cut(sigmoid(earlier[:, -1]), y)
+    # Models without words give constants, of which none parts anything.
+    if not any(len(m.words) for m in chain.models):
+        chain.threshold = np.inf
+    elif 0 < y[told].sum() < told.sum():
+        chain.threshold = best_cut(sigmoid(earlier[told, -1]), y[told])
     return chain
 
 

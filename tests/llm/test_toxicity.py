@@ -65,3 +65,38 @@ def test_edges(spark):
     assert not X.learn_and_score(d, labels.selectExpr("doc_id", "0 as toxic")).where("toxic").count()
     odd = labels.selectExpr("cast(null as long) as doc_id", "toxic").unionByName(labels.selectExpr("doc_id", "cast(null as int) as toxic")).unionByName(labels.select("doc_id", "toxic")).unionByName(labels.select("doc_id", "toxic"))
     assert X.learn_and_score(d.selectExpr("*", "1 as toxic", "2 as words"), odd).count() == 33
+
+
+def rare_words(n=3000, seed=2, telling=True):
+    """Texts of which one in fifty is toxic, by words that are each in far less than a hundredth of the texts."""
+    rng = random.Random(seed)
+    common = [f"w{k}" for k in range(400)]
+    texts, toxic = [], []
+    for _ in range(n):
+        words = sentence(rng, 60, common).split()
+        bad = rng.random() < 0.02
+        if bad and telling:
+            words += rng.sample([f"bad{k}" for k in range(12)], 4)
+        texts.append(" ".join(words))
+        toxic.append(bad)
+    return texts, np.array(toxic)
+
+
+def test_rare_toxic_words_are_learned():
+    texts, toxic = rare_words()
+    docs_ = [X.buckets_of(t) for t in texts]
+    own = np.arange(len(texts)) % 2 == 0
+    assert all(sum(X.bucket(f"bad{k}") in d for d in docs_) < 0.01 * len(texts) for k in range(12))
+    none = np.zeros(len(texts), bool)
+    labels = np.column_stack([none, none, toxic])
+    chain = X.fit_chain([d for d, o in zip(docs_, own, strict=True) if o], labels[own], np.arange(own.sum()) % X.FOLDS)
+    flagged = X.Scorer(chain).probabilities(texts)[:, -1] >= chain.threshold
+    assert (flagged == toxic)[~own].mean() > 0.99 and flagged[~own & toxic].mean() > 0.9
+
+
+def test_nothing_is_flagged_where_no_word_tells():
+    texts, toxic = rare_words(1000, telling=False)
+    none = np.zeros(len(texts), bool)
+    chain = X.fit_chain([X.buckets_of(t) for t in texts], np.column_stack([none, none, toxic]), np.arange(len(texts)) % X.FOLDS)
+    assert toxic.any() and not len(chain.models[-1].words)
+    assert not (X.Scorer(chain).probabilities(texts)[:, -1] >= chain.threshold).any()
