@@ -1,7 +1,7 @@
 """License scans over a positional rare-token index, with DataFrame functions only.
 
-The index holds, for every template, where its rarest words stand; how rare a word is, is counted over all files. A file's
-licence words of highest IDF are looked up in it. A word at place i of the file and p of a template votes for the alignment
+The index holds, for every template, where its rarest words stand; how rare a word is, is counted over all files. All words of
+a file that the index has are looked up in it. A word at place i of the file and p of a template votes for the alignment
 i - p; votes of one template for one alignment are counted by sorting. A template with enough votes is a match if the file holds
 all its key phrases, word for word. Every step works inside a row: nothing but the word counts is shuffled, and the index
 is bounded by the templates.
@@ -46,8 +46,6 @@ TEMPLATES = (
 PART, MOST = 0.6, 24
 #: Part of a template's indexed words that must stand in one alignment: a file may hold a piece of it; key phrases decide.
 VOTES = 0.25
-#: A file's licence words that are looked up.
-LOOKED_UP = 64
 
 
 def normalised(text: Column) -> Column:
@@ -79,7 +77,7 @@ class Index:
             self.sizes.append(len(places))
             for w, p in places:
                 self.postings.setdefault(w, []).append((t, p))
-        self.vocabulary = sorted(self.postings, key=lambda w: (-idf(w), w))
+        self.vocabulary = sorted(self.postings)
         self.needed = [max(2, math.ceil(n * VOTES)) for n in self.sizes]
 
     def literal(self) -> Column:
@@ -110,8 +108,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
 
     d = df.select(df[id_col].alias("doc_id"), normalised(df[text_col]).alias("plain"))
     d = d.withColumns({"n_words": F.when(F.col("plain") == "", 0).otherwise(spaces(F.col("plain")) + 1).cast("long"), "padded": F.concat(F.lit(" "), F.col("plain"), F.lit(" ")), "words": F.split("plain", " ")})
-    # The vocabulary stands in order of IDF, and an intersection keeps the order of its first side.
-    d = d.withColumn("rare", F.slice(F.array_intersect(F.lit(index.vocabulary), F.col("words")), 1, LOOKED_UP))
+    # All indexed words of the file: the templates bound them, and a cap would lose whole templates in files that hold several.
+    d = d.withColumn("rare", F.array_intersect(F.lit(index.vocabulary), F.col("words")))
     d = d.withColumns({"postings": index.literal(), "needed": F.lit(index.needed)})
     d = d.withColumn(
         "pairs",

@@ -53,3 +53,12 @@ def test_edges(spark):
     assert L.scan(docs(spark, [])).count() == 0
     rows = L.scan(docs(spark, [(None, None), (1, "mit license"), (1, "mit license")]).selectExpr("doc_id", "text", "1 as words", "2 as padded", "3 as labels")).collect()
     assert sorted((r.doc_id or 0, r.n_words, r.labels) for r in rows) == [(0, 0, ""), (1, 2, "mit"), (1, 2, "mit")]
+
+
+def test_a_file_of_many_licenses_keeps_every_label(spark):
+    everything = " ".join(text for _, text, _ in L.TEMPLATES)
+    for label in ("cc", "isc", "bsd", "mpl", "lgpl", "unlicense"):
+        # This licence's words are the commonest of all.
+        own = [" ".join(sorted(text.split())) for name, text, _ in L.TEMPLATES if name == label]
+        found = L.scan(docs(spark, [everything] + own * 20)).where("doc_id = 0").first()
+        assert found.labels.split(",") == sorted({name for name, _, _ in L.TEMPLATES}), label
