@@ -17,13 +17,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset and all runs in one process, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     set_one = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_one.isDefined():
         return set_one.get()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -54,14 +56,33 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        jvm = spark.sparkContext._jvm
-        for kind, place in _LEFT[before:]:
-            if kind == "table":
-                spark.sql(f"DROP TABLE IF EXISTS {place}")
-            else:
-                path = jvm.org.apache.hadoop.fs.Path(place)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        del _LEFT[before:]
+        drop_scratch(spark, before)
+
+
+def left() -> int:
+    """How much scratch there is so far, for drop_scratch."""
+    return len(_LEFT)
+
+
+def drop_scratch(spark: SparkSession, begin: int = 0, end: int | None = None) -> None:
+    """Deletes what was left from `begin` on, before `end`."""
+    jvm = spark.sparkContext._jvm
+    gone = _LEFT[begin:end]
+    del _LEFT[begin:end]
+    for kind, place in gone:
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {place}")
+        else:
+            path = jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """From now on, Arrow batches of this session hold `most` bytes at most (and a row): whole texts go to Python, and by the default of
+    64 MiB each task would hold several times that."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > most:
+        spark.conf.set(key, str(most))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -5,128 +5,61 @@ Pass two lets every row through whose counters are not all two: its text is cert
 possible repeats, are shuffled and grouped by their full SHA-256; what the filter wrongly held is told apart there, so the
 result is exact whatever the filter's size.
 
-The filter is broadcast. It has `slots_per_row` slots a row and never more than `max_slots` (2^28: 32 MiB as bits); with more
-rows than that, more rows shuffle, and nothing else changes.
+The filter is broadcast. It has `slots_per_row` slots a row and never more than `max_slots` (2^28: 32 MiB as bits). With more rows than
+that, the hashes are cut into ranges, each of which is counted and tagged with a filter of its own, one after the other, so that single
+rows pass straight through at any size.
+
+Dropping repeats from whole rows takes the same passes over the hashes; then a filter of the repeated hashes alone tells which whole rows may
+have to go. Those are reduced to one a text, before and after a shuffle; all others stay where they lie.
 
 Edge cases: null text counts as empty; all empty texts are equal to each other. A null doc_id comes after all others in ties.
-Rows that repeat a doc_id count as rows of their own, and those with the same text stay or go together. An empty table
-gives an empty result. Columns other than the two named are not read, so their names can't clash.
+Rows that repeat a doc_id count as rows of their own; in `exact_groups` those with the same text are kept or not together, and in
+`drop_exact_duplicates` one row of them stays, which of them if they tie is open. An empty table gives an empty result. Columns other than
+the two named are carried whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from . import bloom
+from .common import written
 
 #: Deleted before texts are compared.
 SPACES = " \t\n\x0b\x0c\r"
-SEGMENT = 1 << 16
-HASHES = 2
-#: Rows of one partition whose slots are gathered before they are handed on.
-GATHER = 1 << 18
 
 
 def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def _slots(sha: pa.Array, slots: int) -> np.ndarray:
-    """HASHES slots for each digest (32 bytes each), from bytes of the digest that do not overlap."""
-    sha = sha.combine_chunks() if isinstance(sha, pa.ChunkedArray) else sha
-    words = np.frombuffer(b"".join(sha.to_pylist()), dtype="<u8").reshape(-1, 4)[:, :HASHES]
-    return (words & np.uint64(slots - 1)).astype(np.int64)
-
-
-def _count(slots: int):
-    def emit(parts: list[np.ndarray]) -> pa.RecordBatch:
-        at = np.sort(np.concatenate(parts))
-        seg = at // SEGMENT
-        starts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-        low = (at % SEGMENT).astype("<u2")
-        blobs = [x.tobytes() for x in np.split(low, starts[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(seg[starts].astype(np.int32)), pa.array(blobs, pa.binary())], ["seg", "hits"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
-        for b in batches:
-            if b.num_rows:
-                parts.append(_slots(b.column(0), slots).ravel())
-                n += b.num_rows
-            if n >= GATHER:
-                yield emit(parts)
-                parts, n = [], 0
-        if parts:
-            yield emit(parts)
-
-    return run
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by segment; one segment's counters are held at a time."""
-    seg, counts = None, None
-
-    def out():
-        bits = np.packbits(counts >= 2, bitorder="little").tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([bits], pa.binary())], ["seg", "bits"])
-
-    for b in batches:
-        for s, hits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if s != seg:
-                if seg is not None and (counts >= 2).any():
-                    yield out()
-                seg, counts = s, np.zeros(SEGMENT, np.uint8)
-            more = np.bincount(np.frombuffer(hits, "<u2"), minlength=SEGMENT)
-            counts = np.minimum(counts + np.minimum(more, 2), 2).astype(np.uint8)
-    if seg is not None and (counts >= 2).any():
-        yield out()
-
-
-def repeated_filter(hashes: DataFrame, n_rows: int, slots_per_row: int = 8, max_slots: int = 1 << 28) -> tuple[int, bytes]:
-    """Slots of the counting filter, and a bit for each: whether it was hit twice. hashes: one column of 32-byte digests."""
-    slots = SEGMENT
-    while slots < min(max_slots, n_rows * slots_per_row):
-        slots *= 2
-    spark = hashes.sparkSession
-    hits = hashes.mapInArrow(_count(slots), "seg int, hits binary")
-    merged = hits.repartition(partitions(spark), "seg").sortWithinPartitions("seg").mapInArrow(_merge, "seg int, bits binary")
-    bits = bytearray(slots // 8)
-    for seg, part in merged.collect():  # slots / 8 bytes at most
-        bits[seg * (SEGMENT // 8) : (seg + 1) * (SEGMENT // 8)] = part
-    return slots, bytes(bits)
-
-
-def _flag(slots: int, held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(held.value, np.uint8)
-        for b in batches:
-            at = _slots(b.column("sha"), slots)
-            maybe = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1) if b.num_rows else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(maybe)], [*b.schema.names, "maybe"])
-
-    return run
-
-
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots_per_row: int = 8, max_slots: int = 1 << 28) -> DataFrame:
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.encode(normalised(text), "UTF-8"), 256))
+
+
+def n_chars(text: Column) -> Column:
+    return F.coalesce(F.length(text), F.lit(0)).cast("long")
+
+
+def tagged_hashes(df: DataFrame, id_col: str, text_col: str, slots_per_row: int, max_slots: int) -> DataFrame:
+    """doc_id, n_chars, sha, maybe: false if the row's text is certainly unique. A row for each row of df."""
+    rows = written(df.select(df[id_col].cast("long").alias("doc_id"), n_chars(df[text_col]).alias("n_chars"), digest(df[text_col]).alias("sha")), "exact-hashes")
+    n = rows.count()
+    ranges = max(1, -(-n * slots_per_row // max_slots))
+    tagged = []
+    for k in range(ranges):
+        own = rows if ranges == 1 else rows.where(F.pmod(F.xxhash64("sha"), F.lit(ranges)) == k)
+        twice = bloom.build(own.select("sha"), -(-n // ranges), 2, slots_per_row, max_slots)
+        tagged.append(written(own.withColumn("maybe", twice.passes(F.col("sha"))), "exact-tagged"))
+    return reduce(DataFrame.unionByName, tagged)
+
+
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots_per_row: int = bloom.SLOTS_PER_ROW, max_slots: int = bloom.MAX_SLOTS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of df. The longest original text stays, then the smallest id."""
-    spark = df.sparkSession
-    text = F.coalesce(df[text_col], F.lit(""))
-    rows = written(
-        df.select(
-            df[id_col].cast("long").alias("doc_id"),
-            F.length(text).cast("long").alias("n_chars"),
-            F.unhex(F.sha2(F.encode(normalised(df[text_col]), "UTF-8"), 256)).alias("sha"),
-        ),
-        "exact-hashes",
-    )
-    slots, bits = repeated_filter(rows.select("sha"), rows.count(), slots_per_row, max_slots)
-    held = spark.sparkContext.broadcast(bits)
-    tagged = written(rows.mapInArrow(_flag(slots, held), "doc_id long, n_chars long, sha binary, maybe boolean"), "exact-tagged")
+    tagged = tagged_hashes(df, id_col, text_col, slots_per_row, max_slots)
     alone = tagged.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     repeats = tagged.where("maybe").select("doc_id", "n_chars", "sha")
     # ~doc_id turns "smallest id" into "largest", without the overflow of a sign change; a null id sorts below all.
@@ -145,10 +78,17 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stay, with all their columns."""
-    stay = exact_groups(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("__stay"))
-    return df.join(stay, df[id_col].eqNullSafe(stay["__stay"]), "left_semi")
+def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots_per_row: int = bloom.SLOTS_PER_ROW, max_slots: int = bloom.MAX_SLOTS) -> DataFrame:
+    """The rows of df that stay, with all their columns: one for each text."""
+    tagged = tagged_hashes(df, id_col, text_col, slots_per_row, max_slots)
+    repeated = written(tagged.where("maybe").groupBy("sha").count().where(F.col("count") > 1).select("sha"), "exact-repeated")
+    known = bloom.build(repeated, repeated.count(), 1, slots_per_row, max_slots)
+    row = F.struct(*[df[c].alias(f"c{k}") for k, c in enumerate(df.columns)])
+    rows = df.select(row.alias("row"), digest(df[text_col]).alias("sha"), n_chars(df[text_col]).alias("n_chars"), F.bitwise_not(df[id_col].cast("long")).alias("inv"))
+    rows = rows.withColumn("maybe", known.passes(F.col("sha")))
+    # Of a text that a third of all rows hold, each task hands on one row.
+    best = rows.where("maybe").groupBy("sha").agg(F.max_by("row", F.struct("n_chars", "inv")).alias("row"))
+    return rows.where(~F.col("maybe")).select("row").unionByName(best.select("row")).select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(df.columns)])
 
 
 ORACLE_SQL = r"""

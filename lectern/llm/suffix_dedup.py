@@ -9,24 +9,29 @@ they stand. Neighbouring strings share theirs, so a text falls into runs of stri
 1. Documents are dealt to batches of some MB, each a group of rows of a table that is bucketed by batch, so that later rounds
    read it without another shuffle. A batch tells each shard of grams, in sorted 32-bit codes, which grams it has; the shard answers which
    of them another document has too. Wrong agreements of codes cost work, not results.
-2. For those, the batch sends the context of each run - the bytes of its strings, each distinct context once, with its smallest
-   id - to the gram's shard. A shard takes contexts in the order of ids, in portions; a portion gets a suffix array, cut off at
-   `length`, is merge-scanned against the existing levels for strings of an earlier document, and becomes a level of what is new; levels of
-   like size merge, so there are logarithmically many. The shard answers which strings of a context have an earlier holder.
+2. For those, the batch sends the context of each run - the bytes of its strings, equal contexts of a batch once, with their smallest
+   id - to the gram's shard. A shard takes contexts in the order of ids, in portions. A portion gets a suffix array: the places of its strings,
+   sorted by prefix doubling that ends at `length`. It is merge-scanned, block by block, against the suffix arrays of the existing levels
+   for strings of an earlier document, and becomes a level of what is new; levels of like size merge, so there are logarithmically many. A level
+   is a text and sorted places in it, of 8 bytes for each string. The shard answers which strings of a context have an earlier holder.
 3. The batch marks those strings and removes what they cover.
 
 A gram that stands in very many runs, as in a line that a third of all documents hold, would send all their contexts to one
 shard. Beyond `hot` runs the strings of its contexts are dealt one by one by their own hash, whether or not they repeat;
-that is as exact, and no shard gets more than its share. A copy in a batch sends nothing of its own, so groups of copies are gathered first.
+that is as exact, and no shard gets more than its share: a batch sends a string once.
+
+Batches and shards grow in number with the input, up to the 100,000 buckets that a table can have (0.8 TB by default); beyond that batches grow, and
+`batch_bytes` times that number should be raised to what executors hold. Each batch has a row for each shard, so rows, though not bytes, grow
+with the square of the number of batches.
 
 Edge cases: null text is empty; texts shorter than `length` stay whole. A null id counts as larger than all others; rows with the same
-id don't remove each other's bytes, nor do rows with a null id. Very long texts are cut into overlapping stretches inside
-their batch. An empty table gives an empty result. Columns other than the two named are carried on demand under their own names.
+id don't remove each other's bytes, nor do rows with a null id; they are dealt to batches by their texts and where they lie, too. Very long texts are
+cut into overlapping stretches inside their batch. An empty table gives an empty result. Columns other than the two named are carried on
+demand under their own names.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +40,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_table, written
+from .common import scratch_table, small_batches, written
 
 GRAM = 16
 #: Bytes that are hashed at once, and stretches of a long text.
 CHUNK, STRETCH = 1 << 18, 1 << 20
-#: Strings of a portion that gets a suffix array of its own.
-PORTION = 1 << 16
+#: Strings of a portion that gets a suffix array of its own, and of a level that are looked at at once.
+PORTION, BLOCK = 1 << 17, 1 << 15
 NULL_ID = (1 << 63) - 1
 _U = np.uint64
 
@@ -127,36 +132,66 @@ class Texts:
         return np.unique(code, return_inverse=True)
 
 
+def words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, the first one as the highest."""
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[at]).view(">u8").reshape(-1).astype(_U)
+
+
+def _offsets(length: int) -> list[int]:
+    """Where words of eight bytes begin that cover a string."""
+    return [*range(0, length - 8, 8), length - 8]
+
+
+def string_hashes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    h = np.zeros(len(at), _U)
+    for k in _offsets(length):
+        h = (h ^ words_at(data, at + k)) * _U(0x9E3779B97F4A7C15)
+        h ^= h >> _U(29)
+    h *= _U(0xBF58476D1CE4E5B9)
+    return h ^ (h >> _U(32))
+
+
 class Contexts:
-    """Contexts of the runs whose gram another document has too: each distinct one once."""
+    """Contexts of the runs whose gram another document has too, equal ones once: where one stands, its number of strings and its smallest id."""
 
     def __init__(self, texts: Texts, flags: np.ndarray, shards: int):
         codes, inverse = texts.grams(shards)
         flag = flags[inverse] if len(inverse) else np.zeros(0, np.uint8)
-        chosen = np.flatnonzero(flag & 1)
-        data, length = texts.data, texts.length
-        seen: dict[bytes, int] = {}
-        of, first, last, doc, target = [], [], [], [], []
-        shard_of = (codes >> _U(32)).astype(np.int64)[inverse[chosen]] if len(chosen) else []
-        for a, b, d, s, hot in zip(texts.first[chosen].tolist(), texts.last[chosen].tolist(), texts.doc[chosen].tolist(), list(shard_of), (flag[chosen] & 2).tolist(), strict=True):
-            for x, y in ((p, p) for p in range(a, b + 1)) if hot else ((a, b),):
-                c = data[x : y + length]
-                i = seen.get(c)
-                if i is None:
-                    i = seen[c] = len(seen)
-                    target.append(zlib.crc32(c) % shards if hot else int(s))
-                of.append(i)
-                first.append(x)
-                last.append(y)
-                doc.append(d)
-        self.of, self.first, self.last, self.doc = (np.array(v, np.int64) for v in (of, first, last, doc))
-        self.bytes = list(seen)
-        self.least = np.full(len(seen), NULL_ID, np.int64)
-        if len(seen):
-            np.minimum.at(self.least, self.of, texts.ids[self.doc])
-        self.target = np.array(target, np.int64)
+        plain, hot = np.flatnonzero(flag & 3 == 1), np.flatnonzero(flag & 3 == 3)
+        # Runs as they are, and the strings of hot ones one by one.
+        n = texts.last[hot] - texts.first[hot] + 1
+        single = np.repeat(texts.first[hot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        self.first = np.r_[texts.first[plain], single]
+        self.last = np.r_[texts.last[plain], single]
+        self.doc = np.r_[texts.doc[plain], np.repeat(texts.doc[hot], n)]
+        ids = texts.ids[self.doc]
+        own = string_hashes(texts.bytes, self.first, texts.length) if len(self.first) else np.zeros(0, _U)
+        key = own.copy()
+        if len(key):
+            key ^= string_hashes(texts.bytes, self.last, texts.length) * _U(0x94D049BB133111EB) + (self.last - self.first).astype(_U)
+        self.of, self.place = self._equal(texts, key)
+        self.least = np.full(len(self.place), NULL_ID, np.int64)
+        np.minimum.at(self.least, self.of, ids)
+        shard = (codes >> _U(32)).astype(np.int64)[inverse[plain]] if len(plain) else np.zeros(0, np.int64)
+        self.target = np.r_[shard, (own[len(plain) :] % _U(shards)).astype(np.int64)][self.place]
+        self.strings = (self.last - self.first + 1)[self.place]
         self.order = np.argsort(self.target, kind="stable")
 
+    def _equal(self, texts: Texts, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each run the number of its context, and of each context the place of a run. Runs of one hash are compared byte by byte."""
+        of, places, todo = np.zeros(len(key), np.int64), [], np.arange(len(key))
+        while len(todo):
+            _, lead, group = np.unique(key[todo], return_index=True, return_inverse=True)
+            like = todo[lead][group]
+            same = (self.last - self.first)[todo] == (self.last - self.first)[like]
+            for ends in (self.first, self.last):
+                for k in _offsets(texts.length):
+                    same &= words_at(texts.bytes, ends[todo] + k) == words_at(texts.bytes, ends[like] + k)
+            of[todo[same]] = sum(map(len, places)) + group[same]
+            places.append(todo[lead])
+            todo = todo[~same]
+        return of, np.concatenate(places) if places else np.zeros(0, np.int64)
+
     def by_shard(self) -> Iterator[tuple[int, np.ndarray]]:
         own = self.target[self.order]
         if not len(own):
@@ -166,74 +201,106 @@ class Contexts:
             yield int(own[s]), self.order[s:e]
 
 
+def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all spans, one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def suffix_array(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts places by the string of `length` bytes that begins there, by prefix doubling: their order, and of each in it whether its string is
+    another than the one before."""
+    padded = np.r_[data, np.zeros(length + 8, np.uint8)]
+    width, rank = 8, np.unique(words_at(padded, np.arange(len(data) + length)), return_inverse=True)[1]
+    while 2 * width <= length:
+        rank = np.unique(rank[:-width] * np.int64(len(rank) + 1) + rank[width:], return_inverse=True)[1]
+        width *= 2
+    key = rank[at] * np.int64(len(rank) + 1) + rank[at + length - width]
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    return order, np.r_[True, ranked[1:] != ranked[:-1]][: len(order)]
+
+
 class Family:
-    """The levels of one shard: sorted distinct strings and the smallest id that holds each. Portions come in the order of ids."""
+    """The levels of one shard, each a text, the sorted places of its distinct strings, and the smallest id that holds each. Portions come in the
+    order of ids."""
 
     def __init__(self, length: int):
-        self.kind = f"S{length}"  # all strings have the full length, so nothing hangs on the padding
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def scan(self, strings: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Whether each string has a holder with a smaller id, among the levels or in the portion itself; then it is taken in."""
-        order = np.argsort(strings, kind="stable")  # the portion's suffix array; equal strings stay in the order of ids
-        ranked = strings[order]
-        new = np.r_[True, ranked[1:] != ranked[:-1]]
-        distinct, group = ranked[new], np.cumsum(new) - 1
-        least = ids[order][new]
+        self.length = length
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def strings(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """All have the full length, so nothing hangs on the padding of this type."""
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, self.length)[at]).view(f"S{self.length}").reshape(-1)
+
+    def _matches(self, wanted: np.ndarray, data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two sorted runs, scanned side by side, a block of the level at a time: which of the wanted strings stand in the level, and where."""
+        hits, where = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        low = 0
+        for s in range(0, len(places), BLOCK):
+            held = self.strings(data, places[s : s + BLOCK])
+            high = int(np.searchsorted(wanted, held[-1], side="right"))
+            if high > low:
+                at = np.searchsorted(held, wanted[low:high])
+                hit = np.flatnonzero(held[at] == wanted[low:high])
+                hits.append(low + hit)
+                where.append(s + at[hit])
+            low = high
+        return np.concatenate(hits), np.concatenate(where)
+
+    def _merged(self, a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """One level of two: each string of the smaller finds its place among the larger's."""
+        (x, p, i), (y, q, j) = a, b
+        at = np.zeros(len(q), np.int64)
+        wanted, low = self.strings(y, q), 0
+        for s in range(0, len(p), BLOCK):
+            held = self.strings(x, p[s : s + BLOCK])
+            high = int(np.searchsorted(wanted, held[-1])) if s + BLOCK < len(p) else len(wanted)
+            at[low:high] = s + np.searchsorted(held, wanted[low:high])
+            low = high
+        return np.concatenate([x, y]), np.insert(p, at, q + len(x)), np.insert(i, at, j)
+
+    def scan(self, data: np.ndarray, places: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether the string at each place has a holder with a smaller id, among the levels or in the portion itself; then it is taken in."""
+        order, new = suffix_array(data, places, self.length)
+        distinct, group = places[order[new]], np.cumsum(new) - 1
+        least = np.full(len(distinct), NULL_ID, np.int64)
+        np.minimum.at(least, group, ids[order])
         known = np.zeros(len(distinct), bool)
-        for held, holder in self.levels:
-            at = np.minimum(np.searchsorted(held, distinct), len(held) - 1)
-            hit = held[at] == distinct
-            least[hit] = np.minimum(least[hit], holder[at[hit]])
-            known |= hit
-        out = np.empty(len(strings), bool)
+        wanted = self.strings(data, distinct)
+        for text, held, holder in self.levels:
+            hit, where = self._matches(wanted, text, held)
+            least[hit] = np.minimum(least[hit], holder[where])
+            known[hit] = True
+        out = np.empty(len(places), bool)
         out[order] = least[group] < ids[order]
         if not known.all():
-            self.levels.append((distinct[~known], least[~known]))
-            while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-                (a, x), (b, y) = self.levels.pop(), self.levels.pop()
-                both = np.concatenate([b, a])
-                merged = np.argsort(both, kind="stable")  # two sorted runs: one pass
-                self.levels.append((both[merged], np.concatenate([y, x])[merged]))
+            self.levels.append((data, distinct[~known], least[~known]))
+            while len(self.levels) > 1 and len(self.levels[-2][1]) <= 2 * len(self.levels[-1][1]):
+                b, a = self.levels.pop(), self.levels.pop()
+                self.levels.append(self._merged(a, b))
         return out
 
 
-def earlier_holders(contexts: list[bytes], ids: np.ndarray, length: int) -> np.ndarray:
-    """Of each context a mask: bit i is set if its i-th string stands in a context with a smaller id."""
-    out = np.zeros(len(contexts), _U)
+def earlier_holders(data: np.ndarray, strings: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """data: contexts, one after the other; strings: how many each has. Of each context a mask: bit i is set if its i-th string stands in a
+    context with a smaller id."""
+    out = np.zeros(len(ids), _U)
+    size = strings + length - 1
+    begin = np.cumsum(size) - size
     order = np.argsort(ids, kind="stable")
-    first: dict[bytes, int] = {}
-    todo: list[int] = []
     family = Family(length)
-
-    def portion(part: list[int]) -> None:
-        sizes = np.array([len(contexts[i]) for i in part], np.int64)
-        data = np.frombuffer(b"".join([contexts[i] for i in part]), np.uint8)
-        begin = np.r_[0, np.cumsum(sizes)[:-1]]
-        n = sizes - length + 1
-        bit = np.arange(int(n.sum())) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
-        at = np.repeat(begin, n) + bit
-        strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[at]).view(family.kind).reshape(-1)
-        earlier = family.scan(strings, np.repeat(ids[part], n))
+    total = np.cumsum(strings[order])
+    s = 0
+    while s < len(order):
+        e = max(s + 1, int(np.searchsorted(total, (total[s - 1] if s else 0) + PORTION, side="right")))
+        part = order[s:e]
+        n = strings[part]
+        text = data[spans(begin[part], size[part])]
+        bit = spans(np.zeros(len(part), np.int64), n)
+        earlier = family.scan(text, np.repeat(np.cumsum(size[part]) - size[part], n) + bit, np.repeat(ids[part], n))
         # Bits of one context are distinct, so they add up to its mask.
-        np.add.at(out, np.repeat(np.array(part), n)[earlier], _U(1) << bit[earlier].astype(_U))
-
-    count = 0
-    for i in order.tolist():
-        c = contexts[i]
-        j = first.setdefault(c, i)
-        if j == i:
-            todo.append(i)
-            count += len(c) - length + 1
-            if count >= PORTION:
-                portion(todo)
-                todo, count = [], 0
-    if todo:
-        portion(todo)
-    for i, c in enumerate(contexts):
-        if (j := first[c]) != i:
-            # The same strings as its first holder's, and that one too.
-            out[i] = _U((1 << (len(c) - length + 1)) - 1) if ids[j] < ids[i] else out[j]
+        np.add.at(out, np.repeat(part, n)[earlier], _U(1) << bit[earlier].astype(_U))
+        s = e
     return out
 
 
@@ -302,8 +369,8 @@ def _ask_contexts(length: int, shards: int):
         c = Contexts(texts, _answers(r, 0, "u1"), shards)
         rows = []
         for shard, at in c.by_shard():
-            own = [c.bytes[i] for i in at.tolist()]
-            rows.append((shard, np.array([len(own)], "<u4").tobytes() + c.least[at].astype("<i8").tobytes() + bytes(map(len, own)) + b"".join(own)))
+            begin, n = c.first[c.place[at]], c.strings[at]
+            rows.append((shard, np.array([len(at)], "<u4").tobytes() + c.least[at].astype("<i8").tobytes() + n.astype("u1").tobytes() + texts.bytes[spans(begin, n + length - 1)].tobytes()))
         return _blobs(t.column("batch")[0].as_py(), rows)
 
     return run
@@ -311,19 +378,17 @@ def _ask_contexts(length: int, shards: int):
 
 def _answer_contexts(length: int):
     def run(t: pa.Table) -> pa.Table:
-        contexts: list[bytes] = []
-        ids, sizes = [], []
-        data = t.column("data").to_pylist()
-        for d in data:
+        ids, strings, texts, sizes = [], [], [], []
+        for d in t.column("data").to_pylist():
             n = int(np.frombuffer(d, "<u4", 1)[0])
             ids.append(np.frombuffer(d, "<i8", n, 4))
-            ends = np.cumsum(np.frombuffer(d, "u1", n, 4 + 8 * n).astype(np.int64)) + 4 + 9 * n
-            contexts += [d[a:b] for a, b in zip([4 + 9 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            strings.append(np.frombuffer(d, "u1", n, 4 + 8 * n).astype(np.int64))
+            texts.append(np.frombuffer(d, np.uint8, offset=4 + 9 * n))
             sizes.append(n)
-        masks = earlier_holders(contexts, np.concatenate(ids), length)
+        masks = earlier_holders(np.concatenate(texts), np.concatenate(strings), np.concatenate(ids), length)
         ends = np.cumsum(sizes)
         return pa.table({
-            "shard": t.column("shard").cast(pa.int32()), "batch": t.column("batch").cast(pa.int32()), "kind": pa.array([1] * len(data), pa.int32()),
+            "shard": t.column("shard").cast(pa.int32()), "batch": t.column("batch").cast(pa.int32()), "kind": pa.array([1] * len(sizes), pa.int32()),
             "data": pa.array([masks[e - n : e].astype("<u8").tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary()),
         })
 
@@ -336,19 +401,22 @@ def _remove(length: int, shards: int, names: list[str], as_text: bool):
     def run(t: pa.Table, r: pa.Table) -> pa.Table:
         texts, t = _sorted_texts(t, length)
         c = Contexts(texts, _answers(r, 0, "u1"), shards)
-        masks = np.zeros(len(c.bytes), _U)
+        masks = np.zeros(len(c.place), _U)
         masks[c.order] = _answers(r, 1, "<u8")
         own = masks[c.of] if len(c.of) else np.zeros(0, _U)
         own[texts.ids[c.doc] > c.least[c.of]] = ~_U(0)
-        marked = np.zeros(len(texts.bytes) + 1, np.int32)
+        covered = np.zeros(len(texts.bytes), np.uint8)
         for bit in range(length - GRAM + 1):
             at = c.first + bit
-            marked[at[(at <= c.last) & ((own >> _U(bit)) & _U(1)).astype(bool)]] = 1
-        sums = np.cumsum(marked[:-1])
-        covered = sums.copy()
-        covered[length:] -= sums[:-length]
-        covered = covered > 0
-        kept, spans = [], []
+            covered[at[(at <= c.last) & ((own >> _U(bit)) & _U(1)).astype(bool)]] = 1
+        # Each mark goes on over the string that begins there: by 1, 2, 4, ... places, and by what is left.
+        width = 1
+        while width < length:
+            step = min(width, length - width)
+            covered[step:] |= covered[:-step].copy()
+            width += step
+        covered = covered.astype(bool)
+        kept, cuts = [], []
         k = 0
         for i, size in enumerate(texts.sizes):
             if k + 1 < len(texts.owner) and texts.owner[k + 1] == i:
@@ -366,11 +434,11 @@ def _remove(length: int, shards: int, names: list[str], as_text: bool):
             if cover.any():
                 kept.append(data[~cover].tobytes())
                 edge = np.flatnonzero(np.diff(np.r_[False, cover, False].astype(np.int8)))
-                spans.append([{"start": s, "end": e} for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
+                cuts.append([{"start": s, "end": e} for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
             else:
                 kept.append(data.tobytes())
-                spans.append([])
-        columns = {"doc_id": t.column("doc_id"), "n_bytes": pa.array(texts.sizes, pa.int64()), "spans": pa.array(spans, spans_type)}
+                cuts.append([])
+        columns = {"doc_id": t.column("doc_id"), "n_bytes": pa.array(texts.sizes, pa.int64()), "spans": pa.array(cuts, spans_type)}
         # As text: what is left of a character that was cut apart is dropped.
         columns["kept"] = pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
         return pa.table(columns | {n: t.column(n) for n in names})
@@ -386,33 +454,34 @@ def batch_labels(spark: SparkSession, n: int) -> list[int]:
     return [found.get(b, 30 * n + 100 + b) for b in range(n)]
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, batch_bytes: int = 8 << 20, hot: int = 4096, carry: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, batch_bytes: int = 8 << 20, hot: int = 4096, carry: bool = False, most_batches: int = 100_000) -> DataFrame:
     """doc_id, n_bytes, spans (array of start and end of what was removed, in bytes), kept (the bytes that stay); with carry, kept is
     text, and df's other columns follow as c0, c1, ... in their order. One row for each row of df."""
     if not GRAM < length <= 64 + GRAM - 1:
         raise ValueError("length must be over 16 and below 80")
     spark = df.sparkSession
+    small_batches(spark)
     total = df.agg(F.sum(F.octet_length(df[text_col]) + 64)).first()[0] or 0
-    # At most 100,000 buckets; batches grow beyond that.
-    batches = max(1, min(100_000, -(-total // batch_bytes)))
+    batches = max(1, min(most_batches, -(-total // batch_bytes)))
+    shards = -(-batches // 2)
     labels = batch_labels(spark, batches)
     others = [c for c in df.columns if c not in (id_col, text_col)] if carry else []
     names = [f"c{k}" for k in range(len(others))]
-    slot = F.pmod(F.xxhash64(df[id_col]), F.lit(batches)).cast("int")
+    slot = F.pmod(F.xxhash64(df[id_col], df[text_col], F.spark_partition_id()), F.lit(batches)).cast("int")
     rows = df.select(F.get(F.lit(labels), slot).alias("batch"), df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"), *[df[c].alias(n) for c, n in zip(others, names, strict=True)])
     name = scratch_table("suffix_batches")
     # Rows lie in the order of ids in their batch.
     rows.repartition(batches, "batch").write.option("compression", "zstd").bucketBy(batches, "batch").format("parquet").saveAsTable(name)
     t = spark.table(name)
     narrow = t.select("batch", "doc_id", "text").groupBy("batch")
-    asked = narrow.applyInArrow(_ask_grams(length, batches), "shard int, batch int, data binary")
+    asked = narrow.applyInArrow(_ask_grams(length, shards), "shard int, batch int, data binary")
     grams = written(asked.groupBy("shard").applyInArrow(_answer_grams(hot), "shard int, batch int, kind int, data binary"), "suffix-grams")
-    asked = narrow.cogroup(grams.groupBy("batch")).applyInArrow(_ask_contexts(length, batches), "shard int, batch int, data binary")
+    asked = narrow.cogroup(grams.groupBy("batch")).applyInArrow(_ask_contexts(length, shards), "shard int, batch int, data binary")
     masks = written(asked.groupBy("shard").applyInArrow(_answer_contexts(length), "shard int, batch int, kind int, data binary"), "suffix-masks")
     schema = T.StructType().add("doc_id", "long").add("n_bytes", "long").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "string" if carry else "binary")
     for c, n in zip(others, names, strict=True):
         schema = schema.add(n, df.schema[c].dataType)
-    return t.groupBy("batch").cogroup(grams.unionByName(masks).groupBy("batch")).applyInArrow(_remove(length, batches, names, carry), schema)
+    return t.groupBy("batch").cogroup(grams.unionByName(masks).groupBy("batch")).applyInArrow(_remove(length, shards, names, carry), schema)
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from lectern.llm import exact_dedup
+from lectern.llm import bloom, exact_dedup
 
 from .helpers import corpus, docs
 
@@ -39,8 +39,31 @@ def test_filter_lets_single_rows_through(spark):
 
     d = spark.range(3000).select(F.unhex(F.sha2(F.col("id").cast("string").cast("binary"), 256)).alias("sha"))
     twice = d.unionByName(d.limit(5))
-    slots, bits = exact_dedup.repeated_filter(twice, 3005)
-    assert slots % exact_dedup.SEGMENT == 0 and 5 <= sum(bin(b).count("1") for b in bits) < 400
+    held = bloom.build(twice, 3005, 2)
+    assert held.slots % bloom.SEGMENT == 0 and 5 <= sum(bin(b).count("1") for b in held.bits) < 400
+    passed = {bytes(r.sha) for r in d.where(held.passes(F.col("sha"))).collect()}
+    assert {bytes(r.sha) for r in d.limit(5).collect()} <= passed and len(passed) < 100
+    assert not d.where(bloom.build(d.limit(0), 0).passes(F.col("sha"))).count()
+    assert d.where(bloom.build(d, 3000).passes(F.col("sha"))).count() == 3000
+    assert d.limit(3).select(F.lit(None).cast("binary").alias("sha")).where(held.passes(F.col("sha"))).count() == 0
+
+
+def test_ranges_change_nothing(spark):
+    texts = list(enumerate(corpus(seed=4, n=300)))
+    # More slots asked for than one filter may have: several filters, one after the other.
+    cut = exact_dedup.exact_groups(docs(spark, texts), slots_per_row=1000, max_slots=1 << 16)
+    assert rows(cut) == brute(texts)
+
+
+def test_whole_rows(spark):
+    texts = list(enumerate(corpus(seed=5, n=100)))
+    stay = {k for _, k, _, _, _ in brute(texts)}
+    for slots in (8, 1000):
+        got = exact_dedup.drop_exact_duplicates(docs(spark, texts), slots_per_row=slots, max_slots=1 << 16).collect()
+        assert sorted(r.doc_id for r in got) == sorted(stay) and all(r.text == dict(texts)[r.doc_id] for r in got)
+    # An id that repeats is no reason to stay, and of rows that are alike in all one stays.
+    got = exact_dedup.drop_exact_duplicates(docs(spark, [(0, "X"), (1, "Y"), (1, "X"), (2, "Y"), (2, "Y"), (None, "Z"), (None, "Z"), (5, None), (4, " ")])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("0", "X"), ("1", "Y"), ("4", " "), ("None", "Z")]
 
 
 def test_edges(spark):

@@ -164,10 +164,65 @@ def test_crowded_shards_are_shared(spark):
     base = rng.integers(0, 2**63, (1, 8), dtype=np.uint64)
     rows = [(int(i) * 16, bytearray((base ^ np.uint64(1 << int(i) % 60)).tobytes())) for i in range(40)]
     frame = spark.createDataFrame(rows, "node long, fp binary")
-    found = dict(H.components(H.candidates(frame, 68, 8, hot=16)).collect())
+    found = dict(H.components(H.candidates(frame, 40, 36, 8, hot=16)).collect())
     assert set(found.values()) == {0} and len(found) == 40
 
 
+def test_bands_are_as_many_as_their_width_asks_for():
+    for n, alike in ((10, 0.8), (10**6, 0.8), (10**9, 0.8), (10**6, 0.9)):
+        wide, number = H.bands(n, alike)
+        order = H.band_bits(n, 8, alike)
+        assert order.shape == (number, wide) and all(len(set(b)) == wide for b in order.tolist()) and n / 2**wide <= 64
+        agree = 1 - np.arccos(2 * alike / (1 + alike)) / np.pi
+        assert (1 - agree**wide) ** number <= H.MISSED
+
+
+def test_majorities_match_plain_counting():
+    rng = np.random.default_rng(10)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 0, 3, 254, 255, 256, 1000)]
+    got = H.majorities(sets, 3)
+    for s, row in zip(sets, got, strict=True):
+        assert row.tobytes() == H.majority(s, 3)
+
+
+def test_shingle_sets_tell_texts_apart_by_their_shingles():
+    import pyarrow as pa
+
+    texts = [None, "", " \n", "a", "a b", "b a", "A  b", "a b c d e", "a b c d e f", "a b c d e a b c d e a b c d e", "\u00a0a b c d e", "x" * 100_000 + " y", "é è"]
+    plain = [frozenset(tuple((t or "").lower().split(" ") and __import__("re").findall(r"[^\x20\x09-\x0d]+", (t or "").lower()))[i : i + 5] for i in range(max(1, len((t or "").split()) - 4))) if (t or "").strip(" \n") else frozenset() for t in texts]
+    got = [frozenset(s.tolist()) for s in H.shingle_sets(pa.array(texts), 5)]
+    assert [len(s) for s in got] == [len(s) for s in plain]
+    for i in range(len(texts)):
+        for j in range(i):
+            assert (got[i] == got[j]) == (plain[i] == plain[j]) and len(got[i] & got[j]) == len(plain[i] & plain[j])
+
+
+@pytest.mark.parametrize("settled", [1 << 20, 200, 40])
+def test_groups_of_any_size_are_settled_alike(spark, settled):
+    rng = np.random.default_rng(9)
+    base = rng.integers(-(2**62), 2**62, 40)
+    rows = []
+    for label in range(3):
+        for _ in range(40):
+            own = base[: 40 - 8 * label].copy()
+            at = rng.choice(len(own), int(rng.integers(0, 5)), replace=False)
+            own[at] = rng.integers(-(2**62), 2**62, len(at))
+            rows.append((label, len(rows) * 7, sorted(own.tolist())))
+    frame = spark.createDataFrame(rows, "label long, node long, members array<long>")
+    found = dict(H.components(H.alike_links(frame, 0.8, settled)).collect())
+    plain = [set(m) for _, _, m in rows]
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][0] == rows[j][0] and 5 * len(plain[i] & plain[j]) >= 4 * len(plain[i] | plain[j])]
+    want = components(len(rows), linked)
+    assert [found.get(n, n) for _, n, _ in rows] == [w * 7 for w in want] and 3 < len(set(want)) < 100
+
+
+def test_rows_that_repeat_an_id_are_told_apart(spark):
+    long = " ".join(f"w{k}" for k in range(100))
+    other = " ".join(f"v{k}" for k in range(100))
+    got = sorted((r.doc_id, r.text) for r in H.drop_near_duplicates(docs(spark, [(0, long), (1, other), (1, long + " end"), (None, other), (2, None), (3, "")])).collect())
+    assert got == sorted([(0, long), (1, other), (2, None)], key=lambda r: (r[0], r[1] or ""))
+
+
 def test_repeated_lines_count_once_in_the_near_dup_stage(spark):
     import random
 

@@ -37,6 +37,7 @@ def rows(df):
 def small(monkeypatch):
     monkeypatch.setattr(S, "CHUNK", 512)
     monkeypatch.setattr(S, "PORTION", 64)
+    monkeypatch.setattr(S, "BLOCK", 8)
 
 
 def test_matches_brute_force(spark):
@@ -77,13 +78,42 @@ def test_family_of_levels():
     for c, i in zip(contexts, ids, strict=True):
         for k in range(len(c) - 9):
             least[c[k : k + 10]] = min(least.get(c[k : k + 10], 10**9), i)
-    masks = S.earlier_holders(contexts, ids, 10)
+    masks = S.earlier_holders(np.frombuffer(b"".join(contexts), np.uint8), np.array([len(c) - 9 for c in contexts]), ids, 10)
     for c, i, m in zip(contexts, ids, masks, strict=True):
         assert [bool(int(m) >> k & 1) for k in range(len(c) - 9)] == [least[c[k : k + 10]] < i for k in range(len(c) - 9)]
     f = S.Family(50)
+    strings = [b"%050d" % rng.randrange(10**40) for _ in range(512)]
     for k in range(64):
-        f.scan(np.array([b"%050d" % (k * 8 + j) for j in range(8)], "S50"), np.full(8, k))
-    assert len(f.levels) <= 8 and sum(len(x) for x, _ in f.levels) == 512
+        f.scan(np.frombuffer(b"".join(strings[8 * k : 8 * k + 8]), np.uint8), np.arange(8) * 50, np.full(8, k))
+    assert len(f.levels) <= 8 and sum(len(x) for _, x, _ in f.levels) == 512
+    for data, places, holder in f.levels:
+        held = [bytes(data[p : p + 50]) for p in places]
+        assert held == sorted(held) and [strings.index(x) // 8 for x in held] == holder.tolist()
+
+
+@pytest.mark.parametrize("length", [17, 31, 32, 33, 50, 64, 79])
+def test_suffix_arrays_are_sorted(length):
+    rng = np.random.default_rng(length)
+    data = np.r_[rng.integers(0, 2, 600), np.zeros(100), np.full(100, 255), rng.integers(0, 256, 200)].astype(np.uint8)
+    places = rng.permutation(len(data) - length + 1)
+    order, new = S.suffix_array(data, places, length)
+    ranked = [data[p : p + length].tobytes() for p in places[order]]
+    assert ranked == sorted(ranked) and new.tolist() == [k == 0 or ranked[k] != ranked[k - 1] for k in range(len(ranked))]
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(S, "string_hashes", lambda data, at, length: np.zeros(len(at), np.uint64))
+    line, other = b"a line of more than fifty bytes that two of the documents hold", b"another line of more than fifty bytes, which also stands twice"
+    texts = S.Texts([3, 1, 2], [line + b"." + other, other + b"!" + line, line], 50)
+    c = S.Contexts(texts, np.full(len(texts.grams(1)[0]), 1, np.uint8), 1)
+    of = {}
+    for k, a, b in zip(c.of, c.first, c.last, strict=True):
+        of.setdefault(texts.data[a : b + 50], set()).add(int(k))
+    assert all(len(v) == 1 for v in of.values()) and len(of) == len(c.place) == len({min(v) for v in of.values()})
+    held = {}
+    for d, a, b in zip(c.doc, c.first, c.last, strict=True):
+        held.setdefault(texts.data[a : b + 50], []).append(texts.ids[d])
+    assert all(c.least[min(k)] == min(held[context]) for context, k in of.items()) and any(len(set(v)) > 1 for v in held.values())
 
 
 def test_edges(spark):
