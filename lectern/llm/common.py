@@ -6,7 +6,7 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -66,15 +66,24 @@ def left() -> int:
 
 def drop_scratch(spark: SparkSession, begin: int = 0, end: int | None = None) -> None:
     """Deletes what was left from `begin` on, before `end`."""
-    jvm = spark.sparkContext._jvm
     gone = _LEFT[begin:end]
     del _LEFT[begin:end]
     for kind, place in gone:
         if kind == "table":
             spark.sql(f"DROP TABLE IF EXISTS {place}")
         else:
-            path = jvm.org.apache.hadoop.fs.Path(place)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete_path(spark, place)
+
+
+def delete_path(spark: SparkSession, place: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def reads_scratch(df: DataFrame, begin: int, end: int) -> bool:
+    """Whether df reads what was left from `begin` on, before `end`."""
+    names = [place.rsplit("/", 1)[-1].lower() for _, place in _LEFT[begin:end]]
+    return any(name in file.lower() for file in df.inputFiles() for name in names) if names else False
 
 
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
@@ -102,8 +111,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def library_memo(description: str, ordinary: bool = True, most: int = 200_000):
-    """Piece of text -> its ids as little-endian 32-bit bytes, by the tokenizers library; at most `most` pieces are kept."""
+def batch_labels(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that fall, one each, into n buckets."""
+    own = spark.range(0, 30 * n + 100).select(F.col("id").cast("int").alias("label"))
+    rows = own.groupBy(F.pmod(F.hash("label"), F.lit(n)).alias("bucket")).agg(F.min("label").alias("label")).collect()  # n rows
+    found = dict(rows)
+    return [found.get(b, 30 * n + 100 + b) for b in range(n)]
+
+
+def library_memo(description: str, ordinary: bool = True, most: int = 16 << 20):
+    """Piece of text -> its ids as little-endian 32-bit bytes, by the tokenizers library; pieces of some `most` bytes are kept. ordinary: the
+    strings of special tokens are text like any other."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -112,22 +130,48 @@ def library_memo(description: str, ordinary: bool = True, most: int = 200_000):
     return PieceMemo(tokenizer, most)
 
 
-class PieceMemo(dict):
+#: Bytes of an entry of a memo beside the text and the ids; longer texts are not kept.
+ENTRY, LONGEST = 200, 256
+
+
+class Memo(dict):
+    """What was seen of late, in two generations of half of `most` bytes each."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.size, self.before = most, 0, {}
+
+    def turn(self) -> None:
+        """Before a batch: if it is full, this generation becomes the former one."""
+        if self.size > self.most // 2:
+            self.before = {k: v for k, v in self.items() if len(k) <= LONGEST}
+            self.clear()
+            self.size = 0
+
+    def keep(self, key: str, ids: bytes) -> None:
+        self[key] = ids
+        self.size += ENTRY + len(key) + len(ids)
+
+    def drop_long(self, keys: Iterable[str]) -> None:
+        for k in keys:
+            if len(k) > LONGEST and k in self:
+                self.size -= ENTRY + len(k) + len(self.pop(k))
+
+
+class PieceMemo(Memo):
     """The pieces seen of late. New ones are encoded together: a run of pieces that the library would cut apart by itself is
     handed over as one text, and cut by the library's count of words."""
 
     def __init__(self, tokenizer, most: int):
-        super().__init__()
-        self.tokenizer, self.most, self.before = tokenizer, most, {}
+        super().__init__(most)
+        self.tokenizer = tokenizer
 
     def learn(self, texts: list[list[str]], joiner: str | None) -> None:
-        if len(self) > self.most // 2:
-            self.before = dict(self)
-            self.clear()
+        self.turn()
         new, before = [], self.before
         for p in set().union(*texts) - self.keys():
             if p in before:
-                self[p] = before[p]
+                self.keep(p, before[p])
             else:
                 new.append(p)
         # Pieces that can stand in a row: with "" between, those that begin with a space.
@@ -142,41 +186,44 @@ class PieceMemo(dict):
                 cuts = [*(edges * 4).tolist(), len(ids) * 4]
                 data = ids.tobytes()
                 for k, p in enumerate(part):
-                    self[p] = data[cuts[k] : cuts[k + 1]]
+                    self.keep(p, data[cuts[k] : cuts[k + 1]])
             else:
                 alone += part
         for at in range(0, len(alone), 4096):
             part = alone[at : at + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[p] = np.array(e.ids, "<u4").tobytes()
+                self.keep(p, np.array(e.ids, "<u4").tobytes())
 
     def joined(self, texts: list[list[str]], joiner: str | None = None) -> list[bytes]:
         """The ids of texts cut into pieces. joiner: what may stand between two pieces without changing either; None: nothing."""
         self.learn(texts, joiner)
-        return [b"".join([self[p] for p in t]) for t in texts]
+        out = [b"".join([self[p] for p in t]) for t in texts]
+        self.drop_long(set().union(*texts))
+        return out
 
 
-class ChunkMemo(dict):
+class ChunkMemo(Memo):
     """Chunk of text (what stands between white space) -> its ids. A new chunk is cut into pieces, which a PieceMemo knows."""
 
-    def __init__(self, pieces: PieceMemo, cut: Callable[[str], list[str]], joiner: str, most: int = 800_000):
-        super().__init__()
-        self.pieces, self.cut, self.joiner, self.most, self.before = pieces, cut, joiner, most, {}
+    def __init__(self, pieces: PieceMemo, cut: Callable[[str], list[str]], joiner: str, most: int = 32 << 20):
+        super().__init__(most)
+        self.pieces, self.cut, self.joiner = pieces, cut, joiner
 
     def of(self, chunks: list[str]) -> list[bytes]:
         """The ids of distinct chunks."""
-        if len(self) > self.most // 2:
-            self.before = dict(self)
-            self.clear()
+        self.turn()
         new, before = [], self.before
         for c in chunks:
             if c not in self:
                 if c in before:
-                    self[c] = before[c]
+                    self.keep(c, before[c])
                 else:
                     new.append(c)
-        self.update(zip(new, self.pieces.joined([self.cut(c) for c in new], self.joiner), strict=True))
-        return [self[c] for c in chunks]
+        for c, ids in zip(new, self.pieces.joined([self.cut(c) for c in new], self.joiner), strict=True):
+            self.keep(c, ids)
+        out = [self[c] for c in chunks]
+        self.drop_long(new)
+        return out
 
 
 def char_class(wanted: Callable[[str], bool], end: int = 0x250) -> str:

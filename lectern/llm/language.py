@@ -7,11 +7,16 @@ are multiplied out once, and a batch of texts is scored by one matrix product.
 
 Texts are lower-cased and taken whole, in stretches of `STRETCH` characters that are scored alike and averaged by their length.
 
-The model is fitted on a bounded sample: `per_lang` texts of each language (default 400), of which `landmarks` (default 192)
-are landmarks. They are chosen by a hash of the id; only ids whose crc32, mod 3, isn't 1 are learned from.
+The model is fitted on a bounded sample: some `per_lang` texts of each language (default 400), and of each text `stretches` stretches (default 4)
+that lie evenly from its beginning to its end. `landmarks` stretches (default 192) are landmarks. Texts are chosen by a threshold on a hash of the
+id, so nothing is ranked or gathered by language; only ids whose crc32, mod 3, isn't 1 are learned from.
+
+`known_language` rejects what is "und" and gives the others the language that was told. Every text with a letter is told one of the learned languages;
+how sure the model is, is its score, and no floor is set on it: margins of short clean texts lie as low as those of foreign scripts.
 
 Edge cases: null text, and text without a letter, is "und" with score 0; so is every text if there is nothing to learn from.
-Rows with a null id are never learned from. Rows may repeat. An empty table gives an empty result. Only the named columns are read.
+Rows with a null id are never learned from. Rows may repeat. An empty table gives an empty result. Only the named columns are read; others
+are carried whatever their names.
 """
 
 from __future__ import annotations
@@ -22,15 +27,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .common import small_batches
 
 BUCKETS = 1 << 15
 GRAMS = 4
 STRETCH = 2048
-#: Stretches of one text that are learned from.
-LEARNED = 4
+#: Stretches that are scored together.
+TOGETHER = 32
 UNKNOWN = "und"
 
 
@@ -65,14 +71,14 @@ class Model:
         group: list[int] = []
         size = 0
         for i, t in enumerate([*texts, None]):
-            if group and (t is None or size >= 128):
+            if group and (t is None or size >= TOGETHER):
                 self._add([texts[j] for j in group], group, out, total)
                 group, size = [], 0
             if t:
                 # A text of many stretches goes through in slices, so the matrix stays small.
-                if len(t) > 128 * STRETCH:
-                    for s in range(0, len(t), 128 * STRETCH):
-                        self._add([t[s : s + 128 * STRETCH]], [i], out, total)
+                if len(t) > TOGETHER * STRETCH:
+                    for s in range(0, len(t), TOGETHER * STRETCH):
+                        self._add([t[s : s + TOGETHER * STRETCH]], [i], out, total)
                 else:
                     group.append(i)
                     size += -(-len(t) // STRETCH)
@@ -126,72 +132,76 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(True))
 
 
-def _rows_of_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            text = text.lower()
-            # Stretches from all over the text.
-            starts = range(0, len(text), STRETCH)
-            step = max(1, len(starts) // LEARNED)
-            p, _, _ = presence([text[s : s + STRETCH] for s in starts[::step][:LEARNED]])
-            bits = [np.packbits(r).tobytes() for r in p]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bits)), pa.array(bits, pa.binary())], ["lang", "bits"])
+def spread(n: int, most: int) -> list[int]:
+    """`most` of n places, from the first to the last."""
+    return sorted({round(k * (n - 1) / max(1, most - 1)) for k in range(most)}) if n > most else list(range(n))
+
+
+def _rows_of_sample(stretches: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                text = text.lower()
+                starts = range(0, len(text), STRETCH)
+                p, _, _ = presence([text[starts[k] : starts[k] + STRETCH] for k in spread(len(starts), stretches)])
+                bits = [np.packbits(r).tobytes() for r in p]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bits)), pa.array(bits, pa.binary())], ["lang", "bits"])
+
+    return run
 
 
-def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, landmarks: int = 192) -> Model:
+def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, landmarks: int = 192, stretches: int = 4) -> Model:
     """Fits the model on the bounded sample."""
-    d = df.select(df[id_col].alias("id"), df[text_col].alias("text"), df[lang_col].alias("lang"))
-    d = d.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & has_letter(F.col("text")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = [r.id for r in d.select("id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_lang).select("id").collect()]
-    if not ids:
+    small_batches(df.sparkSession)
+    d = df.select(df[id_col].alias("id"), df[text_col].alias("text"), df[lang_col].alias("lang")).where(~held_out(df[id_col]) & df[lang_col].isNotNull())
+    counts = d.groupBy("lang").count().collect()  # a row for each language
+    if not counts:
         return fit(np.zeros((0, BUCKETS // 8), np.uint8), [])
-    chosen = d.where(F.col("id").isin(ids)).select("text", "lang")
-    # per_lang * LEARNED * 4 KiB a language at most. Sorted: the fit doesn't depend on the order of arrival.
-    sample = [(r.lang, bytes(r.bits)) for r in chosen.mapInArrow(_rows_of_sample, "lang string, bits binary").collect()]
+    # The hash's part of its range below which about per_lang rows of the language lie.
+    part = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, per_lang / r["count"]))])
+    at = F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double") / F.lit(float(1 << 53))
+    chosen = d.where((at <= F.element_at(part, F.col("lang"))) & has_letter(F.col("text"))).select("text", "lang")
+    # About per_lang * stretches * 4 KiB a language. Sorted: the fit doesn't depend on the order of arrival.
+    sample = [(r.lang, bytes(r.bits)) for r in chosen.mapInArrow(_rows_of_sample(stretches), "lang string, bits binary").collect()]
     sample.sort(key=lambda r: (r[0], zlib.crc32(r[1]), r[1]))
-    return fit(np.stack([np.frombuffer(b, np.uint8) for _, b in sample]), [v for v, _ in sample], landmarks)
+    return fit(np.array([np.frombuffer(b, np.uint8) for _, b in sample]).reshape(-1, BUCKETS // 8), [v for v, _ in sample], landmarks)
 
 
-def tagged(df: DataFrame, model: Model, text_col: str = "text", temperature: float = 4.0, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """df with two more columns, the language and its score. A column of df that has one of their names gives way."""
+def told(df: DataFrame, model: Model, text: Column, temperature: float = 4.0) -> Column:
+    """A struct of the language and its score. Only the text goes to Python."""
     held = df.sparkSession.sparkContext.broadcast(model)  # 128 KiB a language
-    own = [c for c in df.columns if c.lower() not in (*names, "__letters")]
-    d = df.select(*[df[c] for c in own], has_letter(df[text_col]).alias("__letters"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array, letters: pa.Array) -> pa.Array:
         m = held.value
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                known = part.column("__letters").to_pylist()
-                texts = [t.lower() if ok else "" for t, ok in zip(part.column(text_col).to_pylist(), known, strict=True)]
-                if m.langs:
-                    s = m.scores(texts) * temperature
-                    p = np.exp(s - s.max(axis=1, keepdims=True))
-                    p /= p.sum(axis=1, keepdims=True)
-                    best = p.argmax(axis=1)
-                    lang = [m.langs[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)]
-                    score = np.where(known, p.max(axis=1), 0.0)
-                else:
-                    lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*own, *names])
+        known = letters.to_pylist()
+        texts = [t.lower() if ok else "" for t, ok in zip(texts.to_pylist(), known, strict=True)]
+        lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        if m.langs and texts:
+            s = m.scores(texts)
+            p = np.exp((s - s.max(axis=1, keepdims=True)) * temperature)
+            p /= p.sum(axis=1, keepdims=True)
+            lang = [m.langs[k] if ok else UNKNOWN for k, ok in zip(s.argmax(axis=1), known, strict=True)]
+            score = np.where(known, p.max(axis=1), 0.0)
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
 
-    schema = T.StructType([*d.schema.fields[:-1], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return d.mapInArrow(run, schema)
+    # Nondeterministic only so that it is not computed twice, for a filter and for what it lets through.
+    return F.arrow_udf(run, "lang string, score double").asNondeterministic()(text, has_letter(text))
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row for each row of df."""
-    d = df.select(df[id_col].cast("long").alias("doc_id"), held_out(df[id_col]).alias("held_out"), df[text_col].alias("text"))
-    return tagged(d, model).select("doc_id", "held_out", "lang_pred", "score")
+    small_batches(df.sparkSession)
+    d = df.select(df[id_col].cast("long").alias("doc_id"), held_out(df[id_col]).alias("held_out"), told(df, model, df[text_col]).alias("told"))
+    return d.select("doc_id", "held_out", F.col("told.lang").alias("lang_pred"), F.col("told.score").alias("score"))
 
 
 def learn_and_identify(df: DataFrame) -> DataFrame:
     return identify(df, learn(df))
 
 
-def known_language(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of df whose language the model can tell, with all their columns."""
-    out = tagged(df, learn(df, text_col=text_col), text_col, names=("__lang", "__lang_score"))
-    return out.where(F.col("__lang") != UNKNOWN).select(*df.columns)
+def known_language(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of df whose language the model can tell, with all their columns, and that language as lang_col."""
+    model = learn(df, text_col=text_col, lang_col=lang_col)
+    rows = df.select(F.struct(*[df[c].alias(f"c{k}") for k, c in enumerate(df.columns)]).alias("row"), told(df, model, df[text_col]).alias("told"))
+    rows = rows.where(F.col("told.lang") != UNKNOWN)
+    return rows.select(*[(F.col("told.lang") if c == lang_col else F.col("row")[f"c{k}"]).alias(c) for k, c in enumerate(df.columns)])

@@ -8,15 +8,17 @@ of documents:
 * the waste bound (all tokens, and the pieces too long to share) gives a number of sequences that no packing can beat;
 * while the incumbent is above the bound, branch and bound takes the longest piece left, enumerates the fillings beside it that
   no other filling dominates, fullest first, and cuts branches whose bound reaches the incumbent. A filling is used as often as the
-  counts allow, or once; on inputs of few pieces this is the whole tree, so the packing is optimal. `max_nodes` ends the search
-  on others, with the best incumbent.
+  counts allow, or once; on inputs of few lengths this is the whole tree, so the packing is optimal. On others a budget of `work` ends
+  the search with the best incumbent: a node costs as much as there are lengths, a step of the enumeration one, and no node may spend more
+  than a fiftieth of the budget on its enumeration.
 
 The plan is a list of (filling, how often), bounded by the number of lengths. Each piece gets its rank among the pieces of its
-length - counts by partition and length are summed on the driver, ranks are dealt inside the partitions, so no length is ever
-gathered in one task - and reads its sequence and offset from the plan.
+length and reads its sequence and offset from the plan. Ranks inside a partition are dealt when it is tokenised; where the ranks of a partition
+begin comes from counts by partition and length. The pieces are a table that is bucketed by partition as they lie, so they are joined with
+these without a shuffle, and no length is ever gathered in one task.
 
-Edge cases: null and empty texts have the closing id only. Rows that repeat a doc_id are packed one by one. An empty table gives an
-empty result. Only the two named columns are read.
+Special tokens' strings in a text are those tokens, as the library has it. Edge cases: null and empty texts have the closing id only.
+Rows that repeat a doc_id are packed one by one. An empty table gives an empty result. Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -36,10 +38,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ChunkMemo, char_class, library_memo, written
+from .common import ChunkMemo, batch_labels, char_class, library_memo, scratch_table, small_batches, written
 
-#: Nodes of the search tree that are looked at; each costs a best fit over the counts.
-MOST_NODES = 300
+#: The budget of the search; buckets that a table can have.
+WORK, MOST_BUCKETS = 1_000_000, 100_000
 # Letters and signs below U+0250 whose composition is plain and whose lower case is one character: the tokenizer's own
 # split is spelled out for texts of these, so that a word costs a lookup whatever punctuation it touches.
 _PLAIN = [c for c in map(chr, range(0x250)) if len(c.lower()) == 1 and ord(c.lower()) < 0x250 and unicodedata.is_normalized("NFC", c)]
@@ -57,7 +59,14 @@ _UNSURE = "'|[^\\x00-\\x7fÀ-ÖØ-öø-ÿ]"
 
 
 def token_ids(texts: pa.Array, memo: ChunkMemo) -> list[bytes]:
-    """The ids of each text, little-endian 32-bit. Words are cut and told apart in Arrow; only distinct ones are looked up."""
+    """The ids of each text, little-endian 32-bit. Words are cut and told apart in Arrow; only distinct ones are looked up. Texts that hold the
+    string of a special token are left to the library as they are."""
+    tokenizer = memo.pieces.tokenizer
+    special = "|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values())
+    if special and pc.any(held := pc.fill_null(pc.match_substring_regex(texts, special), False)).as_py():
+        plain = iter(token_ids(texts.filter(pc.invert(held)), memo))
+        whole = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        return [whole(texts[i].as_py()) if h else next(plain) for i, h in enumerate(held.to_pylist())]
     low = pc.ascii_lower(pc.fill_null(texts, ""))
     spaced = pc.replace_substring_regex(low, pattern=f"([{_SIGNS}]+)", replacement=r" \1 ")
     words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(low, _UNSURE), low, spaced))
@@ -85,12 +94,12 @@ def word_memo(description: str) -> ChunkMemo:
     """One a worker process."""
     if description not in _MEMOS:
         _MEMOS.clear()
-        _MEMOS[description] = ChunkMemo(library_memo(description), cut_chunk, " ")
+        _MEMOS[description] = ChunkMemo(library_memo(description, ordinary=False), cut_chunk, " ")
     return _MEMOS[description]
 
 
 def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, on demand, ids (little-endian 32-bit)."""
+    """doc_id, piece, start, length, rank (among its partition's pieces of this length), ids_crc32 and, on demand, ids (little-endian 32-bit)."""
     with open(tokenizer_path, encoding="utf-8") as f:
         held = df.sparkSession.sparkContext.broadcast(f.read())  # of the vocabulary's size
     end = int(end_id).to_bytes(4, "little")
@@ -98,21 +107,24 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo(held.value)
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids]
+        names = ["doc_id", "piece", "start", "length", "rank", "ids_crc32", *["ids"] * with_ids]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids]
+        given = [0] * (capacity + 1)
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
+            for at in range(0, b.num_rows, 1024):
                 rows = []
-                part = b.slice(at, 2048)
+                part = b.slice(at, 1024)
                 for doc, ids in zip(part.column(0).to_pylist(), token_ids(part.column(1), memo), strict=True):
                     ids += end
                     for k, s in enumerate(range(0, len(ids), step)):
                         cut = ids[s : s + step]
-                        rows.append((doc, k, s // 4, len(cut) // 4, zlib.crc32(cut), *[cut] * with_ids))
+                        n = len(cut) // 4
+                        rows.append((doc, k, s // 4, n, given[n], zlib.crc32(cut), *[cut] * with_ids))
+                        given[n] += 1
                 columns = zip(*rows, strict=True) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    schema = "doc_id long, piece int, start long, length long, rank long, ids_crc32 long" + ", ids binary" * with_ids
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, schema)
 
 
@@ -182,9 +194,9 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter[Filling]:
     return out
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, limit: int) -> list[Filling]:
-    """Undominated sets of lengths (longest first) for the room, fullest first. A set is dominated if a left-out piece fits into the
-    room that stays, or can take the place of a shorter one. The enumeration ends after `limit` sets or 50 times as many steps."""
+def fillings(lengths: list[int], counts: dict[int, int], room: int, limit: int) -> tuple[list[Filling], int]:
+    """Undominated sets of lengths (longest first) for the room, fullest first, and the steps that it took. A set is dominated if a left-out
+    piece fits into the room that stays, or can take the place of a shorter one. The enumeration ends after `limit` steps."""
     found: set[Filling] = set()
     ascending = lengths[::-1]
     steps = 0
@@ -209,12 +221,12 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, limit: int)
             return
         x = ascending[end - 1]
         for k in range(min(counts[x], left // x), -1, -1):
-            if len(found) >= limit or steps >= 50 * limit:
+            if steps >= limit:
                 return
             go(end - 1, chosen + [x] * k, left - x * k)
 
     go(len(ascending), [], room)
-    return sorted(found, key=lambda f: (-sum(f), [-x for x in f]))
+    return sorted(found, key=lambda f: (-sum(f), [-x for x in f])), steps
 
 
 @dataclass
@@ -228,16 +240,17 @@ class Packing:
         return sum(self.plan.values())
 
 
-def pack_counts(counts: dict[int, int], capacity: int, max_nodes: int = MOST_NODES, max_fillings: int = 200) -> Packing:
+def pack_counts(counts: dict[int, int], capacity: int, work: int = WORK) -> Packing:
     counts = {x: n for x, n in counts.items() if n > 0}
     bound = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
-    state = {"best": best, "most": sum(best.values()), "nodes": 0}
+    state = {"best": best, "most": sum(best.values()), "nodes": 0, "work": 0}
 
     def search(left: dict[int, int], made: list[tuple[Filling, int]], used: int):
-        if state["most"] == bound or state["nodes"] >= max_nodes:
+        if state["most"] == bound or state["work"] >= work:
             return
         state["nodes"] += 1
+        state["work"] += len(left) + 1
         if not left:
             if used < state["most"]:
                 plan: Counter[Filling] = Counter()
@@ -258,14 +271,16 @@ def pack_counts(counts: dict[int, int], capacity: int, max_nodes: int = MOST_NOD
         others = dict(left)
         others[longest] -= 1
         lengths = sorted((x for x in others if others[x]), reverse=True)
-        for f in fillings(lengths, others, capacity - longest, max_fillings):
+        found, steps = fillings(lengths, others, capacity - longest, work // 50)
+        state["work"] += steps
+        for f in found:
             full = (longest, *f)
             need = Counter(full)
             most = min(left[x] // k for x, k in need.items())
             for times in dict.fromkeys((most, 1)):
                 after = {x: n - need[x] * times for x, n in left.items() if n > need[x] * times}
                 search(after, [*made, (full, times)], used + times)
-                if state["most"] == bound or state["nodes"] >= max_nodes:
+                if state["most"] == bound or state["work"] >= work:
                     return
 
     limit = sys.getrecursionlimit()
@@ -297,50 +312,47 @@ class Places:
             first += times
         self.runs = {x: tuple(np.array(c, dtype=np.int64) for c in zip(*r, strict=True)) for x, r in runs.items()}
 
-    def of(self, length: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts, first, _, offset = self.runs[length]
-        at = np.searchsorted(starts, ranks, side="right") - 1
-        return first[at] + ranks - starts[at], offset[at]
+    def of(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        order = np.argsort(lengths, kind="stable")
+        own = lengths[order]
+        cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+        for s, e in zip(cuts, np.r_[cuts[1:], len(own)], strict=True):
+            place = order[s:e]
+            starts, first, _, offsets = self.runs[int(own[s])]
+            at = np.searchsorted(starts, ranks[place], side="right") - 1
+            sequence[place], offset[place] = first[at] + ranks[place] - starts[at], offsets[at]
+        return sequence, offset
 
 
-def best_fit_pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False, max_nodes: int = MOST_NODES) -> DataFrame:
+def best_fit_pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False, work: int = WORK) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids on demand): one row a piece."""
     spark = df.sparkSession
+    small_batches(spark)
     cut = pieces(df, tokenizer_path, id_col, text_col, capacity, end_id, with_ids)
-    cut = written(cut.withColumn("part", F.spark_partition_id()), "packing-pieces")
-    by_part = cut.groupBy("part", "length").count()
+    # A partition is a bucket of its own: each task writes one file, and nothing is moved.
+    buckets = max(1, min(MOST_BUCKETS, cut.rdd.getNumPartitions()))
+    labels = batch_labels(spark, buckets)
+    part = F.get(F.lit(labels), F.pmod(F.spark_partition_id(), F.lit(buckets)))
+    name = scratch_table("packing_pieces")
+    # The second number tells partitions apart that share a bucket.
+    cut.select(part.alias("part"), F.spark_partition_id().alias("task"), "*").write.option("compression", "zstd").bucketBy(buckets, "part").format("parquet").saveAsTable(name)
+    cut = spark.table(name)
+    by_part = written(cut.groupBy("part", "task", "length").count(), "packing-counts")
     rows = by_part.groupBy("length").agg(F.sum("count").alias("n")).collect()  # `capacity` rows at most
-    packing = pack_counts({r.length: r.n for r in rows}, capacity, max_nodes)
+    packing = pack_counts({r.length: r.n for r in rows}, capacity, work)
     held = spark.sparkContext.broadcast(Places(packing.plan))  # bounded by the lengths, not by the pieces
-    # The rank at which each partition's pieces of a length start goes to that partition only.
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_part.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"), F.lit(0).alias("kind"))
-    names = [c for c in cut.columns if c != "part"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each part, the rows with its first ranks come before its pieces."""
-        places = held.value
-        given: dict[tuple[int, int], int] = {}
-        for b in batches:
-            kind = b.column("kind").to_numpy(zero_copy_only=False)
-            firsts = b.filter(pa.array(kind == 0))
-            if firsts.num_rows:
-                keys = zip(firsts.column("part").to_pylist(), firsts.column("length").to_pylist(), strict=True)
-                given.update(zip(keys, firsts.column("start").to_pylist(), strict=True))
-            b = b.filter(pa.array(kind == 1))
-            if not b.num_rows:
-                continue
-            parts, lengths = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "length"))
-            seq, off = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64)
-            order = np.lexsort((lengths, parts))
-            own_part, own = parts[order], lengths[order]
-            cuts = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (own_part[1:] != own_part[:-1])])
-            for i, j in zip(cuts, np.r_[cuts[1:], len(own)], strict=True):
-                key, at = (int(own_part[i]), int(own[i])), order[i:j]
-                seq[at], off[at] = places.of(key[1], given[key] + np.arange(j - i))
-                given[key] += int(j - i)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
-
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", sequence_id long, offset long"
-    both = cut.withColumn("kind", F.lit(1)).unionByName(starts, allowMissingColumns=True)
-    return both.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)
+    before = Window.partitionBy("length").orderBy("part", "task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_part.select("part", F.struct("task", "length").alias("key"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    # For each bucket: (task, length) -> the rank at which its pieces begin; as many as there are lengths, for each task.
+    starts = starts.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("key", "first"))).alias("starts"))
+
+    def run(lengths: pa.Array, ranks: pa.Array) -> pa.Array:
+        sequence, offset = held.value.of(lengths.to_numpy(zero_copy_only=False).astype(np.int64), ranks.to_numpy(zero_copy_only=False).astype(np.int64))
+        return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], ["sequence_id", "offset"])
+
+    placed = cut.join(starts.hint("shuffle_hash"), "part")
+    rank = F.element_at("starts", F.struct("task", "length")) + F.col("rank")
+    place = F.arrow_udf(run, "sequence_id long, offset long").asNondeterministic()("length", "first")
+    names = [c for c in cut.columns if c not in ("part", "task", "rank")]
+    return placed.select(*names, rank.alias("first")).select(*names, place.alias("place")).select(*names, "place.sequence_id", "place.offset")

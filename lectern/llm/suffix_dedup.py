@@ -36,11 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_table, small_batches, written
+from .common import batch_labels, scratch_table, small_batches, written
 
 GRAM = 16
 #: Bytes that are hashed at once, and stretches of a long text.
@@ -446,14 +446,6 @@ def _remove(length: int, shards: int, names: list[str], as_text: bool):
     return run
 
 
-def batch_labels(spark: SparkSession, n: int) -> list[int]:
-    """n numbers that fall, one each, into n buckets."""
-    own = spark.range(0, 30 * n + 100).select(F.col("id").cast("int").alias("label"))
-    rows = own.groupBy(F.pmod(F.hash("label"), F.lit(n)).alias("bucket")).agg(F.min("label").alias("label")).collect()  # n rows
-    found = dict(rows)
-    return [found.get(b, 30 * n + 100 + b) for b in range(n)]
-
-
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, batch_bytes: int = 8 << 20, hot: int = 4096, carry: bool = False, most_batches: int = 100_000) -> DataFrame:
     """doc_id, n_bytes, spans (array of start and end of what was removed, in bytes), kept (the bytes that stay); with carry, kept is
     text, and df's other columns follow as c0, c1, ... in their order. One row for each row of df."""

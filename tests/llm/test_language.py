@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from lectern.llm import language as G
 
 from .helpers import docs
@@ -39,8 +41,8 @@ def test_held_out_accuracy(spark):
 def test_prediction_looks_at_the_text_only(spark):
     t = table(spark, 90)
     model = G.learn(t)
-    a = {r.text: r.lang_pred for r in G.tagged(t, model).where("text is not null").collect()}
-    b = {r.text: r.lang_pred for r in G.tagged(t.selectExpr("doc_id + 999 as doc_id", "text", "'xx' as lang"), model).where("text is not null").collect()}
+    other = t.selectExpr("doc_id + 999 as doc_id", "text", "'xx' as lang")
+    a, b = (dict(d.where("text is not null").select("text", G.told(d, model, d["text"])["lang"]).collect()) for d in (t, other))
     assert a == b
 
 
@@ -51,6 +53,42 @@ def test_presence_is_by_text_and_whole():
     assert (p[0] <= p[1]).all()
 
 
+def kernel(a, b):
+    """Shared n-grams of one to four characters, by presence, in parts of each text's own."""
+    grams = lambda t: {t[i : i + n] for n in range(1, 5) for i in range(len(t) - n + 1)}
+    x, y = grams(a), grams(b)
+    return len(x & y) / (len(x) * len(y)) ** 0.5
+
+
+def test_matches_kernel_ridge_regression_written_out():
+    """With every text a landmark, the margins are those of the dual solution over the kernel of n-grams that aren't hashed."""
+    rng = random.Random(3)
+    texts = [(" ".join(rng.choice(WORDS[lang]) for _ in range(6)), lang) for lang in sorted(WORDS) for _ in range(8)]
+    asked = [" ".join(rng.choice(WORDS[lang]) for _ in range(5)) for lang in sorted(WORDS) for _ in range(4)]
+    rows = np.packbits(G.presence([t for t, _ in texts])[0], axis=1)
+    ridge = 1.0
+    model = G.fit(rows, [v for _, v in texts], landmarks=len(texts), ridge=ridge)
+    k = np.array([[kernel(a, b) for b, _ in texts] for a, _ in texts])
+    y = np.where(np.array([[v == w for w in sorted(WORDS)] for _, v in texts]), 1.0, -1.0)
+    alpha = np.linalg.solve(k + ridge * len(texts) / 100 * np.eye(len(texts)), y)
+    want = np.array([[kernel(a, b) for b, _ in texts] for a in asked]) @ alpha
+    got = model.scores(asked)
+    assert np.abs(got - want).max() < 0.05 and (got.argmax(axis=1) == want.argmax(axis=1)).all()
+
+
+def test_stretches_lie_all_over_the_text():
+    for n in range(1, 40):
+        at = G.spread(n, 4)
+        assert at[0] == 0 and at[-1] == n - 1 and len(at) == min(n, 4) and max(np.diff(at), default=1) <= n // 3 + 1
+
+
+def test_the_stage_gives_the_language_that_was_told(spark):
+    d = table(spark, 120).selectExpr("doc_id", "text", "if(doc_id % 3 = 0, null, lang) as lang")
+    kept = {r.doc_id: r.lang for r in G.known_language(d).collect()}
+    truth = {r.doc_id: r.lang for r in table(spark, 120).collect()}
+    assert set(range(120)) <= set(kept) and sum(kept[i] == truth[i] for i in range(120)) >= 117
+
+
 def test_edges(spark):
     empty = table(spark, 0).limit(0)
     assert G.learn_and_identify(empty).count() == 0

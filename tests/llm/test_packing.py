@@ -18,9 +18,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 ODD = ["a  b \n\n c\t d", "x\x85y z", "日本語 テキスト🙂", "I'll we've  'd", "é ́x", "ΑΣ ΑΣΑ. ΑΣ", "İstanbul ẞ", "\x00a\x00", "1234 ٣٤ ½", "a\x1cb", "don't'S'", "<|endoftext|> hi", "ǅ ŉ ʼn", "Ａ", "x" * 5000, ""]
@@ -74,7 +72,7 @@ def test_small_packings_are_optimal():
     rng = random.Random(1)
     for _ in range(60):
         items = [rng.randrange(1, 21) for _ in range(rng.randrange(1, 9))]
-        packed = P.pack_counts(dict(Counter(items)), 20, max_nodes=10_000)
+        packed = P.pack_counts(dict(Counter(items)), 20)
         want = optimum(sorted(items, reverse=True), 20)
         assert packed.bound <= want == packed.sequences
         assert Counter(x for f, n in packed.plan.items() for x in f for _ in range(n)) == Counter(items)
@@ -84,19 +82,43 @@ def test_small_packings_are_optimal():
 def test_completion_beats_best_fit():
     # Longest first leaves 8|8 apart: best fit needs four bins where three do.
     counts = {7: 2, 6: 1, 5: 2, 4: 3, 3: 3}
-    assert P.pack_counts(counts, 17, 10_000).sequences <= sum(P.best_fit(counts, 17).values())
+    assert P.pack_counts(counts, 17).sequences <= sum(P.best_fit(counts, 17).values())
     hard = [(Counter(x), c) for x, c in (((44, 24, 24, 22, 21, 17, 8, 8, 6, 6), 60), ((6, 5, 5, 4, 4, 3, 3), 10))]
     for counts, capacity in hard:
-        assert P.pack_counts(dict(counts), capacity, 10_000).sequences == optimum(sorted(counts.elements(), reverse=True), capacity)
+        assert P.pack_counts(dict(counts), capacity).sequences == optimum(sorted(counts.elements(), reverse=True), capacity)
 
 
 def test_fillings_are_undominated():
     counts = {9: 1, 6: 2, 5: 1, 3: 2, 1: 1}
     lengths = sorted(counts, reverse=True)
-    for f in P.fillings(lengths, counts, 10, 1000):
+    for f in P.fillings(lengths, counts, 10, 1000)[0]:
         assert sum(f) <= 10 and sum(f) == 10
 
 
+def test_special_tokens_are_those_of_the_library(spark, library):
+    text = "a <|endoftext|> b"
+    assert len(library.encode(text, add_special_tokens=False).ids) == 3 or 0 in library.encode(text, add_special_tokens=False).ids
+    row = P.best_fit_pack(docs(spark, [text, "plain"]), PATH, with_ids=True).where("doc_id = 0").first()
+    assert np.frombuffer(row.ids, "<u4").tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_the_budget_ends_the_search():
+    rng = random.Random(2)
+    counts = dict(Counter(rng.randrange(1, 2049) for _ in range(3000)))
+    few, more = P.pack_counts(counts, 2048, 5_000), P.pack_counts(counts, 2048)
+    assert few.bound <= more.sequences <= few.sequences <= sum(P.best_fit(counts, 2048).values())
+
+
+def test_memos_are_bounded_and_forget_long_texts(library):
+    memo = P.word_memo(open(PATH, encoding="utf-8").read())
+    memo.most = 100_000
+    for k in range(20):
+        words = " ".join(f"w{k}x{j}" for j in range(300)) + " " + "y" * 5000
+        assert np.frombuffer(P.token_ids(pa.array([words]), memo)[0], "<u4").tolist() == library.encode(words, add_special_tokens=False).ids
+        assert memo.size <= 150_000 and all(len(c) <= 256 for c in memo)
+    P._MEMOS.clear()
+
+
 def test_edges(spark):
     assert P.best_fit_pack(docs(spark, []), PATH).count() == 0
     rows = P.best_fit_pack(docs(spark, [(1, None), (1, None), (None, "")]), PATH).collect()
