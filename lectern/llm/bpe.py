@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import char_class, library_memo
+from .common import char_class, library_memo, small_batches, thrifty
 
 #: How text is split before merging; fixed by the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -116,6 +116,7 @@ def codec(description: str) -> Codec:
 
 def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit) and, on demand, spans (array of start and end in characters)."""
+    small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(library_json(read_ranks(ranks_path)))  # of the vocabulary's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,11 +131,12 @@ def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "spans"][: len(columns)])
 
     schema = "doc_id long, ids binary" + ", spans array<struct<start:int,end:int>>" * offsets
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, schema)
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(thrifty(run), schema)
 
 
 def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, ids and decoded (the bytes; of a text if the ids are all of a text's)."""
+    small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(library_json(read_ranks(ranks_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +147,7 @@ def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str
                 out = pa.array([c.decode(x or b"") for x in part.column(1).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), out], ["doc_id", "ids", "decoded"])
 
-    return df.select(df[id_col].alias("doc_id"), df[ids_col].alias("ids")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return df.select(df[id_col].alias("doc_id"), df[ids_col].alias("ids")).mapInArrow(thrifty(run), "doc_id long, ids binary, decoded binary")
 
 
 def round_trip_digests(df: DataFrame, ranks_path: str) -> DataFrame:

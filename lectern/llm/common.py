@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import os
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,16 +39,26 @@ _LEFT: list[tuple[str, str]] = []
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new place in the shared folder."""
-    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _LEFT.append(("path", path))
-    return path
+    return _leave(spark, "path", f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
 
 
-def scratch_table(name: str) -> str:
+def scratch_table(spark: SparkSession, name: str) -> str:
     """A new name for a table in the warehouse."""
-    table_name = f"{name}_{uuid.uuid4().hex}"
-    _LEFT.append(("table", table_name))
-    return table_name
+    return _leave(spark, "table", f"{name}_{uuid.uuid4().hex}")
+
+
+def _leave(spark: SparkSession, kind: str, place: str) -> str:
+    """Results are lazy and read what is left here; what nobody has dropped before goes when the process ends."""
+    atexit.unregister(_at_exit)
+    atexit.register(_at_exit, spark)
+    _LEFT.append((kind, place))
+    return place
+
+
+def _at_exit(spark: SparkSession) -> None:
+    with suppress(Exception):  # the session may be over
+        if spark.sparkContext._jsc is not None:
+            drop_scratch(spark)
 
 
 @contextmanager
@@ -102,6 +115,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Hands what this worker no longer uses back to the machine: workers of earlier stages stay beside those of later ones."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives memory back when its partition ends."""
+
+    def thrifty_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return thrifty_run
+
+
 def ascii_lower(c: Column) -> Column:
     """Only A-Z are lowered; other letters stay."""
     return F.translate(c, UPPER, LOWER)

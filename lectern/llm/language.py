@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import give_back, small_batches
 
 BUCKETS = 1 << 15
 GRAMS = 4
@@ -182,7 +182,9 @@ def told(df: DataFrame, model: Model, text: Column, temperature: float = 4.0) ->
             p /= p.sum(axis=1, keepdims=True)
             lang = [m.langs[k] if ok else UNKNOWN for k, ok in zip(s.argmax(axis=1), known, strict=True)]
             score = np.where(known, p.max(axis=1), 0.0)
-        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
+        out = pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
+        give_back()
+        return out
 
     # Nondeterministic only so that it is not computed twice, for a filter and for what it lets through.
     return F.arrow_udf(run, "lang string, score double").asNondeterministic()(text, has_letter(text))

@@ -38,10 +38,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ChunkMemo, batch_labels, char_class, library_memo, scratch_table, small_batches, written
+from .common import ChunkMemo, batch_labels, char_class, library_memo, partitions, scratch_table, small_batches, thrifty, written
 
 #: The budget of the search; buckets that a table can have.
-WORK, MOST_BUCKETS = 1_000_000, 100_000
+WORK, MOST_BUCKETS = 200_000, 100_000
 # Letters and signs below U+0250 whose composition is plain and whose lower case is one character: the tokenizer's own
 # split is spelled out for texts of these, so that a word costs a lookup whatever punctuation it touches.
 _PLAIN = [c for c in map(chr, range(0x250)) if len(c.lower()) == 1 and ord(c.lower()) < 0x250 and unicodedata.is_normalized("NFC", c)]
@@ -125,7 +125,7 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     schema = "doc_id long, piece int, start long, length long, rank long, ids_crc32 long" + ", ids binary" * with_ids
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, schema)
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(thrifty(run), schema)
 
 
 # --- the search over counts ---
@@ -330,11 +330,12 @@ def best_fit_pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     spark = df.sparkSession
     small_batches(spark)
     cut = pieces(df, tokenizer_path, id_col, text_col, capacity, end_id, with_ids)
-    # A partition is a bucket of its own: each task writes one file, and nothing is moved.
-    buckets = max(1, min(MOST_BUCKETS, cut.rdd.getNumPartitions()))
+    # A partition is a bucket of its own: each task writes one file, and nothing is moved. With fewer buckets than the session's partitions the planner
+    # would move them after all.
+    buckets = min(MOST_BUCKETS, max(cut.rdd.getNumPartitions(), partitions(spark)))
     labels = batch_labels(spark, buckets)
     part = F.get(F.lit(labels), F.pmod(F.spark_partition_id(), F.lit(buckets)))
-    name = scratch_table("packing_pieces")
+    name = scratch_table(spark, "packing_pieces")
     # The second number tells partitions apart that share a bucket.
     cut.select(part.alias("part"), F.spark_partition_id().alias("task"), "*").write.option("compression", "zstd").bucketBy(buckets, "part").format("parquet").saveAsTable(name)
     cut = spark.table(name)

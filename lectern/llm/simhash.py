@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import partitions, small_batches, written
+from .common import partitions, small_batches, thrifty, written
 
 SEED = 42
 #: Shingles whose bits are counted at once.
@@ -116,7 +116,7 @@ def fingerprints(df: DataFrame, words: int = 3, width: int = 1, id_col: str = "d
                 fp = [fingerprint(t, words, width) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp, pa.binary())], ["doc_id", "fp"])
 
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, "doc_id long, fp binary")
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(thrifty(run), "doc_id long, fp binary")
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -192,7 +192,7 @@ def set_fingerprints(df: DataFrame, words: int, width: int, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(fp, pa.binary())], ["doc_id", "digest", "shingles", "fp"])
 
     d = df.select(df[id_col].cast("long").alias("doc_id"), text_digest(df[text_col]).alias("digest"), df[text_col].alias("text"))
-    return d.mapInArrow(run, "doc_id long, digest binary, shingles binary, fp binary")
+    return d.mapInArrow(thrifty(run), "doc_id long, digest binary, shingles binary, fp binary")
 
 
 # --- shards and trees ---
@@ -240,10 +240,8 @@ def _banded(n: int, width: int, alike: float):
                 keys = (bits[:, order.reshape(-1)].reshape(len(fp), number, wide) * weight).sum(axis=2, dtype=np.uint64)
                 rows = pa.array(np.repeat(np.arange(len(fp)), number))
                 near = pa.array([f[: 8 * MEASURED] for f in fp], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.arange(number, dtype=np.int32), len(fp))), pa.array(keys.reshape(-1).view(np.int64)), part.column("node").take(rows), near.take(rows)],
-                    ["band", "key", "node", "fp"],
-                )
+                keys |= np.arange(number, dtype=np.uint64) << np.uint64(40)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), part.column("node").take(rows), near.take(rows)], ["shard", "node", "fp"])
 
     return run
 
@@ -259,10 +257,9 @@ def _sharded(masks: list[int]):
                 keys = fp & np.array(masks, np.uint64)
                 n, number = keys.shape
                 rows = pa.array(np.repeat(np.arange(n), number))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.arange(number, dtype=np.int32), n)), pa.array(keys.reshape(-1).view(np.int64)), part.column("node").take(rows), part.column("fp").take(rows)],
-                    ["band", "key", "node", "fp"],
-                )
+                # Two shards that fall together by chance cost work, not results.
+                keys = mixed(keys ^ mixed(np.arange(number, dtype=np.uint64), 2), 1)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), part.column("node").take(rows), part.column("fp").take(rows)], ["shard", "node", "fp"])
 
     return run
 
@@ -362,9 +359,9 @@ def _search(radius: int, width: int):
 
     def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(parts)
-        band, key, pair, node = (t.column(c).to_numpy().astype(np.int64) for c in ("band", "key", "pair", "node"))
+        shard, pair, node = (t.column(c).to_numpy() for c in ("shard", "pair", "node"))
         fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), "<u8").reshape(-1, width)
-        new = np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])]
+        new = np.r_[True, (shard[1:] != shard[:-1]) | (pair[1:] != pair[:-1])]
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
         labels = Forest(fp, first).linked(radius)
         tied = np.flatnonzero(labels != np.arange(len(fp)))
@@ -376,10 +373,10 @@ def _search(radius: int, width: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            shard = [b.column(c).to_numpy(zero_copy_only=False) for c in ("band", "key", "pair")]
+            shard = [b.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "pair")]
             if held >= gathered:
                 # Cut where the last shard ends.
-                on = (shard[0] != last[0]) | (shard[1] != last[1]) | (shard[2] != last[2])
+                on = (shard[0] != last[0]) | (shard[1] != last[1])
                 at = int(np.argmax(on)) if on.any() else b.num_rows
                 parts.append(b.slice(0, at))
                 held += at
@@ -399,36 +396,37 @@ def _search(radius: int, width: int):
 
 
 def _searched(shards: DataFrame, radius: int, width: int) -> DataFrame:
-    """a, b of shards: band, key, node, fp and, if some are crowded, parts: into how many parts a shard is cut. Every two parts of a shard meet
+    """a, b of shards: shard, node, fp and, if some are crowded, parts: into how many parts a shard is cut. Every two parts of a shard meet
     (pair)."""
     if "parts" in shards.columns:
         d = shards.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         d = d.withColumn("pair", F.least("part", "other") * F.col("parts") + F.greatest("part", "other"))
+        dealt = d.repartition(partitions(shards.sparkSession), "shard", "pair").sortWithinPartitions("shard", "pair")
     else:
-        d = shards.withColumn("pair", F.lit(0))
-    dealt = d.repartition(partitions(shards.sparkSession), "band", "key", "pair").sortWithinPartitions("band", "key", "pair", "node")
-    return dealt.select("band", "key", "pair", "node", "fp").mapInArrow(_search(radius, width), "a long, b long")
+        # A sort by one number is much cheaper.
+        dealt = shards.repartition(partitions(shards.sparkSession), "shard").sortWithinPartitions("shard").withColumn("pair", F.lit(0))
+    return dealt.select("shard", "pair", "node", "fp").mapInArrow(thrifty(_search(radius, width)), "a long, b long")
 
 
 def links(fps: DataFrame, n: int, radius: int = 3, hot: int = 20_000) -> DataFrame:
     """a, b: links that span the components of the distinct fingerprints fps (columns node, a number for each, and fp, of one word; n of them)."""
-    shards = written(fps.select("node", "fp").mapInArrow(_sharded(band_masks(n, radius)), "band int, key long, node long, fp binary"), "shards")
-    sizes = shards.groupBy("band", "key").count().where(F.col("count") > 1).withColumn("parts", F.ceil(F.col("count") / hot).cast("int")).drop("count")
+    shards = written(fps.select("node", "fp").mapInArrow(_sharded(band_masks(n, radius)), "shard long, node long, fp binary"), "shards")
+    sizes = shards.groupBy("shard").count().where(F.col("count") > 1).withColumn("parts", F.ceil(F.col("count") / hot).cast("int")).drop("count")
     # A fingerprint alone in its shard goes no further.
-    return _searched(shards.join(sizes.hint("merge"), ["band", "key"]), radius, 1)
+    return _searched(shards.join(sizes.hint("merge"), "shard"), radius, 1)
 
 
 def candidates(fps: DataFrame, n: int, radius: int, width: int, alike: float = 0.8, hot: int = 20_000) -> DataFrame:
     """a, b: links that span the components of the wide fingerprints fps (columns node and fp; n of them) that share a band and are within the
     radius, which is in bits of MEASURED words."""
-    schema = "band int, key long, node long, fp binary"
-    shards = fps.select("node", "fp").mapInArrow(_banded(n, width, alike), schema)
-    part = fps.where(F.pmod("node", F.lit(COUNTED_PART)) == 0).select("node", "fp").mapInArrow(_banded(n, width, alike), schema)
-    crowded = part.groupBy("band", "key").agg((F.count(F.lit(1)) * COUNTED_PART).alias("n")).where(F.col("n") > hot)
-    crowded = written(crowded.select("band", "key", F.ceil(F.col("n") / hot).cast("int").alias("parts")), "crowded")
+    schema = "shard long, node long, fp binary"
+    shards = fps.select("node", "fp").mapInArrow(thrifty(_banded(n, width, alike)), schema)
+    part = fps.where(F.pmod("node", F.lit(COUNTED_PART)) == 0).select("node", "fp").mapInArrow(thrifty(_banded(n, width, alike)), schema)
+    crowded = part.groupBy("shard").agg((F.count(F.lit(1)) * COUNTED_PART).alias("n")).where(F.col("n") > hot)
+    crowded = written(crowded.select("shard", F.ceil(F.col("n") / hot).cast("int").alias("parts")), "crowded")
     if not crowded.isEmpty():
-        shards = shards.join(crowded.hint("merge"), ["band", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        shards = shards.join(crowded.hint("merge"), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     return _searched(shards, radius, MEASURED)
 
 

@@ -11,7 +11,7 @@ they stand. Neighbouring strings share theirs, so a text falls into runs of stri
    of them another document has too. Wrong agreements of codes cost work, not results.
 2. For those, the batch sends the context of each run - the bytes of its strings, equal contexts of a batch once, with their smallest
    id - to the gram's shard. A shard takes contexts in the order of ids, in portions. A portion gets a suffix array: the places of its strings,
-   sorted by prefix doubling that ends at `length`. It is merge-scanned, block by block, against the suffix arrays of the existing levels
+   sorted by eight bytes, ties by the next eight, up to `length`. It is merge-scanned, block by block, against the suffix arrays of the existing levels
    for strings of an earlier document, and becomes a level of what is new; levels of like size merge, so there are logarithmically many. A level
    is a text and sorted places in it, of 8 bytes for each string. The shard answers which strings of a context have an earlier holder.
 3. The batch marks those strings and removes what they cover.
@@ -32,7 +32,8 @@ demand under their own names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_labels, scratch_table, small_batches, written
+from .common import batch_labels, give_back, scratch_table, small_batches, written
 
 GRAM = 16
 #: Bytes that are hashed at once, and stretches of a long text.
@@ -134,7 +135,7 @@ class Texts:
 
 def words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on, the first one as the highest."""
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[at]).view(">u8").reshape(-1).astype(_U)
+    return np.ndarray((max(0, len(data) - 7),), ">u8", data, 0, (1,))[at].astype(_U)
 
 
 def _offsets(length: int) -> list[int]:
@@ -207,19 +208,36 @@ def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts places by the string of `length` bytes that begins there, by prefix doubling: their order, and of each in it whether its string is
-    another than the one before."""
-    padded = np.r_[data, np.zeros(length + 8, np.uint8)]
-    width, rank = 8, np.unique(words_at(padded, np.arange(len(data) + length)), return_inverse=True)[1]
-    while 2 * width <= length:
-        rank = np.unique(rank[:-width] * np.int64(len(rank) + 1) + rank[width:], return_inverse=True)[1]
-        width *= 2
-    key = rank[at] * np.int64(len(rank) + 1) + rank[at + length - width]
-    order = np.argsort(key, kind="stable")
-    ranked = key[order]
+    """Sorts places by the string of `length` bytes that begins there: their order, and of each in it whether its string is another than the one
+    before. Of equal strings, which a hash proposes and a comparison confirms, one is sorted."""
+    _, lead, inverse = np.unique(string_hashes(data, at, length), return_index=True, return_inverse=True)
+    if any((words_at(data, at + k) != words_at(data, at[lead][inverse] + k)).any() for k in _offsets(length)):
+        lead = inverse = np.arange(len(at))
+    rank = ranks(data, at[lead], length)[inverse]
+    order = np.argsort(rank, kind="stable")
+    ranked = rank[order]
     return order, np.r_[True, ranked[1:] != ranked[:-1]][: len(order)]
 
 
+def ranks(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Of the string at each place, how many are smaller. Sorted by eight bytes, then ties by the next eight, and so on."""
+    rank = np.zeros(len(at), np.int64)
+    tied = np.arange(len(at))
+    for k in _offsets(length):
+        if len(tied) < 2:
+            break
+        word, own = words_at(data, at[tied] + k), rank[tied]
+        order = np.lexsort((word, own)) if k else np.argsort(word, kind="stable")
+        word, own, place = word[order], own[order], np.arange(len(tied))
+        apart = np.r_[True, own[1:] != own[:-1]]
+        new = apart.copy()
+        new[1:] |= word[1:] != word[:-1]
+        rank[tied[order]] = own + np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(apart, place, 0))
+        lonely = new & np.r_[new[1:], True]
+        tied = tied[order][~lonely]
+    return rank
+
+
 class Family:
     """The levels of one shard, each a text, the sorted places of its distinct strings, and the smallest id that holds each. Portions come in the
     order of ids."""
@@ -311,6 +329,23 @@ def _sorted_texts(t: pa.Table, length: int) -> tuple[Texts, pa.Table]:
     return Texts(t.column("doc_id").to_pylist(), t.column("text").cast(pa.binary()).to_pylist(), length), t
 
 
+def _thrifty(f: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """f, before which memory is given back: what the group before it took is free then."""
+    if len(inspect.signature(f).parameters) == 1:
+
+        def one(t: pa.Table) -> pa.Table:
+            give_back()
+            return f(t)
+
+        return one
+
+    def two(t: pa.Table, r: pa.Table) -> pa.Table:
+        give_back()
+        return f(t, r)
+
+    return two
+
+
 def _blobs(batch: int, rows: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table({"shard": pa.array([s for s, _ in rows], pa.int32()), "batch": pa.array([batch] * len(rows), pa.int32()), "data": pa.array([d for _, d in rows], pa.binary())})
 
@@ -334,7 +369,7 @@ def _ask_grams(length: int, shards: int):
                 rows.append((int(shard[s]), (codes[s:e] & _U(0xFFFFFFFF)).astype("<u4").tobytes() + note[s:e].tobytes()))
         return _blobs(batch, rows)
 
-    return run
+    return _thrifty(run)
 
 
 def _answer_grams(hot: int):
@@ -373,7 +408,7 @@ def _ask_contexts(length: int, shards: int):
             rows.append((shard, np.array([len(at)], "<u4").tobytes() + c.least[at].astype("<i8").tobytes() + n.astype("u1").tobytes() + texts.bytes[spans(begin, n + length - 1)].tobytes()))
         return _blobs(t.column("batch")[0].as_py(), rows)
 
-    return run
+    return _thrifty(run)
 
 
 def _answer_contexts(length: int):
@@ -392,7 +427,7 @@ def _answer_contexts(length: int):
             "data": pa.array([masks[e - n : e].astype("<u8").tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary()),
         })
 
-    return run
+    return _thrifty(run)
 
 
 def _remove(length: int, shards: int, names: list[str], as_text: bool):
@@ -443,7 +478,7 @@ def _remove(length: int, shards: int, names: list[str], as_text: bool):
         columns["kept"] = pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
         return pa.table(columns | {n: t.column(n) for n in names})
 
-    return run
+    return _thrifty(run)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, batch_bytes: int = 8 << 20, hot: int = 4096, carry: bool = False, most_batches: int = 100_000) -> DataFrame:
@@ -461,7 +496,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = [f"c{k}" for k in range(len(others))]
     slot = F.pmod(F.xxhash64(df[id_col], df[text_col], F.spark_partition_id()), F.lit(batches)).cast("int")
     rows = df.select(F.get(F.lit(labels), slot).alias("batch"), df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"), *[df[c].alias(n) for c, n in zip(others, names, strict=True)])
-    name = scratch_table("suffix_batches")
+    name = scratch_table(spark, "suffix_batches")
     # Rows lie in the order of ids in their batch.
     rows.repartition(batches, "batch").write.option("compression", "zstd").bucketBy(batches, "batch").format("parquet").saveAsTable(name)
     t = spark.table(name)

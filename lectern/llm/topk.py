@@ -1,11 +1,13 @@
 """Exact top-k by integer inner product, over an impact-ordered score-at-a-time index.
 
-Components are quantised to floor(64 x). A portion of the vectors is indexed by component: postings are grouped into segments by the
-quantised size of their impact, the largest first. A block of queries takes one segment after the other, for all
-components at once, and adds it to its accumulators: the scores so far, and what is left of both norms beyond the postings seen.
-By Cauchy and Schwarz a vector's score is at most the score so far plus the product of the norms that are left. A vector that cannot
+Components are quantised to floor(64 x). A portion of the vectors is indexed by component: a component's postings are the vectors that have it and
+its impact there, cut into segments by the size of the impact, the largest first. A group of queries takes one segment after the other, of
+all components, and adds each posting to its accumulators. What is left of a vector beyond the segments seen has a known norm, and no
+component of it is as large as the segment's floor; so by Cauchy and Schwarz, and by the query's sum of sizes, its score is at most the score
+so far plus the less of the two products. A vector that cannot
 reach the query's threshold is out by proof; a query of which few are left stops, and these possible members are scored exactly. The
-threshold is the k-th best exact score among the query's fellow queries, which are candidates too, so it is never too high.
+threshold is the k-th best exact score among the query's fellow queries, which are candidates too, so it is never too high; tasks compute
+it, each for a part of the queries.
 
 Queries go out in blocks of bounded size; each block is held against all vectors, and every portion answers with at most k of its members,
 so nothing grows with the square of a group.
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, written
+from .common import partitions, scratch_path, thrifty, written
 
 SCALE = 64
 #: Vectors in one index, queries in one block.
@@ -48,22 +50,25 @@ def usable(vector: Column) -> Column:
 
 class Index:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        """vectors: n x d whole numbers."""
+        """vectors: n x d whole numbers. segments: of each, the postings by component (places, impacts), its floor, and what is left of the norms."""
         self.ids, self.vectors = ids, vectors.astype(np.float64)
         size = np.abs(vectors)
         ranked = np.sort(size, axis=None)
         n = len(ranked)
         # Least impacts of the segments; equal impacts never lie in two.
         floors = sorted({int(ranked[max(0, n - int(np.ceil(n * part)))]) for part in SEGMENTS}, reverse=True) if n else []
-        norm = (self.vectors**2).sum(axis=1)
+        left = (self.vectors**2).sum(axis=1)
+        self.largest = int(ranked[-1]) if n else 0
         self.segments = []
         upper = None
         for low in floors:
-            own = size >= low if upper is None else (size >= low) & (size < upper)
-            values = np.where(own, self.vectors, 0.0)
-            norm = norm - (values**2).sum(axis=1)
-            # The postings of the segment, which components they are of, and what stays of each vector's norm.
-            self.segments.append((values, own.astype(np.float64), norm))
+            own = (size >= low) & (size > 0) if upper is None else (size >= max(low, 1)) & (size < upper)
+            postings = []
+            for j in range(vectors.shape[1]):
+                at = np.flatnonzero(own[:, j])
+                postings.append((at, self.vectors[at, j]))
+            left = left - (np.where(own, self.vectors, 0.0) ** 2).sum(axis=1)
+            self.segments.append((postings, max(0, low - 1) if low else 0, np.sqrt(np.maximum(left, 0))))
             upper = low
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, thresholds: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -75,18 +80,22 @@ class Index:
         n = len(self.ids)
         few = max(2 * k, int(n * FEW))
         live = np.arange(len(query_ids))
-        score, unseen = np.zeros((len(live), n)), np.repeat((queries**2).sum(axis=1)[:, None], n, axis=1)
-        for depth, (values, own, left) in enumerate(self.segments):
-            q = queries[live]
-            score += q @ values.T
-            unseen -= q**2 @ own.T
-            bound = score + np.sqrt(np.maximum(unseen, 0) * np.maximum(left, 0))
-            possible = bound >= thresholds[live, None] - 1e-3
-            done = (possible.sum(axis=1) <= few) | (depth == len(self.segments) - 1)
+        norm, total = np.sqrt((queries**2).sum(axis=1)), np.abs(queries).sum(axis=1)
+        # Sums of whole numbers: exact in 32 bits up to 2^24.
+        kind = np.float32 if self.largest * total.max(initial=0) < 1 << 24 else np.float64
+        score = np.zeros((n, len(live)), kind)
+        for depth, (postings, most, left) in enumerate(self.segments):
+            for j, (at, impact) in enumerate(postings):
+                if len(at):
+                    score[at] += impact.astype(kind)[:, None] * queries[live, j].astype(kind)
+            # A score of at least this much so far may still reach the threshold.
+            needed = (thresholds[live] - 1e-3)[None, :] - np.minimum(left[:, None] * norm[live], most * total[live])
+            possible = score >= needed
+            done = (possible.sum(axis=0) <= few) | (depth == len(self.segments) - 1)
             for i in np.flatnonzero(done):
-                at = np.flatnonzero(possible[i])
+                at = np.flatnonzero(possible[:, i])
                 yield self._exact(int(query_ids[live[i]]), queries[live[i]], float(thresholds[live[i]]), at, k)
-            live, score, unseen = live[~done], score[~done], unseen[~done]
+            live, score = live[~done], score[:, ~done]
             if not len(live):
                 return
         for i in live:  # no segments: vectors without components
@@ -100,21 +109,38 @@ class Index:
         return query_id, ids[best], scores[best].astype(np.int64)
 
 
-def thresholds(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
-    """Of each query the k-th best score among the other queries: as low as the true k-th best or lower."""
-    out = np.full(len(ids), -np.inf)
+def thresholds(ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """Of the queries at the places own, the k-th best score among the other queries: as low as the true k-th best or lower."""
+    out = np.full(len(own), -np.inf)
     v = vectors.astype(np.float64)
-    for s in range(0, len(ids), 512):
-        scores = v[s : s + 512] @ v.T
-        scores[ids[s : s + 512, None] == ids] = -np.inf
+    for s in range(0, len(own), TOGETHER):
+        at = own[s : s + TOGETHER]
+        scores = v[at] @ v.T
+        scores[np.arange(len(at)), at] = -np.inf
         if scores.shape[1] > k:
-            out[s : s + 512] = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+            out[s : s + TOGETHER] = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
     return out
 
 
+def _lowest(held, k: int):
+    """size, place and threshold of the queries of a block; rows: the places of some, by the number of components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = held.value
+        for b in batches:
+            size, place = (b.column(c).to_numpy(zero_copy_only=False) for c in ("size", "place"))
+            out = np.zeros(len(size))
+            for n in np.unique(size).tolist():
+                own = np.flatnonzero(size == n)
+                out[own] = thresholds(*queries[n], place[own], k)
+            yield pa.RecordBatch.from_arrays([b.column("size"), b.column("place"), pa.array(out)], ["size", "place", "least"])
+
+    return run
+
+
 def _portion(held, k: int):
     def answer(ids: list[int], vectors: list[list[int]]) -> Iterator[pa.RecordBatch]:
-        queries = held.value
+        queries, least = held.value
         by_size: dict[int, list[int]] = {}
         for i, v in enumerate(vectors):
             by_size.setdefault(len(v), []).append(i)
@@ -123,7 +149,7 @@ def _portion(held, k: int):
             if size not in queries:
                 continue
             index = Index(np.array([ids[i] for i in own], np.int64), np.array([vectors[i] for i in own], np.int64).reshape(len(own), size))
-            for query_id, found, scores in index.search(*queries[size], k):
+            for query_id, found, scores in index.search(*queries[size], least[size], k):
                 out.append((np.full(len(found), query_id, np.int64), found, scores))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
@@ -163,9 +189,15 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", v
         for size, own in by_size.items():
             own.sort()
             ids, vectors = np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.int64).reshape(len(own), size)
-            queries[size] = (ids, vectors, thresholds(ids, vectors, k))
-        held = spark.sparkContext.broadcast(queries)
-        rows.mapInArrow(_portion(held, k), schema).write.mode("append").parquet(path)
+            queries[size] = (ids, vectors)
+        asked_for = spark.sparkContext.broadcast(queries)  # BLOCK queries or so
+        places = pa.table({"size": pa.array([n for n, (ids, _) in queries.items() for _ in ids], pa.int32()), "place": pa.array([i for ids, _ in queries.values() for i in range(len(ids))], pa.int32())})
+        found = spark.createDataFrame(places).repartition(partitions(spark)).mapInArrow(_lowest(asked_for, k), "size int, place int, least double").collect()
+        least = {n: np.full(len(ids), -np.inf) for n, (ids, _) in queries.items()}
+        for n, i, x in found:
+            least[n][i] = x
+        held = spark.sparkContext.broadcast((queries, least))
+        rows.mapInArrow(thrifty(_portion(held, k)), schema).write.mode("append").parquet(path)
     found = spark.read.schema(schema).parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

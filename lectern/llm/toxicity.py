@@ -1,16 +1,19 @@
 """Toxicity by a classifier chain.
 
-The categories are predicted one after the other: `insult` (names for a person), `contempt` (words that belittle), then `toxic`
-(the human label). Each is a logistic model over the presence of words; later models are also fed the probabilities of the earlier
-categories. The flag's threshold is the one that parts the sample best by the out-of-fold probabilities. In training these are out-of-fold: a row's probability comes from a model that hasn't seen the row, as it
-will be in use. There are human labels for `toxic` only; a labelled row is of one of the other categories if it is labelled toxic
-and has a word of that category's list.
+There is one human label, `toxic`. Two kinds of toxic texts are told apart by the features that tell: the toxic rows of the sample fall into two
+clusters by their telling features, and a row is of kind 1 or 2 if it is labelled toxic and falls into that cluster. No word is known
+beforehand. The categories are predicted one after the other, `kind1`, `kind2`, `toxic`, each by a logistic model over the presence of features
+that is also fed the probabilities of the earlier categories. In training these are out-of-fold: a row's probability comes from a model that hasn't
+seen the row, as it will be in use. The flag's threshold is the one that parts the sample best by the out-of-fold probabilities of `toxic`.
+
+Features are words and their first four, five and six characters, so that forms of one stem in any language are learned together. A model looks at
+those that tell the classes apart best. They must stand in some number of rows, whatever part of the rows that is.
 
 The models are fitted on a bounded sample of labelled rows, `train_rows` (default 12,000) by a hash of the id. All rows are
 scored, each by its whole text.
 
 Edge cases: null and empty texts get the rate that the models give to a text without words, and aren't flagged. Where a row has several
-labels, one toxic label counts. Rows without a label aren't learned from. With no label of some kind, or no word that
+labels, one toxic label counts. Rows without a label aren't learned from. With no label of some kind, or no feature that
 tells, the probability is constant and nothing is flagged on it. Rows may repeat; an empty table gives an empty result. Only the named columns are read.
 """
 
@@ -27,29 +30,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, thrifty
+
 WORD = re.compile(r"\w+")
-#: Word lists that make the first two categories out of the label.
-LISTS = {
-    "insult": ("clown", "idiot", "loser", "moron", "scum"),
-    "contempt": ("disgusting", "pathetic", "stupid", "trash", "worthless"),
-}
-CATEGORIES = (*LISTS, "toxic")
+CATEGORIES = ("kind1", "kind2", "toxic")
+#: First characters of a word that are features of their own.
+STEMS = (4, 5, 6)
 BUCKETS = 1 << 20
 FOLDS = 5
-#: Words that one model looks at, those that tell the classes apart best; in how many rows each must stand at least. Rows are distinct
+#: Features that one model looks at, those that tell the classes apart best; in how many rows each must stand at least. Rows are distinct
 #: texts, so a word of one text and its copies isn't seen often. Toxic words may be rare: no part of the rows is asked for.
 FEATURES, SEEN = 1024, 4
-#: Standard deviations by which a word's rows must differ from chance; of a million buckets few reach it by accident.
+#: Standard deviations by which a feature's rows must differ from chance; of a million buckets few reach it by accident.
 TELLING = 5.0
-MEMO = 400_000
+#: Words that are remembered, and their most characters.
+MEMO, LONGEST = 100_000, 64
 
 
 def bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
+def features_of(word: str) -> list[int]:
+    """The word, and its beginnings, each marked so that it is not taken for a word."""
+    return [bucket(word), *(bucket("^" + word[:n]) for n in STEMS if len(word) > n)]
+
+
 def buckets_of(text: str | None) -> np.ndarray:
-    return np.unique(np.array([bucket(w) for w in set(WORD.findall((text or "").lower()))], np.int64))
+    return np.unique(np.array([x for w in set(WORD.findall((text or "").lower())) for x in features_of(w)], np.int64))
 
 
 @dataclass
@@ -76,6 +84,43 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def telling(flat: np.ndarray, y: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The features whose rows differ most from chance, sorted. flat: features of all rows; owner: which row each is of."""
+    rate = y.mean()
+    seen = np.bincount(flat, minlength=BUCKETS)
+    hits = np.bincount(flat, weights=y[owner], minlength=BUCKETS)
+    expect = seen * rate
+    z = np.where(seen >= SEEN, np.abs(hits - expect) / np.sqrt(expect * (1 - rate) + 1), 0)
+    words = np.flatnonzero(z >= TELLING)
+    return np.sort(words[np.argsort(-z[words], kind="stable")][:FEATURES])
+
+
+def kinds(docs: list[np.ndarray], toxic: np.ndarray, steps: int = 20) -> np.ndarray:
+    """A column for each of two clusters of the toxic rows: the row is toxic and lies in it. Rows are compared by the cosine of their telling
+    features; the clusters begin with the two features that most rows hold without the other."""
+    out = np.zeros((len(docs), 2), bool)
+    if not toxic.any() or toxic.all():
+        return out
+    flat = np.concatenate([*docs, np.zeros(0, np.int64)])
+    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    words = telling(flat, toxic.astype(np.float64), owner)
+    rows = np.flatnonzero(toxic)
+    x = np.array([np.isin(words, docs[i], assume_unique=True) for i in rows], np.float32).reshape(len(rows), len(words))
+    # Features that stand in the other rows rather than in these tell nothing about kinds.
+    x = x[:, x.sum(axis=0) * len(docs) > np.bincount(flat, minlength=BUCKETS)[words] * len(rows)]
+    if not x.shape[1]:
+        return out
+    apart = (x.T @ (1 - x)) * ((1 - x).T @ x)
+    centres = x[:, list(np.unravel_index(int(np.argmax(apart)), apart.shape))].T @ x
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    for _ in range(steps):
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+        own = (x @ centres.T).argmax(axis=1)
+        centres = np.stack([x[own == k].sum(axis=0) for k in range(2)])
+    out[rows, own] = True
+    return out
+
+
 def fit(docs: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 200) -> Linear:
     rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-4, 1 - 1e-4))
     none = Linear(np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(earlier.shape[1]), float(np.log(rate / (1 - rate))))
@@ -83,12 +128,7 @@ def fit(docs: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, l2: float =
         return none
     flat = np.concatenate(docs) if docs else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    seen = np.bincount(flat, minlength=BUCKETS)
-    hits = np.bincount(flat, weights=y[owner], minlength=BUCKETS)
-    expect = seen * rate
-    z = np.where(seen >= SEEN, np.abs(hits - expect) / np.sqrt(expect * (1 - rate) + 1), 0)
-    words = np.flatnonzero(z >= TELLING)
-    words = np.sort(words[np.argsort(-z[words], kind="stable")][:FEATURES])
+    words = telling(flat, y, owner)
     place = np.full(BUCKETS, -1)
     place[words] = np.arange(len(words))
     x = np.zeros((len(docs), len(words) + earlier.shape[1]), np.float32)
@@ -180,37 +220,36 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             rows.append((r.id, r.toxic, bytes(r.words)))
     docs = [np.frombuffer(w, "<i4").astype(np.int64) for _, _, w in rows]
     toxic = np.array([t > 0 for _, t, _ in rows], bool)
-    columns = []
-    for words in LISTS.values():
-        listed = np.array([bucket(w) for w in words])
-        columns.append(toxic & np.array([np.isin(listed, d).any() for d in docs], bool))
     fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i, _, _ in rows], np.int64)
-    return fit_chain(docs, np.column_stack([*columns, toxic]), fold)
+    return fit_chain(docs, np.column_stack([kinds(docs, toxic), toxic]), fold)
 
 
 class Scorer:
-    """The chain over words: a row of weights, one for each model, for each word; words that no model looks at have row 0."""
+    """The chain over words: a row of weights, one for each model, for each feature that some model looks at."""
 
     def __init__(self, chain: Chain):
         self.chain = chain
         words = np.unique(np.concatenate([m.words for m in chain.models])) if chain.models else np.zeros(0, np.int64)
-        self.table = np.zeros((len(words) + 1, len(chain.models)))
+        self.table = np.zeros((len(words), len(chain.models)))
         for k, m in enumerate(chain.models):
-            self.table[np.searchsorted(words, m.words) + 1, k] = m.weights
-        self.row = {int(w): i + 1 for i, w in enumerate(words)}
-        self.memo: dict[str, int] = {}
+            self.table[np.searchsorted(words, m.words), k] = m.weights
+        self.row = {int(w): i for i, w in enumerate(words)}
+        self.memo: dict[str, tuple[int, ...]] = {}
 
     def sums(self, text: str | None) -> np.ndarray:
         memo, row = self.memo, self.row
-        rows = set()
+        rows: set[int] = set()
         for w in set(WORD.findall((text or "").lower())):
             r = memo.get(w)
             if r is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                r = memo[w] = row.get(bucket(w), 0)
-            rows.add(r)
-        return self.table[sorted(rows)].sum(axis=0) if rows else self.table[0]
+                r = tuple(row[x] for x in features_of(w) if x in row)
+                if len(w) <= LONGEST:
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    memo[w] = r
+            if r:
+                rows.update(r)
+        return self.table[sorted(rows)].sum(axis=0)
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         sums = np.array([self.sums(t) for t in texts]).reshape(len(texts), len(self.chain.models))
@@ -222,8 +261,9 @@ class Scorer:
 
 
 def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = None) -> DataFrame:
-    """doc_id, p_insult, p_contempt, p_toxic, toxic: one row for each row of df."""
-    held = df.sparkSession.sparkContext.broadcast(chain)  # FEATURES words a category
+    """doc_id, p_kind1, p_kind2, p_toxic, toxic: one row for each row of df."""
+    small_batches(df.sparkSession)
+    held = df.sparkSession.sparkContext.broadcast(chain)  # FEATURES a category
     cut = chain.threshold if threshold is None else threshold
     names = ["doc_id", *(f"p_{c}" for c in CATEGORIES), "toxic"]
 
@@ -238,7 +278,7 @@ def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(flag)], names)
 
     schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean"
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, schema)
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(thrifty(run), schema)
 
 
 def learn_and_score(df: DataFrame, labels: DataFrame) -> DataFrame:

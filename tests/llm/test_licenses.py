@@ -1,8 +1,11 @@
+import math
+import random
 import re
+from collections import Counter
 
 from lectern.llm import licenses as L
 
-from .helpers import corpus, docs
+from .helpers import corpus, docs, sentence
 
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
 GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
@@ -62,3 +65,51 @@ def test_a_file_of_many_licenses_keeps_every_label(spark):
         own = [" ".join(sorted(text.split())) for name, text, _ in L.TEMPLATES if name == label]
         found = L.scan(docs(spark, [everything] + own * 20)).where("doc_id = 0").first()
         assert found.labels.split(",") == sorted({name for name, _, _ in L.TEMPLATES}), label
+
+
+def plain(texts, templates=L.TEMPLATES):
+    """labels and score by trying every alignment of every template in every text."""
+    rows = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    held = Counter(w for r in rows for w in set(r))
+    idf = lambda w: math.log((len(rows) + 1) / (held[w] + 1))
+    holds = lambda words, phrase: any(words[i : i + len(phrase)] == phrase for i in range(len(words)))
+    out = []
+    for words in rows:
+        found, fit = {label for phrase, label in L.BASE if holds(words, phrase.split())}, 0.0
+        base = bool(found)
+        for label, text, keys in templates:
+            own = text.split()
+            rare = sorted(set(own), key=lambda w: (-idf(w), w))
+            rare = set(rare[: min(L.MOST, math.ceil(L.PART * len(rare)))])
+            places = [(p, w) for p, w in enumerate(own) if w in rare]
+            votes = max((sum(0 <= off + p < len(words) and words[off + p] == w for p, w in places) for off in range(-len(own), len(words))), default=0)
+            if votes >= max(2, math.ceil(len(places) * L.VOTES)) and all(holds(words, k.split()) for k in keys):
+                found.add(label)
+                fit = max(fit, votes / len(places))
+        out.append((",".join(sorted(found)), min(1.0, 0.5 * base + fit / 2)))
+    return out
+
+
+def test_labels_and_scores_match_brute_force(spark):
+    rng = random.Random(7)
+    texts = [None, "", "MIT licence", "the mit License and the apache-license"]
+    for _ in range(150):
+        label, text, keys = rng.choice(L.TEMPLATES)
+        words = text.split()
+        kind = rng.randrange(5)
+        if kind == 0:  # some words changed
+            for _ in range(rng.randrange(1, 9)):
+                words[rng.randrange(len(words))] = rng.choice(["xyz", "software", "the"])
+        elif kind == 1:  # a piece
+            at = rng.randrange(len(words))
+            words = words[at : at + rng.randrange(1, len(words))]
+        elif kind == 2:  # two templates
+            words += rng.choice(L.TEMPLATES)[1].split()
+        elif kind == 3:  # a word slipped in
+            words.insert(rng.randrange(len(words)), "really")
+        texts.append(sentence(rng, rng.randrange(0, 30)) + " " + " ".join(words).upper() + rng.choice([".", " -- ", "\n"]) + sentence(rng, rng.randrange(0, 30)))
+    got = {r.doc_id: (r.labels, r.score) for r in L.scan(docs(spark, texts)).collect()}
+    want = plain(texts)
+    assert len({x for x, _ in want}) > 8
+    for i, (labels, score) in enumerate(want):
+        assert got[i][0] == labels and abs(got[i][1] - score) < 1e-9, texts[i]
