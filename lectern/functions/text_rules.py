@@ -48,6 +48,7 @@ class Rule:
     mutates: bool = True
     further: tuple[tuple[str, str], ...] = ()  # applied after the first, one after the other
     in_place: bool = False  # contexts show what the rule has changed before the span; lengths stay
+    may_stay: bool = False  # some spans are replaced by themselves
 
     @property
     def passes(self) -> tuple[tuple[str, str], ...]:
@@ -58,7 +59,7 @@ _units_long = "|".join(sorted((u for u in UNITS if len(u) > 1), key=len, reverse
 _units_short = "|".join(u for u in UNITS if len(u) == 1)
 _word = r"[\p{L}\p{Nd}]"
 
-#: In the order of their execution. Where a pattern looks behind over a distance, it does so after its first character has matched: at every
+#: Names, patterns and replacements. In the order of their execution. Where a pattern looks behind over a distance, it does so after its first character has matched: at every
 #: other place it would look in vain.
 STEPS: tuple[Rule, ...] = (
     Rule("ctrl-clean", "Невидимые/битые символы", "ocr", "A", r"[\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{00AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{FFFD}]", ""),
@@ -81,13 +82,13 @@ STEPS: tuple[Rule, ...] = (
     Rule("sym-reg", "(r) → ®", "typography", "A", r"\([rR]\)", "®"),
     Rule("sym-tm", "(tm) → ™", "typography", "A", r"\([tT][mM]\)", "™"),
     Rule("dup-comma", "Двойная запятая", "punctuation", "A", r",{2,}", ","),
-    Rule("nbsp-init", "Неразрывный пробел в инициалах", "typography", "B", r"(\p{Lu}\.)[ \x{00A0}]+(\p{Lu}\.)", f"$1{NBSP}$2"),
+    Rule("nbsp-init", "Неразрывный пробел в инициалах", "typography", "B", r"(\p{Lu}\.)[ \x{00A0}]+(\p{Lu}\.)", f"$1{NBSP}$2", may_stay=True),
     Rule(
         "nbsp-abbr", "Неразрывный пробел в сокращениях", "typography", "B", r"(?iu)(т)\.[ \x{00A0}]+(д|п|е|к|н|о)\.", f"$1.{NBSP}$2.",
-        further=((r"(?iu)(н)\.[ \x{00A0}]+(э)\.", f"$1.{NBSP}$2."), (r"(?iu)(и)\.[ \x{00A0}]+(о)\.", f"$1.{NBSP}$2.")),
+        may_stay=True, further=((r"(?iu)(н)\.[ \x{00A0}]+(э)\.", f"$1.{NBSP}$2."), (r"(?iu)(и)\.[ \x{00A0}]+(о)\.", f"$1.{NBSP}$2.")),
     ),
     Rule("nbsp-prep", "Неразрывный пробел после предлогов", "typography", "B", rf"(?iu)(?<!{_word})({'|'.join(SHORT_WORDS)}) (?={_word})", f"$1{NBSP}", before=" ", after=NBSP, in_place=True),
-    Rule("nbsp-num", "Неразрывный пробел с числами", "typography", "B", r"([0-9])[ \x{00A0}]+([%\x{2030}\x{00B0}\x{20BD}])|(\x{2116})[ \x{00A0}]+([0-9])", f"$1$3{NBSP}$2$4"),
+    Rule("nbsp-num", "Неразрывный пробел с числами", "typography", "B", r"([0-9])[ \x{00A0}]+([%\x{2030}\x{00B0}\x{20BD}])|(\x{2116})[ \x{00A0}]+([0-9])", f"$1$3{NBSP}$2$4", may_stay=True),
     Rule(
         "nbsp-units", "Неразрывный пробел с единицами", "typography", "B", rf"(?iu)(\p{{Nd}}) ((?:{_units_long})|(?:{_units_short})(?=\.))(?!{_word})", f"$1{NBSP}$2",
         before=" ", after=NBSP, in_place=True,
@@ -98,8 +99,8 @@ STEPS: tuple[Rule, ...] = (
         "dot-space", "Пропущен пробел после точки", "punctuation", "C", rf"(\p{{Ll}})\.(?=\p{{Lu}})(?<=\p{{L}}\p{{Ll}}\.)(?<!(?iu:(?<!\p{{L}})(?:{'|'.join(ABBREVIATIONS)})\.))(\p{{Lu}})", "$1. $2",
         bare=r"(\p{Ll})\.(\p{Lu})",
     ),
-    Rule("mixed-alpha", "Смешанный алфавит (лат/кир)", "ocr", "C", r"(?<!\p{L})(?=\p{L}*[A-Za-z])(?=\p{L}*\p{IsCyrillic})\p{L}+", mutates=False),
-    Rule("ocr-digit", "Цифра вместо буквы в слове", "ocr", "C", rf"(?<!{_word})(?={_word}*[036])(?={_word}*\p{{IsCyrillic}}){_word}+", mutates=False),
+    Rule("mixed-alpha", "Смешанный алфавит (лат/кир)", "ocr", "C", r"(?<!\p{L})(?=\p{L}*[A-Za-z])(?=\p{L}*\p{IsCyrillic})\p{L}+", mutates=False, may_stay=True),
+    Rule("ocr-digit", "Цифра вместо буквы в слове", "ocr", "C", rf"(?<!{_word})(?={_word}*[036])(?={_word}*\p{{IsCyrillic}}){_word}+", mutates=False, may_stay=True),
 )
 #: On whole paragraphs, after all steps.
 BLOCK_RULES: tuple[Rule, ...] = (
@@ -261,9 +262,45 @@ def findings(rule: Rule, before: str, after: str) -> str:
     return f"flatten(transform({before}, (r, i) -> {run_findings(rule, 'r', 'i')}))"
 
 
+# --- how many findings, without what they show ---
+
+
+def run_counts(rule: Rule, x: str) -> str:
+    """SQL: how many findings the rule has in one run."""
+    out = []
+    for pattern, replacement in rule.passes:
+        one = Rule(rule.id, rule.name, rule.category, rule.level, pattern, replacement, before=rule.before, after=rule.after, bare=rule.bare if pattern == rule.pattern else "")
+        spans = f"regexp_extract_all({x}, {literal(rule.spans or pattern)}, 0)"
+        if rule.may_stay:
+            before, after = _changed(one, "m")
+            spans = f"filter({spans}, m -> {before} <> {after})"
+        out.append(f"size({spans})")
+        x = f"regexp_replace({x}, {literal(pattern)}, {literal(replacement)})"
+    return " + ".join(out)
+
+
+def _total(runs: str, count: str) -> str:
+    return f"aggregate({runs}, 0, (a, r) -> a + {count})"
+
+
+def counts(rule: Rule, before: str) -> list[tuple[str, str]]:
+    """Level and SQL of the number of findings of a step, given the container before it."""
+    if rule.scope == "dictionary":
+        _, hanging, has = _split_words("m")
+        of = lambda having: _total(before, f"size(filter(regexp_extract_all(r, {literal(_DEHYPH.pattern)}, 0), m -> not {hanging} and {having}))")
+        return [("B", of(has)), ("C", of(f"not {has}"))]
+    if rule.scope == "container":
+        return [("B", _total(before, "length(r) - length(replace(r, '\"', ''))"))]
+    if rule.scope == "first":
+        return [(rule.level, f"if(size({before}) = 0, 0, {run_counts(rule, f'element_at({before}, 1)')})")]
+    return [(rule.level, _total(before, run_counts(rule, "r")))]
+
+
 # --- words split by a hyphen ---
 
 _DEHYPH = next(r for r in STEPS if r.id == "dehyph")
+#: Stands in every run that has a split word; cheaper than the rule's own pattern.
+SPLIT_HINT = r"\p{L}-[ \t\r\n]+\p{Ll}"
 
 
 def dictionary_form(x: str) -> str:
@@ -303,9 +340,13 @@ def dehyph_findings(runs: str) -> str:
 # --- blocks ---
 
 
+#: Unicode's white space.
+BLANK = r"[\s\x{0085}\x{00A0}\p{Z}]"
+
+
 def go_trim(x: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(x, r"\A[\s\x{0085}\x{00A0}\p{Z}]+|[\s\x{0085}\x{00A0}\p{Z}]+\z", "")
+    return F.regexp_replace(x, rf"\A{BLANK}+|{BLANK}+\z", "")
 
 
 def is_page_number(text: Column) -> Column:

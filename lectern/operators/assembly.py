@@ -11,7 +11,7 @@ import hashlib
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
@@ -25,6 +25,8 @@ CONTAINER = XML + '<container version="1.0" xmlns="urn:oasis:names:tc:opendocume
 CSS = "body { margin: 5%; }\n.poem { margin: 1em 2em; }\n.cite, .epigraph { margin: 1em 2em; }\n.empty-line { height: 1em; }\n"
 #: Element names of styles.
 STYLE_TAGS = {"strong": "strong", "emphasis": "em", "strikethrough": "s", "sub": "sub", "sup": "sup", "code": "code"}
+#: Files of chapters and of the bodies' own titles.
+CHAPTERS = ("text/chap", "text/front")
 CONTENTS, COVER, NOTES, TEXT = "Содержание", "Обложка", "Примечания", "Текст"
 
 
@@ -104,7 +106,10 @@ class Layout:
         self.used: set[str] = set()
         self.count = self.auto = 0
         for top in self.kids.get(None, []):
-            if self.sections[top]["body"] != "notes":
+            if self.sections[top]["depth"] == 0:
+                self.file[top] = f"text/front_{len(self.roots) + bool(self.cover):02d}.xhtml"
+                self.roots[self.file[top]] = [top]
+            elif self.sections[top]["body"] != "notes":
                 self._place(top, self._open(top), threshold)
         for n, s in enumerate((k for k in self.kids.get(None, []) if self.sections[k]["body"] == "notes"), 1):
             self.file[s] = "text/notes.xhtml"
@@ -184,7 +189,7 @@ class Layout:
                 room += self.size[k]
 
     def title(self, s: int) -> str:
-        return self.sections[s]["title"] or UNTITLED
+        return self.sections[s]["title"] or UNTITLED * bool(self.sections[s]["depth"])
 
 
 class Renderer:
@@ -254,15 +259,15 @@ class Renderer:
     def section(self, s: int) -> str:
         of = lambda role: self.l.content.get((s, role), [])
         row = self.l.sections[s]
-        out = [self.heading(of("title"), row["depth"])] if of("title") else []
+        out = [self.heading(of("title"), max(1, row["depth"]))] if of("title") else []
         out += [self.block(b) for b in of("epigraph")]
         if src := self.image(row["image"]):
-            out.append(el("div", el("img", src=src, alt=""), class_="image") + "\n")
+            out.append(el("div", el("img", src=src, alt=row["alt"]), class_="image") + "\n")
         if of("annotation"):
             out.append(el("div", "\n", self.blocks(of("annotation")), class_="annotation") + "\n")
         out.append(self.blocks(of("content")))
         out += [self.section(k) for k in self.l.kids.get(s, []) if self.l.file[k] == self.file]
-        return el("section", "\n", *out, id=self.l.anchor[s]) + "\n"
+        return el("section", "\n", *out, id=self.l.anchor.get(s)) + "\n"
 
     def note(self, s: int) -> str:
         title = "".join(self.inline(b["runs"]) for b in self.l.content.get((s, "title"), []) if b["kind"] == "paragraph")
@@ -294,7 +299,7 @@ def package(book: dict, layout: Layout, lang: str, docs: list[tuple[str, str, st
     for id_, file in layout.images.items():
         kind = MEDIA_TYPES.get("." + file.rpartition(".")[2], "application/octet-stream")
         items.append(item(id="cover-image" if id_ == layout.cover else "img-" + safe_id(id_), href=file, media_type=kind, properties="cover-image" if id_ == layout.cover else None))
-    first = next((f for f, _, _ in docs if f.startswith("text/chap")), "")
+    first = next((f for f, _, _ in docs if f.startswith(CHAPTERS)), "")
     guide = [el("reference", type="cover", title=COVER, href="text/cover.xhtml")] * bool(layout.cover) + [el("reference", type="toc", title=CONTENTS, href="nav.xhtml")] + [el("reference", type="text", title=TEXT, href=first)] * bool(first)
     parts = [el("metadata", "\n", *m, xmlns__dc="http://purl.org/dc/elements/1.1/"), el("manifest", "\n", *items), el("spine", *(el("itemref", idref=i) for _, i, _ in docs), toc="ncx"), el("guide", *guide)]
     return XML + el("package", "\n", "\n".join(parts), "\n", xmlns="http://www.idpf.org/2007/opf", version="3.0", unique_identifier="bookid", xml__lang=lang) + "\n"
@@ -330,21 +335,25 @@ def contents(layout: Layout, tops: list[int]) -> tuple[str, str, int]:
     return items(rows), points(rows), max(1, depth(rows))
 
 
-def entries(book: dict, modified: str, threshold: int = THRESHOLD) -> list[tuple[str, bytes]]:
-    """Names and contents of the package's files, in their order."""
+def entries(book: dict, modified: str, threshold: int = THRESHOLD, names: Collection[str] | None = None) -> list[tuple[str, bytes]]:
+    """Names and contents of the package's files, in their order. names: only these are rendered, the others are empty."""
+    wanted = lambda name: names is None or name in names
     layout, lang = Layout(book, threshold), book["lang"].strip() or "ru"
     docs = [("text/cover.xhtml", "cover", COVER)] * bool(layout.cover)
-    docs += [(f, f[5:-6], layout.title(roots[0])) for f, roots in layout.roots.items() if f.startswith("text/chap")]
+    docs += [(f, f[5:-6], layout.title(roots[0])) for f, roots in layout.roots.items() if f.startswith(CHAPTERS)]
     docs += [("text/notes.xhtml", "notes", NOTES)] * ("text/notes.xhtml" in layout.roots)
-    tops = [s for s in layout.kids.get(None, []) if layout.sections[s]["body"] != "notes"]
+    tops = [s for s in layout.kids.get(None, []) if layout.sections[s]["body"] != "notes" and layout.sections[s]["depth"]]
     listed, points, depth = contents(layout, tops)
-    first = next((f for f, _, _ in docs if f.startswith("text/chap")), "")
+    first = next((f for f, _, _ in docs if f.startswith(CHAPTERS)), "")
     marks = [el("li", el("a", COVER, epub__type="cover", href="text/cover.xhtml"))] * bool(layout.cover) + [el("li", el("a", TEXT, epub__type="bodymatter", href=first))] * bool(first)
     nav = el("nav", el("h1", CONTENTS), listed, epub__type="toc", id="toc") + el("nav", el("ol", *marks), epub__type="landmarks", id="landmarks", hidden="")
     head = el("head", *(el("meta", name=f"dtb:{k}", content=v) for k, v in (("uid", identifier(book)), ("depth", str(depth)), ("totalPageCount", "0"), ("maxPageNumber", "0"))))
     ncx = XML + el("ncx", head, el("docTitle", el("text", escape(book["title"] or UNTITLED))), el("navMap", points), xmlns="http://www.daisy.org/z3986/2005/ncx/", version="2005-1", xml__lang=lang) + "\n"
     out = [("mimetype", "application/epub+zip"), ("META-INF/container.xml", CONTAINER), ("OEBPS/content.opf", package(book, layout, lang, docs, modified)), ("OEBPS/nav.xhtml", page(lang, CONTENTS, nav, "style.css")), ("OEBPS/toc.ncx", ncx), ("OEBPS/style.css", CSS)]
     for file, kind, title in docs:
+        if not wanted(f"OEBPS/{file}"):
+            out.append((f"OEBPS/{file}", ""))
+            continue
         r = Renderer(layout, file)
         if kind == "cover":
             body = el("div", el("img", src=r.image(layout.cover), alt=COVER), class_="cover") + "\n"
@@ -364,15 +373,21 @@ def zipped(files: list[tuple[str, bytes]]) -> bytes:
     return out.getvalue()
 
 
-def package_entries(books: DataFrame, modified: str, threshold: int = THRESHOLD) -> DataFrame:
-    """book, entry_ord, name, content"""
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One book after the other: only one is held as Python objects."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
+def package_entries(books: DataFrame, modified: str, threshold: int = THRESHOLD, names: Collection[str] | None = None) -> DataFrame:
+    """book, entry_ord, name, content; names: of these entries only"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for book in b.to_pylist():
-                files = entries(book, modified, threshold)
+            for book in rows_of(b):
+                files = [(k, n, d) for k, (n, d) in enumerate(entries(book, modified, threshold, names)) if names is None or n in names]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([book["path"]] * len(files)), pa.array(range(len(files)), pa.int32()), pa.array([n for n, _ in files]), pa.array([d for _, d in files], pa.binary())], ["book", "entry_ord", "name", "content"]
+                    [pa.array([book["path"]] * len(files)), pa.array([k for k, _, _ in files], pa.int32()), pa.array([n for _, n, _ in files], pa.string()), pa.array([d for _, _, d in files], pa.binary())], ["book", "entry_ord", "name", "content"]
                 )
 
     return books.mapInArrow(run, "book string, entry_ord int, name string, content binary")
@@ -383,7 +398,7 @@ def packages(books: DataFrame, modified: str, threshold: int = THRESHOLD) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for book in b.to_pylist():
+            for book in rows_of(b):
                 yield pa.RecordBatch.from_arrays([pa.array([book["path"]]), pa.array([zipped(entries(book, modified, threshold))], pa.binary())], ["book", "epub"])
 
     return books.mapInArrow(run, "book string, epub binary")
@@ -450,7 +465,7 @@ class Preview:
         return "".join(out)
 
     def html(self) -> str:
-        first = next((s for s in self.layout.kids.get(None, []) if self.layout.sections[s]["body"] != "notes"), None)
+        first = next((s for s in self.layout.kids.get(None, []) if self.layout.sections[s]["body"] != "notes" and self.layout.sections[s]["depth"]), None)
         if first is None:
             return el("p", NO_CHAPTERS)
         out = self.section(first, 1)
@@ -462,7 +477,7 @@ def previews(books: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for book in b.to_pylist():
+            for book in rows_of(b):
                 yield pa.RecordBatch.from_arrays([pa.array([book["path"]]), pa.array([Preview(book).html()])], ["book", "html"])
 
     return books.mapInArrow(run, "book string, html string")

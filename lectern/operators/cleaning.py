@@ -1,14 +1,16 @@
 """The rule pipeline over containers, and what it finds.
 
-Input: a DataFrame with one row a container and a column of array<string>, its runs. The steps follow one another as column
-expressions; the only join is the one with the dictionary, and only containers with split words take part in it.
+Input: a DataFrame with one row a container and a column of array<string>, its runs; or one row a book with an array of such containers. The
+steps follow one another as column expressions; the only join is the one with the dictionary, and only rows with split words
+take part in it. The others go around it, so that their texts are not shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,47 +25,54 @@ class Step:
     rule: R.Rule
     before: str
     after: str
-    #: SQL of the step's findings.
-    findings: str
+    #: SQL of the step's findings in a container, given the container before and after it.
+    findings: Callable[[str, str], str]
+    #: Level and SQL of their number, given the container before it.
+    counts: Callable[[str], list[tuple[str, str]]]
 
 
 def with_known_words(df: DataFrame, runs: str, keys: list[str], dictionary: DataFrame | None) -> DataFrame:
-    """df with `known`: which words of the container, split by a hyphen, the dictionary (column word) has when joined."""
+    """df with `known`: which words of the row, split by a hyphen, the dictionary (column word) has when joined."""
+    none = F.array().cast("array<string>")
     if dictionary is None:
-        return df.withColumn("known", F.array().cast("array<string>"))
+        return df.withColumn("known", none)
     own = [f"__{k}" for k in keys]
-    words = df.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.explode(F.expr(R.split_candidates(runs))).alias("word"))
+    split = F.exists(F.expr(f"transform({runs}, r -> r rlike {R.literal(R.SPLIT_HINT)})"), lambda x: x)
+    some, others = df.where(split), df.where(~F.coalesce(split, F.lit(False))).withColumn("known", none)
+    words = some.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.explode(F.expr(R.split_candidates(runs))).alias("word"))
     # The planner broadcasts the dictionary if its size allows, and shuffles otherwise; words that many texts share meet it once.
     found = words.distinct().join(dictionary.select("word").distinct(), "word", "left_semi")
     found = found.groupBy(*own).agg(F.collect_set("word").alias("known"))
     on = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)]
-    return df.join(found, on, "left").drop(*own).withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    return some.join(found, on, "left").drop(*own).withColumn("known", F.coalesce("known", none)).unionByName(others)
 
 
-def steps(df: DataFrame, runs: str, keys: list[str], enabled: Collection[str] = R.DEFAULT, dictionary: DataFrame | None = None) -> tuple[DataFrame, list[Step]]:
-    """df with a column for the text after every step that ran; unused ones cost nothing, as the optimizer drops them."""
+def steps(df: DataFrame, runs: str, keys: list[str], enabled: Collection[str] = R.DEFAULT, dictionary: DataFrame | None = None, nested: bool = False) -> tuple[DataFrame, list[Step]]:
+    """df with a column for the text after every step that ran; unused ones cost nothing, as the optimizer drops them. nested: runs is an array
+    of containers."""
     done: list[Step] = []
 
-    def put(rule: R.Rule, expression: str | None, found: str) -> None:
+    def put(rule: R.Rule, expression: Callable[[str], str] | None, found: Callable[[str, str], str], counts: Callable[[str], list[tuple[str, str]]]) -> None:
         nonlocal df
         before = done[-1].after if done else runs
         after = before
         if expression is not None:
             after = f"__{len(done)}"
-            df = df.withColumn(after, F.expr(expression))
-        done.append(Step(rule, before, after, found.replace("@before", before).replace("@after", after)))
+            df = df.withColumn(after, F.expr(f"transform({before}, c -> {expression('c')})" if nested else expression(before)))
+        done.append(Step(rule, before, after, found, counts))
 
-    put(TRIM, R.trim(runs), R.trim_findings("@before", "@after"))
+    put(TRIM, R.trim, R.trim_findings, lambda b: [("A", f"size({R.trim_findings(b, '')})")])
     for rule in R.STEPS:
         on = rule.id in enabled
-        now = done[-1].after
         if rule.level != "C" and not on:
             continue
+        own = lambda b, rule=rule: R.counts(rule, b)
         if rule.scope == "dictionary":
-            df = with_known_words(df, now, keys, dictionary)
-            put(rule, R.dehyph(now), R.dehyph_findings("@before"))
+            now = done[-1].after
+            df = with_known_words(df, f"flatten({now})" if nested else now, keys, dictionary)
+            put(rule, R.dehyph, lambda b, a: R.dehyph_findings(b), own)
         else:
-            put(rule, R.step(rule, now) if on and rule.mutates else None, R.findings(rule, "@before", "@after"))
+            put(rule, (lambda b, rule=rule: R.step(rule, b)) if on and rule.mutates else None, lambda b, a, rule=rule: R.findings(rule, b, a), own)
     return df, done
 
 
@@ -81,14 +90,32 @@ def findings(
     Ordered by step, run_ord and match_ord they come as they were made."""
     keys = keys or ["doc_id"]
     df, done = steps(df, runs, keys, enabled, dictionary)
+    return df.select(*keys, F.inline(F.expr(found(done, only))))
+
+
+def found(done: list[Step], only: Collection[str] | None, nested: bool = False) -> str:
+    """SQL: all findings of a row."""
     parts = []
     for k, s in enumerate(done):
         if only is None or s.rule.id in only:
-            parts.append(
-                f"transform({s.findings}, f -> named_struct('step', {k}, 'run_ord', f.run_ord, 'match_ord', f.match_ord, 'rule_id', '{s.rule.id}', "
-                f"'category', '{s.rule.category}', 'level', f.level, 'context', f.context, 'before', f.before, 'after', f.after))"
-            )
-    return df.select(*keys, F.inline(F.expr(f"concat({', '.join(parts)})")))
+            fields = f"'run_ord', f.run_ord, 'match_ord', f.match_ord, 'rule_id', '{s.rule.id}', 'category', '{s.rule.category}', 'level', f.level, 'context', f.context, 'before', f.before, 'after', f.after"
+            if nested:
+                each = f"zip_with({s.before}, {s.after}, (b, a) -> {s.findings('b', 'a')})"
+                parts.append(f"flatten(transform({each}, (fs, i) -> transform(fs, f -> named_struct('cont_ord', i, 'step', {k}, {fields}))))")
+            else:
+                parts.append(f"transform({s.findings(s.before, s.after)}, f -> named_struct('step', {k}, {fields}))")
+    none = "array<struct<" + "cont_ord:int," * nested + "step:int,run_ord:int,match_ord:int,rule_id:string,category:string,level:string,context:string,before:string,after:string>>"
+    return f"concat({', '.join([f'cast(array() as {none})', *parts])})"
+
+
+def finding_counts(df: DataFrame, runs: str = "runs", keys: list[str] | None = None, enabled: Collection[str] = R.DEFAULT, dictionary: DataFrame | None = None) -> DataFrame:
+    """rule_id, level, count: how many findings there are, without making them; rules that find nothing have no row."""
+    df, done = steps(df, runs, keys or ["doc_id"], enabled, dictionary)
+    numbers = [(s.rule.id, level, n) for s in done for level, n in s.counts(s.before)]
+    # One row goes on from each task.
+    sums = df.select(*[F.expr(n).cast("long").alias(f"n{k}") for k, (_, _, n) in enumerate(numbers)]).agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(numbers))])
+    rows = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(level).alias("level"), F.col(f"n{k}").alias("count")) for k, (r, level, _) in enumerate(numbers)])
+    return sums.select(F.inline(rows)).where(F.col("count") > 0)
 
 
 def block_findings(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
@@ -112,10 +139,10 @@ def catalog(spark: SparkSession, enabled: Collection[str] = R.DEFAULT) -> DataFr
     return spark.createDataFrame(rows, schema)
 
 
-def rule_stats(found: DataFrame, enabled: Collection[str] = R.DEFAULT) -> DataFrame:
-    """Every rule of the catalog with its number of findings, none included; trimming isn't in the catalog."""
-    counts = found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("count"))
-    return catalog(found.sparkSession, enabled).join(counts, "rule_id", "left").select("rule_id", "name", "category", "level", F.coalesce("count", F.lit(0)).cast("long").alias("count"), "enabled")
+def rule_stats(counts: DataFrame, enabled: Collection[str] = R.DEFAULT) -> DataFrame:
+    """Every rule of the catalog with its number of findings (counts: of finding_counts), none included; trimming isn't in the catalog."""
+    counts = counts.groupBy("rule_id").agg(F.sum("count").alias("count"))
+    return catalog(counts.sparkSession, enabled).join(counts, "rule_id", "left").select("rule_id", "name", "category", "level", F.coalesce("count", F.lit(0)).cast("long").alias("count"), "enabled")
 
 
 def report(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,6 +158,32 @@ def first_findings(found: DataFrame, keys: list[str], n: int = 200) -> DataFrame
     return found.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= n).drop("__rank")
 
 
+def findings_of(found: DataFrame, rule_id: str, keys: list[str], n: int = 500) -> DataFrame:
+    """The first n findings of one rule, in the order in which they were made."""
+    return found.where(F.col("rule_id") == rule_id).orderBy(*keys, "step", "run_ord", "match_ord").limit(n)
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """word: a word list of one word a line, packed or not; what a dictionary has is looked up in lower case, without the letter yo."""
+    return spark.read.text(path).select(F.replace(F.lower(F.trim("value")), F.lit("ё"), F.lit("е")).alias("word")).where("word <> ''").distinct()
+
+
+def write_dictionary(words: DataFrame, path: str) -> None:
+    """A packed word list in the order of its characters, a word a line. It is sorted over all files, one after the other."""
+    words.select("word").orderBy("word").write.option("compression", "gzip").text(path)
+
+
+def read_word_list(spark: SparkSession, path: str, encoding: str = "windows-1251") -> DataFrame:
+    """text: the lines of a raw word list in an older encoding; dictionary_words makes a dictionary of them."""
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([x.decode(encoding, "replace") for x in b.column(0).to_pylist()], pa.string())], ["text"])
+
+    # The text source hands on the bytes of a line as they are.
+    return spark.read.text(path).select(F.col("value").cast("binary").alias("line")).mapInArrow(decoded, "text string")
+
+
 def dictionary_words(texts: DataFrame, text: str) -> DataFrame:
     """word: distinct lower-case Cyrillic words of two letters or more, without the letter yo."""
     token = F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{IsCyrillic}+"), F.lit(0)))

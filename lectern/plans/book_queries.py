@@ -150,12 +150,12 @@ def metadata_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *[c.alias(n) for n, c in new.items()])
 
 
-# --- trees: nations are books, customers their sections, orders and the first lines of orders the sections below ---
+# --- trees: nations are books, customers their sections, orders and their lines the sections below ---
 
 _TREE = """SELECT book, row_number() OVER (PARTITION BY book ORDER BY c, o, l) AS sec_ord, c, o, l, own_size FROM (
 SELECT c_nationkey AS book, c_custkey AS c, -1 AS o, -1 AS l, 30 + 100 * length(c_name) AS own_size FROM customer
 UNION ALL SELECT c_nationkey, c_custkey, o_orderkey, -1, 30 + CAST(floor(o_totalprice / 1000) AS BIGINT) FROM orders JOIN customer ON o_custkey = c_custkey
-UNION ALL SELECT c_nationkey, c_custkey, o_orderkey, l_linenumber, 30 + 10 * q FROM (SELECT l_orderkey, l_linenumber, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey, l_linenumber) li
+UNION ALL SELECT c_nationkey, c_custkey, o_orderkey, l_linenumber, 30 + 10 * q FROM (SELECT l_orderkey, l_linenumber, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber) li
   JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 
 
@@ -344,8 +344,7 @@ def xhtml_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def opf_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import assembly
 
-    e = assembly.package_entries(books(spark, sf_dir), MODIFIED)
-    return e.where("name = 'OEBPS/content.opf'").select("book", F.decode("content", "UTF-8").alias("opf"))
+    return assembly.package_entries(books(spark, sf_dir), MODIFIED, names=["OEBPS/content.opf"]).select("book", F.decode("content", "UTF-8").alias("opf"))
 
 
 @query("epub_zip")
@@ -372,7 +371,14 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.previews(books(spark, sf_dir)).select("book", F.length("html").alias("chars"), F.md5(F.encode("html", "UTF-8")).alias("digest"))
 
 
-@query("yo_lookup")
+def _yo_sql() -> str:
+    from ..functions import yo
+
+    rows = [(w.replace("ё", "е"), w) for w in yo.WORDS] + [("Еще", "Ещё"), ("ЕЩЕ", "ЕЩЁ")]
+    return f"SELECT r_regionkey, word, restored FROM region, (VALUES {', '.join(map(str, rows))}) v(word, restored)"
+
+
+@query("yo_lookup", _yo_sql())
 def yo_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import yo
 
@@ -395,7 +401,11 @@ def cover_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("p_partkey", "c.width", F.col("c.jpegQuality").alias("quality"), F.round("c.plateWidth", 4).alias("plate"))
 
 
-@query("wrap_lines")
+@query(
+    "wrap_lines",
+    """SELECT p_partkey, list_reduce(list_filter(string_split_regex(p_name || ' ' || p_type || ' ' || p_brand, ' +'), lambda w: w <> ''),
+  lambda a, w: CASE WHEN length(split_part(a, '|', -1)) + 1 + length(w) <= 16 THEN a || ' ' || w ELSE a || '|' || w END) AS lines FROM part""",
+)
 def wrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import covers
 

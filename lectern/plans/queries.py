@@ -39,11 +39,10 @@ def _rule(rule: R.Rule) -> Query:
         if rule.scope == "dictionary":
             d = cleaning.with_known_words(d, "runs", ["doc_id"], dictionary(spark, sf_dir))
             d = d.withColumn("after", F.expr(R.dehyph("runs")))
-            found = R.dehyph_findings("runs")
         else:
             d = d.withColumn("after", F.expr(R.step(rule, "runs")) if rule.mutates else F.col("runs"))
-            found = R.findings(rule, "runs", "after")
-        return d.select("doc_id", F.col("after")[0].alias("out"), F.size(F.expr(found)).cast("long").alias("n_findings"))
+        n = " + ".join(n for _, n in R.counts(rule, "runs"))
+        return d.select("doc_id", F.col("after")[0].alias("out"), F.expr(n).cast("long").alias("n_findings"))
 
     return run
 
@@ -110,11 +109,38 @@ def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir)
 
 
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.finding_counts(fixtures.runs(spark, sf_dir), dictionary=dictionary(spark, sf_dir))
+
+
 @query("findings_rollup", rule_sql.rollup(R.DEFAULT, fixtures.injected_sql()))
 def findings_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted(spark, sf_dir)
+
+
+@query("findings_by_rule", rule_sql.rollup(R.DEFAULT, fixtures.injected_sql()))
+def findings_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many as are counted: the findings themselves, rolled up."""
     return found(spark, sf_dir).groupBy("rule_id", "level").agg(F.count(F.lit(1)).alias("count"))
 
 
+#: One document's findings of each rule that are compared, and rules whose findings the SQL makes.
+SHOWN = 5
+
+
+@query("first_findings", rule_sql.first_findings(R.DEFAULT, fixtures.injected_sql(), SHOWN))
+def first_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is a book: what is shown of each rule's findings, in the order of the pipeline, with what the rules before have made of the text."""
+    f = cleaning.findings(fixtures.runs(spark, sf_dir), dictionary=dictionary(spark, sf_dir), only=frozenset(rule_sql.SIMPLE))
+    return cleaning.first_findings(f, ["doc_id"], SHOWN).select("doc_id", "rule_id", "category", "level", "before", "after", "context")
+
+
+@query("findings_of_rule", rule_sql.findings_of("ell-dots", R.DEFAULT, fixtures.injected_sql(), 500))
+def findings_of_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = cleaning.findings(fixtures.runs(spark, sf_dir), dictionary=dictionary(spark, sf_dir), only={"ell-dots"})
+    return cleaning.findings_of(f, "ell-dots", ["doc_id"]).select("doc_id", "before", "after", "context")
+
+
 def _stats_sql() -> str:
     rows = ", ".join(f"({rule_sql.q(r.id)}, {rule_sql.q(r.name)}, '{r.category}', '{r.level}', {str(r.id in R.DEFAULT).lower()})" for r in R.CATALOG)
     return f"""SELECT c.id AS rule_id, c.name, c.category, c.level, CAST(coalesce(f.n, 0) AS BIGINT) AS count, c.enabled FROM (VALUES {rows}) c(id, name, category, level, enabled)
@@ -123,10 +149,10 @@ LEFT JOIN (SELECT rule_id, sum(count) AS n FROM ({rule_sql.rollup(R.DEFAULT, fix
 
 @query("rule_stats", _stats_sql())
 def rule_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.rule_stats(found(spark, sf_dir))
+    return cleaning.rule_stats(counted(spark, sf_dir))
 
 
-@query("findings_report")
+@query("findings_report", rule_sql.report(R.DEFAULT, fixtures.injected_sql()))
 def findings_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.report(found(spark, sf_dir), ["doc_id"])
 
@@ -134,11 +160,8 @@ def findings_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("findings_top200", f"SELECT rule_id, least(count, 200) AS shown, count > 200 AS truncated FROM (SELECT rule_id, sum(count) AS count FROM ({rule_sql.rollup(R.DEFAULT, fixtures.injected_sql())}) GROUP BY rule_id)")
 def findings_top200(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are one book here: how many findings of each rule are shown, and whether there are more."""
-    f = found(spark, sf_dir).withColumn("book", F.lit(0))
-    w = cleaning.Window.partitionBy("rule_id").orderBy("doc_id", "step", "run_ord", "match_ord")
-    shown = f.withColumn("rank", F.row_number().over(w)).where("rank <= 200").groupBy("rule_id").agg(F.count(F.lit(1)).alias("shown"))
-    total = f.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
-    return total.join(shown, "rule_id").select("rule_id", "shown", (F.col("n") > F.col("shown")).alias("truncated"))
+    n = counted(spark, sf_dir).groupBy("rule_id").agg(F.sum("count").alias("n"))
+    return n.select("rule_id", F.least("n", F.lit(200)).alias("shown"), (F.col("n") > 200).alias("truncated"))
 
 
 def _context(rule: R.Rule) -> Query:
@@ -149,7 +172,7 @@ def _context(rule: R.Rule) -> Query:
     return run
 
 
-for _id in ("sp-ws", "ell-dots", "sp-before-punct", "quotes-apos", "nbsp-init", "nbsp-num"):
+for _id in rule_sql.SIMPLE:
     query(f"context_{_id.replace('-', '_')}", rule_sql.context_query(R.BY_ID[_id], fixtures.injected_sql()))(_context(R.BY_ID[_id]))
 
 

@@ -15,10 +15,27 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _re2(replacement: str) -> str:
-    for k in range(1, 5):
-        replacement = replacement.replace(f"${k}", f"\\{k}")
-    return replacement
+# What each rule matches and puts there, in RE2's dialect.
+SIMPLE = {
+    "ctrl-clean": (r"[\x{0000}-\x{0008}]|\x{000B}|\x{000C}|[\x{000E}-\x{001F}]|\x{00AD}|\x{200B}|\x{200C}|\x{200D}|\x{2060}|\x{FEFF}|\x{FFFD}", ""),
+    "sp-ws": (r"(?: |\t|\r|\n)+", " "),
+    "dash-multi": ("--+", "—"),
+    "ell-dots": (r"\.\.\.+", "…"),
+    "ell-spaced": (rf"\.(?:(?: |{N})*\.)(?:(?: |{N})*\.)+", "…"),
+    "sp-before-punct": (rf"(?: |{N})+(,|\.|;|:|!|\?|…|\)|»|\]|“)", r"\1"),
+    "sp-bracket": (rf"(\(|\[|«|„)(?: |{N})+", r"\1"),
+    "sp-after-punct": (r"(,|;|:|!|\?)(\pL)", r"\1 \2"),
+    "dash-hyphen": (" [-] ", " — "),
+    "dash-endash": (" [–] ", " — "),
+    "quotes-apos": (r"(\pL)(?:'|ʼ)(\pL)", r"\1’\2"),
+    "sym-copy": (r"\(c\)|\(C\)", "©"),
+    "sym-reg": (r"\(r\)|\(R\)", "®"),
+    "sym-tm": (r"(?i)\(tm\)", "™"),
+    "dup-comma": (",,+", ","),
+    "nbsp-init": (rf"(\p{{Lu}})\.(?: |{N})+(\p{{Lu}})\.", rf"\1.{N}\2."),
+    "nbsp-num": (rf"(\d)(?: |{N})+(%|‰|°|₽)|(№)(?: |{N})+(\d)", rf"\1\3{N}\2\4"),
+    "nbsp-dash": (rf"([^\s{N}]) +(—)", rf"\1{N}\2"),
+}
 
 
 def _replace(t: str, pattern: str, replacement: str) -> str:
@@ -41,8 +58,8 @@ def _tokens(t: str, pattern: str, rewrite: Callable[[str, str, str], str], hit:
     return out, f"len(list_filter({one}, lambda x: {hit('x.m', 'x.g', 'x.h')}))"
 
 
-def _simple(rule: R.Rule, t: str) -> tuple[str, str]:
-    return _replace(t, rule.pattern, _re2(rule.replacement)), _count(t, rule.pattern, _re2(rule.replacement))
+def _simple(pattern: str, replacement: str) -> Callable[[str], tuple[str, str]]:
+    return lambda t: (_replace(t, pattern, replacement), _count(t, pattern, replacement))
 
 
 def _first(pattern: str, replacement: str) -> Callable[[str], tuple[str, str]]:
@@ -112,13 +129,12 @@ def _ocr(t: str) -> tuple[str, str]:
 
 
 #: rule -> SQL of the text after it, and of the number of its findings.
-ORACLE: dict[str, Callable[[str], tuple[str, str]]] = {r.id: (lambda t, r=r: _simple(r, t)) for r in R.STEPS if r.pattern and not r.further and "(?<" not in r.pattern and "(?!" not in r.pattern and r.mutates}
+ORACLE: dict[str, Callable[[str], tuple[str, str]]] = {k: _simple(*v) for k, v in SIMPLE.items()}
 ORACLE |= {
     "dialog-dash": _first(r"^([ \x{00A0}\t]*)[-–−]([ \x{00A0}\t])", r"\1—\2"),
     "dialog-dash-glue": _first(r"^([ \x{00A0}\t]*)[-–—−](\p{L})", r"\1— \2"),
     "nbsp-prep": _prep, "nbsp-units": _units, "nbsp-abbr": _abbr, "dash-range": _range, "ell-two": _two_dots, "dot-space": _dot_space, "mixed-alpha": _mixed, "ocr-digit": _ocr,
 }
-ORACLE.pop("dehyph", None)
 
 #: The dictionary: distinct lower-case Cyrillic words of the injected texts.
 DICTIONARY = r"SELECT DISTINCT replace(w, 'ё', 'е') AS word FROM (SELECT unnest(regexp_extract_all(lower(t), '\p{Cyrillic}+')) AS w FROM d) WHERE length(w) >= 2"
@@ -197,13 +213,47 @@ def rollup(enabled, source: str) -> str:
     return f"{ctes}\nSELECT * FROM ({rows}) WHERE count > 0"
 
 
+def contexts(rule_id: str, source: str, columns: str = "doc_id") -> str:
+    """Findings with contexts of a rule that is one expression, as a query over doc_id, t of source."""
+    p, r = (q(x) for x in SIMPLE[rule_id])
+    return f"""SELECT {columns}, k, m AS before, regexp_replace(m, {p}, {r}, 'g') AS after, right(left(t, place), 12) || '⟦' || m || '⟧' || left(substr(t, place + length(m) + 1), 12) AS context
+FROM (SELECT doc_id, t, k, m[k] AS m, CAST(list_sum(list_transform(g[1:k], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda s: length(s))), 0) AS BIGINT) AS place
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM (SELECT doc_id, t, regexp_extract_all(t, {p}) AS m, string_split_regex(t, {p}) AS g FROM {source})))
+WHERE regexp_replace(m, {p}, {r}, 'g') <> m"""
+
+
 def context_query(rule: R.Rule, source: str) -> str:
-    """Findings with contexts of a rule that is one expression without lookaround."""
-    p, r = rule.pattern, _re2(rule.replacement)
-    return f"""WITH d AS ({source}),
-x AS (SELECT doc_id, t, regexp_extract_all(t, {q(p)}) AS m, string_split_regex(t, {q(p)}) AS g FROM d),
-y AS (SELECT doc_id, t, k, m[k] AS m, CAST(list_sum(list_transform(g[1:k], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda s: length(s))), 0) AS BIGINT) AS place
-  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM x))
-SELECT doc_id, m AS before, regexp_replace(m, {q(p)}, {q(r)}, 'g') AS after,
-  right(left(t, place), 12) || '⟦' || m || '⟧' || left(substr(t, place + length(m) + 1), 12) AS context
-FROM y WHERE regexp_replace(m, {q(p)}, {q(r)}, 'g') <> m"""
+    return f"WITH d AS ({source}) SELECT doc_id, before, after, context FROM ({contexts(rule.id, 'd')})"
+
+
+def _sources(enabled) -> dict[str, str]:
+    """Rule -> the CTE with the text before it."""
+    out, last = {}, "s0"
+    for k, rule in enumerate(R.STEPS, 1):
+        if rule.level == "C" or rule.id in enabled:
+            out[rule.id], last = last, f"s{k}"
+    return out
+
+
+def first_findings(enabled, source: str, n: int) -> str:
+    """Of each document and rule of SIMPLE the first findings."""
+    ctes, _, _ = pipeline_ctes(enabled, source)
+    before = _sources(enabled)
+    rows = " UNION ALL ".join(contexts(i, before[i], f"doc_id, '{i}' AS rule_id, '{R.BY_ID[i].category}' AS category, '{R.BY_ID[i].level}' AS level") for i in SIMPLE)
+    return f"{ctes}\nSELECT doc_id, rule_id, category, level, before, after, context FROM ({rows}) QUALIFY row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY k) <= {n}"
+
+
+def findings_of(rule_id: str, enabled, source: str, n: int) -> str:
+    ctes, _, _ = pipeline_ctes(enabled, source)
+    return f"{ctes}\nSELECT doc_id, before, after, context FROM ({contexts(rule_id, _sources(enabled)[rule_id])}) ORDER BY doc_id, k LIMIT {n}"
+
+
+def report(enabled, source: str) -> str:
+    """Rules by their number of findings, with the level of the first: only a split word's depends on the word."""
+    ctes, _, counts = pipeline_ctes(enabled, source)
+    rows = " UNION ALL ".join(f"SELECT '{r}' AS rule_id, '{level}' AS level, CAST(({n}) AS BIGINT) AS count" for r, level, n in counts)
+    split = f"s{[r.id for r in R.STEPS].index('dehyph') + 1}_x"
+    first = f"SELECT CASE WHEN w.word IS NULL THEN 'C' ELSE 'B' END FROM {split} x LEFT JOIN dict w ON w.word = replace(lower(x.joined), 'ё', 'е') WHERE x.m IS NOT NULL AND NOT hanging ORDER BY doc_id, k LIMIT 1"
+    return f"""{ctes}, r AS (SELECT rule_id, CAST(sum(count) AS BIGINT) AS count, min(level) AS level FROM ({rows}) WHERE count > 0 GROUP BY rule_id),
+f AS (SELECT rule_id, count, CASE WHEN rule_id = 'dehyph' THEN ({first}) ELSE level END AS level FROM r)
+SELECT *, CASE WHEN level = 'C' THEN 'suggested' ELSE 'applied' END AS kind FROM f"""

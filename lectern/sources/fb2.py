@@ -143,6 +143,12 @@ def plain(node: Node) -> str:
     return "".join(r["text"] for r in runs(node))
 
 
+def headline(title: Node | None) -> str:
+    """The paragraphs of a title in one line."""
+    heads = [plain(p).strip(SPACE) for p in title.nodes("p", "subtitle")] if title else []
+    return " ".join(h for h in heads if h).strip(SPACE)
+
+
 _LEAVES = {"p": "paragraph", "subtitle": "subtitle", "text-author": "text-author", "v": "verse", "th": "cell", "td": "cell"}
 _GROUPS = ("poem", "stanza", "cite", "epigraph", "annotation", "table", "tr", "title")
 
@@ -157,7 +163,7 @@ class Flattened:
         whole = lambda s: int(s) if re.fullmatch(r"\s*[+-]?\d+\s*", s) else 0
         self.blocks.append({
             "block_ord": n, "sec_ord": sec, "role": role, "parent_block": parent, "kind": kind, "id": node.get("id"), "style": node.get("style"), "href": node.target if node.tag == "image" else "",
-            "alt": node.get("alt") or node.get("title"), "colspan": whole(node.get("colspan")), "rowspan": whole(node.get("rowspan")), "header": node.tag == "th", "runs": inline,
+            "alt": node.get("alt") or node.get("title"), "colspan": whole(node.get("colspan")), "rowspan": whole(node.get("rowspan")), "header": node.tag == "th", "heading": False, "runs": inline,
         })
         return n
 
@@ -171,14 +177,24 @@ class Flattened:
             for k in node.nodes():
                 self.block(sec, role, own, k)
 
+    def front(self, body: Node) -> None:
+        """A body's own title and epigraphs, if it has any, as a section of depth 0 without content."""
+        title, n = body.last("title"), len(self.sections)
+        if not (title and title.nodes()) and not body.nodes("epigraph"):
+            return
+        self.sections.append({"sec_ord": n, "parent_ord": None, "depth": 0, "path": [n], "body": body.get("name"), "id": "", "title": headline(title), "image": "", "alt": ""})
+        for k in title.nodes() if title else []:
+            self.block(n, "title", None, k)
+        for e in body.nodes("epigraph"):
+            self.block(n, "epigraph", None, e)
+
     def section(self, node: Node, body: str, parent: int | None, depth: int, path: list[int]) -> None:
         n = len(self.sections)
         title = node.last("title")
-        heads = [plain(p).strip(SPACE) for p in title.nodes("p", "subtitle")] if title else []
         image = node.last("image")
         self.sections.append({
-            "sec_ord": n, "parent_ord": parent, "depth": depth, "path": [*path, n], "body": body, "id": node.get("id"), "title": " ".join(h for h in heads if h).strip(SPACE),
-            "image": image.target if image else "",
+            "sec_ord": n, "parent_ord": parent, "depth": depth, "path": [*path, n], "body": body, "id": node.get("id"), "title": headline(title),
+            "image": image.target if image else "", "alt": (image.get("alt") or image.get("title")) if image else "",
         })
         for role, tag in (("title", "title"), ("annotation", "annotation")):
             node_ = node.last(tag)
@@ -219,6 +235,8 @@ def parse(raw: bytes) -> dict | None:
     flat = Flattened()
     for b in [*(b for b in bodies if b is not notes), *([notes] if notes else [])]:
         name = "notes" if b is notes else b.get("name")
+        if b is not notes:
+            flat.front(b)
         for s in b.nodes("section"):
             flat.section(s, name, None, 1, [])
     binaries = []
@@ -249,8 +267,8 @@ def _walk(node: Node) -> Iterator[Node]:
 
 _PERSON = pa.list_(pa.struct([(c, pa.string()) for c in ("first", "middle", "last", "nick")]))
 _RUN = pa.list_(pa.struct([("style", pa.list_(pa.string())), ("href", pa.string()), ("note", pa.bool_()), ("image", pa.string()), ("text", pa.string())]))
-_SECTION = pa.list_(pa.struct([("sec_ord", pa.int32()), ("parent_ord", pa.int32()), ("depth", pa.int32()), ("path", pa.list_(pa.int32())), ("body", pa.string()), ("id", pa.string()), ("title", pa.string()), ("image", pa.string())]))
-_BLOCK = pa.list_(pa.struct([("block_ord", pa.int32()), ("sec_ord", pa.int32()), ("role", pa.string()), ("parent_block", pa.int32()), ("kind", pa.string()), ("id", pa.string()), ("style", pa.string()), ("href", pa.string()), ("alt", pa.string()), ("colspan", pa.int32()), ("rowspan", pa.int32()), ("header", pa.bool_()), ("runs", _RUN)]))
+_SECTION = pa.list_(pa.struct([("sec_ord", pa.int32()), ("parent_ord", pa.int32()), ("depth", pa.int32()), ("path", pa.list_(pa.int32())), ("body", pa.string()), ("id", pa.string()), ("title", pa.string()), ("image", pa.string()), ("alt", pa.string())]))
+_BLOCK = pa.list_(pa.struct([("block_ord", pa.int32()), ("sec_ord", pa.int32()), ("role", pa.string()), ("parent_block", pa.int32()), ("kind", pa.string()), ("id", pa.string()), ("style", pa.string()), ("href", pa.string()), ("alt", pa.string()), ("colspan", pa.int32()), ("rowspan", pa.int32()), ("header", pa.bool_()), ("heading", pa.bool_()), ("runs", _RUN)]))
 _TEXTS = ("title", "annotation", "lang", "src_lang", "date", "cover", "doc_id", "program", "publisher", "city", "year", "isbn", "original")
 SCHEMA = pa.schema([
     ("path", pa.string()), *((c, pa.string()) for c in _TEXTS), ("authors", _PERSON), ("translators", _PERSON), ("keywords", pa.list_(pa.string())),
@@ -277,7 +295,8 @@ def read(spark: SparkSession, path: str, pattern: str = "*.fb2") -> DataFrame:
 
 
 def sections(books: DataFrame) -> DataFrame:
-    return books.select(F.col("path").alias("book"), F.explode("sections").alias("s")).select("book", "s.*")
+    """Without the bodies' own titles, which are sections of depth 0."""
+    return books.select(F.col("path").alias("book"), F.explode("sections").alias("s")).select("book", "s.*").where("depth > 0")
 
 
 def blocks(books: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import metadata as M
-from lectern.operators import assembly, structure
+from lectern.functions import text_rules as R
+from lectern.operators import assembly, books, structure
 from lectern.sources import covers, fb2
 
 BOOK = """<?xml version="1.0" encoding="{encoding}"?>
@@ -92,14 +93,14 @@ def test_parser_tolerates_anything():
 def test_relations(spark, tmp_path):
     (tmp_path / "a.fb2").write_bytes(sample())
     (tmp_path / "b.fb2").write_bytes(b"nothing")
-    books = fb2.read(spark, str(tmp_path)).cache()
-    assert books.count() == 1 and fb2.sections(books).count() == 4
-    info = fb2.meta_info(books).first()
+    library = fb2.read(spark, str(tmp_path)).cache()
+    assert library.count() == 1 and fb2.sections(library).count() == 4
+    info = fb2.meta_info(library).first()
     assert (info.title, info.author, info.sections, info.has_cover) == ("Пример книги", "Лев Толстой", 2, True)
-    assert fb2.text_runs(books).where("array_contains(style, 'strong')").first().text == "первый"
-    new = covers.with_generated_cover(books, books.select("path", F.lit("image/png").alias("content_type"), F.lit(bytearray(b"x")).alias("data"))).first()
+    assert fb2.text_runs(library).where("array_contains(style, 'strong')").first().text == "первый"
+    new = covers.with_generated_cover(library, library.select("path", F.lit("image/png").alias("content_type"), F.lit(bytearray(b"x")).alias("data"))).first()
     assert new.cover == "gen-cover" and [b.id for b in new.binaries] == ["cover.jpg", "gen-cover"]
-    packed = assembly.packages(books, "2020-01-01T00:00:00Z").first().epub
+    packed = assembly.packages(library, "2020-01-01T00:00:00Z").first().epub
     with zipfile.ZipFile(io.BytesIO(packed)) as z:
         assert z.namelist()[0] == "mimetype" and z.infolist()[0].compress_type == zipfile.ZIP_STORED
 
@@ -174,3 +175,57 @@ def test_templates_and_settings(spark, tmp_path):
     assert [r.name for r in covers.templates(spark, str(tmp_path)).collect()] == ["a.jpg", "b.PNG"]
     made = column(spark, ['{"width": 5, "jpegQuality": 101, "plateWidth": 0.5}', "{}", "junk"], covers.config)
     assert [(c.width, c.jpegQuality, c.plateWidth, c.plateCenterY) for c in made] == [(5, 88, 0.5, 0.3), (0, 88, 0.8, 0.3), (0, 88, 0.8, 0.3)]
+
+
+def test_packages_and_queries_agree_on_names(spark):
+    """The packager works row by row in Python, the queries with columns: both must say the same."""
+    rng = random.Random(3)
+    ids = ["".join(rng.choice("aZ09_-./: ёé\"<") for _ in range(rng.randrange(0, 8))) for _ in range(200)]
+    assert column(spark, ids, M.safe_id) == [assembly.safe_id(x) for x in ids]
+    paths = ["/".join(rng.choice("ab") for _ in range(rng.randrange(0, 4))) + "/f.x" for _ in range(60)]
+    paths = [p.lstrip("/") for p in paths]
+    pairs = [(a, b) for a in paths[:20] for b in paths[20:]]
+    d = spark.createDataFrame(pairs, "a string, b string").select("a", "b", M.relative_path(F.col("a"), F.col("b")).alias("p"))
+    assert all(r.p == assembly.relative(r.a, r.b) for r in d.collect())
+    parts = ("", "Лев", " x")
+    people = [{"first": a, "middle": b, "last": c, "nick": e} for a in parts[:2] for b in parts[:2] for c in parts[:2] for e in parts[:2]]
+    d = spark.createDataFrame([(i, *p.values()) for i, p in enumerate(people)], "n long, first string, middle string, last string, nick string")
+    c = [F.col(x) for x in ("first", "middle", "last", "nick")]
+    for r in d.select("n", M.display_name(*c).alias("shown"), M.file_as(*c).alias("filed")).collect():
+        assert (r.shown, r.filed) == (assembly.person_name(people[r.n]), assembly.filed_name(people[r.n]))
+    contents = [sample(e) for e in ("utf-8", "windows-1251", "koi8-r")] + [b"\xff\xfe" + "x".encode("utf-16-le"), b"\xfe\xff" + "x".encode("utf-16-be"), b"\xef\xbb\xbfx", b""]
+    d = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(contents)], "n long, c binary")
+    found = dict(d.select("n", M.detected_encoding(F.col("c"))).collect())
+    assert [found[i] for i in range(3)] == ["utf-8", "windows-1251", "koi8-r"] and all(fb2.decode(x) is not None for x in contents)
+
+
+def shelf(spark, *bodies):
+    text = lambda b: f"<FictionBook xmlns:l='x'><description><title-info><book-title>T</book-title></title-info></description>{b}</FictionBook>"
+    return fb2.parse_files(spark.createDataFrame([(str(i), bytearray(text(b).encode())) for i, b in enumerate(bodies)], "path string, content binary"))
+
+
+def test_books_are_cleaned_where_they_stand(spark):
+    words = spark.createDataFrame([("слово",)], "word string")
+    body = (
+        "<body><title><p>Том, часть,вторая</p></title><epigraph><p>мало,много</p></epigraph><section id='a'><title><p> Глава -- раз </p></title><p> - Да,<strong> нет </strong> </p><p>сло- во... <emphasis>-- </emphasis></p>"
+        "<poem><stanza><v>раз,два</v></stanza></poem><p>ГЛАВА ПЯТАЯ</p><section id='b'><p>42</p><table><tr><td>1,а</td></tr></table></section></section></body><body name='notes'><section id='n'><p>да,да</p></section></body>"
+    )
+    made = shelf(spark, body, "<body><section><p>чисто</p></section></body>")
+    plain = books.clean(made, dictionary=words).where("path = '0'").first()
+    texts = ["".join(r.text for r in b.runs) for b in plain.blocks if b.runs]
+    chapter = f"Глава{chr(0xA0)}— раз"
+    assert texts == ["Том, часть, вторая", "мало, много", chapter, "— Да, нет ", "слово… — ", "раз, два", "ГЛАВА ПЯТАЯ", "42", "1, а", "да, да"]
+    assert [s.title for s in plain.sections] == ["Том, часть, вторая", chapter, "", ""] and not any(b.heading for b in plain.blocks)
+    f = books.findings(made, dictionary=words)
+    rows = f.where("book = '0'").orderBy("cont_ord", "step", "run_ord", "match_ord").collect()
+    assert [(r.rule_id, r.section) for r in rows if r.rule_id in ("sp-after-punct", "dehyph", "heading-detect", "page-number")] == [
+        ("sp-after-punct", ""), ("sp-after-punct", ""), ("dehyph", "a"), ("sp-after-punct", "a"), ("sp-after-punct", "b"), ("sp-after-punct", "n"), ("heading-detect", "a"), ("page-number", "b")]
+    assert [r.context for r in rows if r.rule_id == "sp-trim"] == ["⟦ Глава -- раз ⟧ → ⟦Глава -- раз ⟧", "⟦Глава -- раз ⟧ → ⟦Глава -- раз⟧", "⟦ - Да,⟧ → ⟦- Да,⟧", "⟦ ⟧ → ⟦⟧"]
+    assert [(r.run_ord, r.match_ord) for r in rows if r.rule_id == "dash-multi" and r.before == "--"][-1] == (1, 0)
+    marked = books.clean(made, R.DEFAULT | {"heading-detect"}, words)
+    files = {r.name: r.content.decode() for r in assembly.package_entries(marked.where("path = '0'"), "2020-01-01T00:00:00Z").collect() if not r.name.endswith("png")}
+    assert '<h4 id="h_1" class="detected-heading">ГЛАВА ПЯТАЯ</h4>' in files["OEBPS/text/chap_0001.xhtml"] and "ГЛАВА ПЯТАЯ" in files["OEBPS/nav.xhtml"]
+    assert "<h1>Том, часть, вторая</h1>" in files["OEBPS/text/front_00.xhtml"] and "<title>Том, часть, вторая</title>" in files["OEBPS/text/front_00.xhtml"]
+    assert files["OEBPS/content.opf"].index('idref="front_00"') < files["OEBPS/content.opf"].index('idref="chap_0001"')
+    assert books.clean(made, frozenset()).where("path = '1'").first().blocks[0].runs[0].text == "чисто"
+    assert books.clean(made.limit(0)).count() == 0

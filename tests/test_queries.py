@@ -11,9 +11,9 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 DATA = Path("/root/testdata/sf0.001")
 sys.path.insert(0, str(ROOT))
-from lectern.plans import book_queries, queries  # noqa: E402
+from lectern.plans import book_queries, library_queries, queries  # noqa: E402
 
-assert book_queries
+assert book_queries and library_queries
 needs_data = pytest.mark.skipif(not DATA.exists(), reason="no tables here")
 
 

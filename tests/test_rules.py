@@ -1,5 +1,7 @@
 """The rules on single paragraphs: what they make of a text, and what they report."""
 
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,14 +106,34 @@ def test_blocks(spark):
 
 
 def test_rollups(spark):
-    f = cleaning.findings(spark.createDataFrame([(i, ["да,нет ... да..нет"]) for i in range(5)], "doc_id long, runs array<string>"))
-    stats = {r.rule_id: r["count"] for r in cleaning.rule_stats(f).collect()}
+    d = spark.createDataFrame([(i, ["да,нет ... да..нет"]) for i in range(5)], "doc_id long, runs array<string>")
+    f, n = cleaning.findings(d), cleaning.finding_counts(d)
+    assert {(r.rule_id, r.level): r["count"] for r in n.collect()} == {(r.rule_id, r.level): r["count"] for r in f.groupBy("rule_id", "level").count().collect()}
+    assert cleaning.finding_counts(d.limit(0)).count() == 0
+    stats = {r.rule_id: r["count"] for r in cleaning.rule_stats(n).collect()}
     assert len(stats) == 32 and stats["sp-after-punct"] == 5 and stats["quotes"] == 0 and "sp-trim" not in stats
     report = cleaning.report(f, ["doc_id"]).collect()
     assert {(r.rule_id, r.kind) for r in report} >= {("ell-two", "suggested"), ("ell-dots", "applied")}
     assert cleaning.first_findings(f.withColumn("book", F.lit(1)), ["book"], 2).where("rule_id = 'ell-two'").count() == 2
 
 
+def test_dictionary_files(spark, tmp_path):
+    words = spark.createDataFrame([("слово",), ("дом",), ("еж",)], "word string")
+    cleaning.write_dictionary(words, str(tmp_path / "out"))
+    lines = [x for p in sorted((tmp_path / "out").glob("*.gz")) for x in gzip.open(p, "rt", encoding="utf-8").read().split()]
+    assert lines == ["дом", "еж", "слово"]
+    assert {r.word for r in cleaning.read_dictionary(spark, str(tmp_path / "out")).collect()} == set(lines)
+    (tmp_path / "raw.txt").write_bytes("Ёлка\nа\nдом, дом\nx1\nСЛОВО\n".encode("cp1251"))
+    raw = cleaning.read_word_list(spark, str(tmp_path / "raw.txt"))
+    assert {r.word for r in cleaning.dictionary_words(raw, "text").collect()} == {"елка", "дом", "слово"}
+
+
+def test_findings_of_one_rule(spark):
+    d = spark.createDataFrame([(i, [".... " * 3]) for i in range(9)], "doc_id long, runs array<string>")
+    got = cleaning.findings_of(cleaning.findings(d), "ell-dots", ["doc_id"], 7).collect()
+    assert [(r.doc_id, r.match_ord) for r in got] == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2), (2, 0)]
+
+
 def test_yo(spark):
     words = ["еще", "Еще", "ЕЩЕ", "все", "слово"]
     got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(yo.restored(F.col("w"))).collect()]
