@@ -127,6 +127,12 @@ def resolve_links(links: DataFrame, anchors: DataFrame) -> DataFrame:
     return out.select("book", "link_ord", "source", "href", target.alias("target"))
 
 
+def dangling_links(links: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The links inside a book that lead to no anchor. An extension: nothing is changed by it."""
+    own = links.where(F.startswith("href", F.lit("#"))).withColumn("id", F.expr("substring(href, 2)"))
+    return own.join(anchors.select("book", "id").distinct(), ["book", "id"], "left_anti").select("book", "link_ord", "href")
+
+
 def navigation(sections: DataFrame) -> DataFrame:
     """sections with play_order (the number in the walk) and, for each book, nav_depth."""
     w = Window.partitionBy("book")

@@ -216,13 +216,26 @@ SELECT link_ord, CASE WHEN a.ord IS NULL THEN '#' || l.id WHEN 'text/f' || (a.or
 FROM l LEFT JOIN a ON l.book = a.book AND l.id = a.id""",
 )
 def resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.resolve_links(*_links(spark, sf_dir)).select("link_ord", "target")
+
+
+@query(
+    "dangling_links",
+    """SELECT o_orderkey AS link_ord, '#c' || (o_orderkey % 50) AS href FROM orders JOIN customer c ON o_custkey = c_custkey
+WHERE NOT EXISTS (SELECT 1 FROM customer a WHERE a.c_nationkey = c.c_nationkey AND a.c_custkey % 40 = o_orderkey % 50)""",
+)
+def dangling_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.dangling_links(*_links(spark, sf_dir)).select("link_ord", "href")
+
+
+def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s = lambda c: (c).cast("string")
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     key = F.col("c_custkey")
     a = c.select(F.col("c_nationkey").alias("book"), F.concat(F.lit("c"), s(key % 40)).alias("id"), key.alias("ord"), F.concat(F.lit("text/f"), s(key % 3), F.lit(".xhtml")).alias("file"), F.concat(F.lit("x"), s(key)).alias("frag"))
     k = F.col("o_orderkey")
     links = o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_nationkey").alias("book"), k.alias("link_ord"), F.concat(F.lit("text/f"), s(k % 3), F.lit(".xhtml")).alias("source"), F.concat(F.lit("#c"), s(k % 50)).alias("href"))
-    return S.resolve_links(links, a).select("link_ord", "target")
+    return links, a
 
 
 @query(
@@ -410,3 +423,33 @@ def wrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import covers
 
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(covers.wrap_lines(F.concat_ws(" ", "p_name", "p_type", "p_brand"), 16), "|").alias("lines"))
+
+
+_PICTURES = "SELECT p_partkey, CAST(p_size * 10 * (p_partkey % 3) AS INTEGER) AS w, CAST(p_size * 7 + 5 AS INTEGER) AS h, CAST(CASE WHEN p_partkey % 7 = 0 THEN p_size * 10 * (p_partkey % 3) ELSE 60 + p_partkey % 50 END AS INTEGER) AS tw, CAST(CASE WHEN p_partkey % 7 = 0 THEN p_size * 7 + 5 ELSE 80 END AS INTEGER) AS th FROM part"
+
+
+@query(
+    "cover_crop",
+    f"""SELECT p_partkey, CAST((w - cw) // 2 AS INTEGER) AS x, CAST((h - ch) // 2 AS INTEGER) AS y, cw AS width, ch AS height FROM (
+SELECT *, CASE WHEN w = tw AND h = th OR w / h <= tw / th THEN w ELSE CAST(trunc(h * (tw / th)) AS INTEGER) END AS cw, CASE WHEN w = tw AND h = th OR w / h > tw / th THEN h ELSE CAST(trunc(w / (tw / th)) AS INTEGER) END AS ch
+FROM ({_PICTURES}) WHERE w > 0)""",
+)
+def cover_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import covers
+
+    d = table(spark, sf_dir, "part")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    width, height = (size * 10 * (k % 3)).cast("int"), (size * 7 + 5).cast("int")
+    to_width, to_height = F.when(k % 7 == 0, width).otherwise(60 + k % 50).cast("int"), F.when(k % 7 == 0, height).otherwise(80).cast("int")
+    return d.select("p_partkey", covers.crop(width, height, to_width, to_height).alias("c")).where("c is not null").select("p_partkey", "c.x", "c.y", "c.width", "c.height")
+
+
+@query("cover_pick", "SELECT p_partkey, CASE WHEN p_size % 6 = 0 THEN 'none' WHEN p_size % 6 = 1 THEN 'only' ELSE 'another' END AS pick FROM part")
+def cover_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which one is left to chance; that it is one of them, and not the last one, isn't."""
+    from ..sources import covers
+
+    n, avoid = (F.col("p_size") % 6).cast("int"), (F.col("p_partkey") % 7).cast("int") - 1
+    i = covers.picked(n, avoid, F.col("p_name"))
+    word = F.when((n == 0) & (i == -1), "none").when((n == 1) & (i == 0), "only").when((i >= 0) & (i < n) & (i != avoid), "another").otherwise("wrong")
+    return table(spark, sf_dir, "part").select("p_partkey", word.alias("pick"))

@@ -29,6 +29,25 @@ def config(text: Column) -> Column:
     )
 
 
+def crop(width: Column, height: Column, to_width: Column, to_height: Column) -> Column:
+    """The part of a picture, from its middle, that has the shape of the canvas: x, y, width, height in whole points. A picture of the canvas's size is
+    taken whole, one without a size is null."""
+    aspect = to_width.cast("double") / to_height
+    wide = width.cast("double") / height > aspect
+    same = (width == to_width) & (height == to_height)
+    own_width = F.when(~same & wide, F.floor(height.cast("double") * aspect)).otherwise(width).cast("int")
+    own_height = F.when(~same & ~wide, F.floor(width.cast("double") / aspect)).otherwise(height).cast("int")
+    place = lambda whole, part: F.floor((whole - part) / 2).cast("int")
+    return F.when((width > 0) & (height > 0), F.struct(place(width, own_width).alias("x"), place(height, own_height).alias("y"), own_width.alias("width"), own_height.alias("height")))
+
+
+def picked(n: Column, avoid: Column, key: Column) -> Column:
+    """A number below n that is told by the key as if by chance, and isn't `avoid` where there is another; -1 if n is not positive."""
+    other = (avoid >= 0) & (avoid < n)
+    r = F.pmod(F.xxhash64(key), F.greatest(F.when(other, n - 1).otherwise(n), F.lit(1))).cast("int")
+    return F.when(n <= 0, -1).when(n == 1, 0).otherwise(F.when(other & (r >= avoid), r + 1).otherwise(r))
+
+
 def wrap_lines(text: Column, width: int) -> Column:
     """Lines of at most `width` characters, filled one after the other; a longer word has a line of its own."""
     words = F.filter(F.split(text, r"[\s\x{0085}\p{Z}]+"), lambda w: w != "")
