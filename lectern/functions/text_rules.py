@@ -299,8 +299,8 @@ def counts(rule: Rule, before: str) -> list[tuple[str, str]]:
 # --- words split by a hyphen ---
 
 _DEHYPH = next(r for r in STEPS if r.id == "dehyph")
-#: Stands in every run that has a split word; cheaper than the rule's own pattern.
-SPLIT_HINT = r"\p{L}-[ \t\r\n]+\p{Ll}"
+#: Stands in every run that will have a split word when invisible characters are gone.
+SPLIT_HINT = rf"\p{{L}}{STEPS[0].pattern}*-{STEPS[0].pattern}*[ \t\r\n]"
 
 
 def dictionary_form(x: str) -> str:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,15 +32,18 @@ class Step:
     counts: Callable[[str], list[tuple[str, str]]]
 
 
-def with_known_words(df: DataFrame, runs: str, keys: list[str], dictionary: DataFrame | None) -> DataFrame:
-    """df with `known`: which words of the row, split by a hyphen, the dictionary (column word) has when joined."""
+def with_known_words(df: DataFrame, runs: str, keys: list[str], dictionary: DataFrame | None, nested: bool = False, prepared: Callable[[str], str] = lambda c: c) -> DataFrame:
+    """df with `known`: which words of the row, split by a hyphen, the dictionary (column word) has when joined. prepared: SQL of a container as it is
+    when its words are joined."""
     none = F.array().cast("array<string>")
     if dictionary is None:
         return df.withColumn("known", none)
     own = [f"__{k}" for k in keys]
-    split = F.exists(F.expr(f"transform({runs}, r -> r rlike {R.literal(R.SPLIT_HINT)})"), lambda x: x)
-    some, others = df.where(split), df.where(~F.coalesce(split, F.lit(False))).withColumn("known", none)
-    words = some.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.explode(F.expr(R.split_candidates(runs))).alias("word"))
+    # Told from the text as it comes, so that most rows are looked at once and go on.
+    split = F.coalesce(F.expr(f"exists({f'flatten({runs})' if nested else runs}, r -> r rlike {R.literal(R.SPLIT_HINT)})"), F.lit(False))
+    some, others = df.where(split), df.where(~split).withColumn("known", none)
+    ready = f"flatten(transform({runs}, c -> {prepared('c')}))" if nested else prepared(runs)
+    words = some.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.explode(F.expr(R.split_candidates(ready))).alias("word"))
     # The planner broadcasts the dictionary if its size allows, and shuffles otherwise; words that many texts share meet it once.
     found = words.distinct().join(dictionary.select("word").distinct(), "word", "left_semi")
     found = found.groupBy(*own).agg(F.collect_set("word").alias("known"))
@@ -51,6 +55,9 @@ def steps(df: DataFrame, runs: str, keys: list[str], enabled: Collection[str] =
     """df with a column for the text after every step that ran; unused ones cost nothing, as the optimizer drops them. nested: runs is an array
     of containers."""
     done: list[Step] = []
+    if "dehyph" in enabled:
+        first = [r for r in R.STEPS[: R.STEPS.index(R.BY_ID["dehyph"])] if r.id in enabled]
+        df = with_known_words(df, runs, keys, dictionary, nested, lambda c: reduce(lambda x, rule: R.step(rule, x), first, R.trim(c)))
 
     def put(rule: R.Rule, expression: Callable[[str], str] | None, found: Callable[[str, str], str], counts: Callable[[str], list[tuple[str, str]]]) -> None:
         nonlocal df
@@ -68,8 +75,6 @@ def steps(df: DataFrame, runs: str, keys: list[str], enabled: Collection[str] =
             continue
         own = lambda b, rule=rule: R.counts(rule, b)
         if rule.scope == "dictionary":
-            now = done[-1].after
-            df = with_known_words(df, f"flatten({now})" if nested else now, keys, dictionary)
             put(rule, R.dehyph, lambda b, a: R.dehyph_findings(b), own)
         else:
             put(rule, (lambda b, rule=rule: R.step(rule, b)) if on and rule.mutates else None, lambda b, a, rule=rule: R.findings(rule, b, a), own)
