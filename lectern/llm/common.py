@@ -159,6 +159,7 @@ def library_memo(description: str, ordinary: bool = True, most: int = 16 << 20):
 
     tokenizer = Tokenizer.from_str(description)
     tokenizer.encode_special_tokens = ordinary
+    give_back()
     return PieceMemo(tokenizer, most)
 
 
