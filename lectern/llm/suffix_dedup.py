@@ -47,7 +47,7 @@ GRAM = 16
 #: Bytes that are hashed at once, and stretches of a long text.
 CHUNK, STRETCH = 1 << 18, 1 << 20
 #: Strings of a portion that gets a suffix array of its own, and of a level that are looked at at once.
-PORTION, BLOCK = 1 << 17, 1 << 15
+PORTION, BLOCK = 1 << 19, 1 << 15
 NULL_ID = (1 << 63) - 1
 _U = np.uint64
 
@@ -248,7 +248,7 @@ class Family:
 
     def strings(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """All have the full length, so nothing hangs on the padding of this type."""
-        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, self.length)[at]).view(f"S{self.length}").reshape(-1)
+        return np.ndarray((max(0, len(data) - self.length + 1),), f"S{self.length}", data, 0, (1,))[at]
 
     def _matches(self, wanted: np.ndarray, data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two sorted runs, scanned side by side, a block of the level at a time: which of the wanted strings stand in the level, and where."""
@@ -490,7 +490,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(spark)
     total = df.agg(F.sum(F.octet_length(df[text_col]) + 64)).first()[0] or 0
     batches = max(1, min(most_batches, -(-total // batch_bytes)))
-    shards = -(-batches // 2)
+    shards = batches
     labels = batch_labels(spark, batches)
     others = [c for c in df.columns if c not in (id_col, text_col)] if carry else []
     names = [f"c{k}" for k in range(len(others))]
