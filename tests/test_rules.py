@@ -152,3 +152,29 @@ def test_stream(spark, tmp_path):
     q = streaming.clean_stream(stream).writeStream.format("memory").queryName("cleaned").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.runs[0] for r in spark.table("cleaned").collect()} == {"да, нет", "сло- во"}
+
+
+@pytest.mark.parametrize("mark", ["", R.MARK])
+def test_contexts_where_matches_crowd(spark, mark):
+    """Contexts reach over many matches; a text may hold the mark that it is cut at."""
+    text = "а(c)(C)б (c)" * 9 + mark + "(c)" * 30 + "конец" + mark
+    got = reported(spark, text, enabled={"sym-copy"})
+    at = [i for i in range(len(text)) if text[i : i + 3].lower() == "(c)"]
+    want = [(text[max(i - 12, 0) : i] + "⟦" + text[i : i + 3] + "⟧" + text[i + 3 : i + 15], text[i : i + 3], "©") for i in at]
+    assert [(r.context, r.before, r.after) for r in got if r.rule_id == "sym-copy"] == want
+
+
+def test_contexts_show_what_was_changed_before_in_the_same_step(spark):
+    text = "в " * 20 + "дом, 1-2, 3-4, 5 г. 6 г. 7 г. и"
+    changed = "".join(N if c == " " and text[i - 1] == "в" else c for i, c in enumerate(text))
+    got = [r for r in reported(spark, text, enabled={"nbsp-prep"}) if r.rule_id == "nbsp-prep"]
+    assert [r.context for r in got] == [changed[max(2 * k - 12, 0) : 2 * k] + "⟦в ⟧" + text[2 * k + 2 : 2 * k + 14] for k in range(20)]
+
+
+@pytest.mark.parametrize("rule", [r for r in R.STEPS if r.pattern and len(r.passes) == 1], ids=lambda r: r.id)
+def test_a_text_without_the_mark_is_looked_through_once(rule):
+    """By the rule's own pattern: what is cut apart is marked, and the mark is what the text is split at."""
+    pattern = R.literal(rule.spans or rule.pattern)
+    sql = R._pieces("x", rule.spans or rule.pattern)
+    usual = sql[sql.index("split(regexp_replace(") :]
+    assert usual.count(pattern) == 1 and "rlike" not in R._spans("x", rule.spans or rule.pattern, "t.m", "''", "0", "'A'")
