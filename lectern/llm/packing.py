@@ -24,6 +24,8 @@ Rows that repeat a doc_id are packed one by one. An empty table gives an empty r
 from __future__ import annotations
 
 import bisect
+import itertools
+import json
 import re
 import sys
 import unicodedata
@@ -38,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ChunkMemo, batch_labels, char_class, library_memo, partitions, scratch_table, small_batches, thrifty, written
+from .common import LONGEST, ChunkMemo, batch_labels, char_class, library_memo, partitions, scratch_table, small_batches, thrifty, written
 
 #: The budget of the search; buckets that a table can have.
 WORK, MOST_BUCKETS = 200_000, 100_000
@@ -71,8 +73,8 @@ def token_ids(texts: pa.Array, memo: ChunkMemo) -> list[bytes]:
     spaced = pc.replace_substring_regex(low, pattern=f"([{_SIGNS}]+)", replacement=r" \1 ")
     words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(low, _UNSURE), low, spaced))
     coded = words.flatten().dictionary_encode()
-    blobs = memo.of(coded.dictionary.to_pylist())
-    sizes = np.array([len(b) for b in blobs], np.int64) // 4
+    blobs = memo.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+    sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
     pool, begin = np.frombuffer(b"".join(blobs), "<u4"), np.r_[0, np.cumsum(sizes)]
     word = coded.indices.to_numpy(zero_copy_only=False)
     n = sizes[word]
@@ -87,14 +89,77 @@ def cut_chunk(chunk: str) -> list[str]:
     return [chunk] if OTHERS.search(chunk) else WORDS.findall(chunk.lower())
 
 
-_MEMOS: dict[str, ChunkMemo] = {}
-
-
-def word_memo(description: str) -> ChunkMemo:
+#: Bytes as the tokenizer spells them: printable Latin-1 as it is, the others from U+0100 on; for str.translate.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SPELLED = dict(zip([*_SHOWN, *sorted(set(range(256)) - set(_SHOWN))], map(chr, [*_SHOWN, *range(0x100, 0x144)]), strict=True))
+_SPELL = {ord(c): "".join(_SPELLED[b] for b in c.lower().encode()) for c in _PLAIN if unicodedata.category(c)[0] == "L"}
+_WORD = re.compile(f"[{''.join(map(chr, _SPELL))}]+")
+
+
+class WordMemo(ChunkMemo):
+    """A ChunkMemo that hands new chunks which are a word of plain letters to the merges directly: what the tokenizer does before them is lower case and
+    the spelling of bytes, which is done for all words at once. A word ends with a token that says so."""
+
+    def __init__(self, description: str):
+        super().__init__(library_memo(description, ordinary=False), cut_chunk, " ")
+        self.merges = self.last = None
+        told = json.loads(description)
+        spelled = "ByteLevel" in json.dumps(told.get("pre_tokenizer"))
+        if spelled and told["model"].get("type") == "BPE" and (suffix := told["model"].get("end_of_word_suffix")):
+            from tokenizers import Tokenizer
+
+            bare = {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+            self.merges = Tokenizer.from_str(json.dumps(told | bare))
+            vocabulary = told["model"]["vocab"]
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def words(self, words: list[str]) -> list[bytes | None]:
+        """The ids of words of plain letters; None where they can't be told apart."""
+        out: list[bytes | None] = []
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            e = self.merges.encode_batch_fast([" ".join(part).translate(_SPELL)], add_special_tokens=False)[0]
+            ids = np.array(e.ids, "<u4")
+            cuts = [0, *((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()]
+            data = ids.tobytes()
+            told = len(cuts) == len(part) + 1 and cuts[-1] == len(data)
+            out += [data[a:b] for a, b in itertools.pairwise(cuts)] if told else [None] * len(part)
+        return out
+
+    def of(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks."""
+        if self.size > self.most // 2:
+            self.before = dict(self)  # nothing long is kept
+            self.clear()
+            self.size = 0
+        out = list(map(self.get, chunks))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        words, others = [], []
+        for k in missing:
+            out[k] = self.before.get(chunks[k])
+            if out[k] is None:
+                (words if self.merges is not None and _WORD.fullmatch(chunks[k]) else others).append(k)
+        for k, ids in zip(words, self.words([chunks[k] for k in words]), strict=True):
+            out[k] = ids
+            if ids is None:
+                others.append(k)
+        for k, ids in zip(others, self.pieces.joined([self.cut(chunks[k]) for k in others], self.joiner), strict=True):
+            out[k] = ids
+        for k in missing:
+            if len(chunks[k]) <= LONGEST:
+                self.keep(chunks[k], out[k])
+        return out
+
+
+_MEMOS: dict[str, WordMemo] = {}
+
+
+def word_memo(description: str) -> WordMemo:
     """One a worker process."""
     if description not in _MEMOS:
         _MEMOS.clear()
-        _MEMOS[description] = ChunkMemo(library_memo(description, ordinary=False), cut_chunk, " ")
+        _MEMOS[description] = WordMemo(description)
     return _MEMOS[description]
 
 
@@ -356,4 +421,6 @@ def best_fit_pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     rank = F.element_at("starts", F.struct("task", "length")) + F.col("rank")
     place = F.arrow_udf(run, "sequence_id long, offset long").asNondeterministic()("length", "first")
     names = [c for c in cut.columns if c not in ("part", "task", "rank")]
-    return placed.select(*names, rank.alias("first")).select(*names, place.alias("place")).select(*names, "place.sequence_id", "place.offset")
+    # Rows wait for Python on disk, with all that the call's arguments are made of. The explode of one rank keeps the bucket's map out of each row.
+    placed = placed.select(*names, F.explode(F.array(rank)).alias("first"))
+    return placed.select(*names, place.alias("place")).select(*names, "place.sequence_id", "place.offset")

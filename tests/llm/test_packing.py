@@ -125,3 +125,34 @@ def test_edges(spark):
     assert sorted((r.doc_id or 0, r.length) for r in rows) == [(0, 1), (1, 1), (1, 1)] and len({r.sequence_id for r in rows}) == 1
     clash = docs(spark, ["a"]).selectExpr("doc_id", "text", "1 as part", "2 as kind", "3 as length")
     assert P.best_fit_pack(clash, PATH).count() == 1
+
+
+def test_rows_that_wait_for_python_are_narrow(spark):
+    """They are kept on disk meanwhile: with the map of where ranks begin in each row, that was four times the input."""
+    plan = P.best_fit_pack(docs(spark, ["a b", "c"]), PATH)._jdf.queryExecution().optimizedPlan()
+    found = []
+
+    def walk(node):
+        if node.nodeName() == "ArrowEvalPython":
+            found.append(node.children().apply(0).schema().simpleString())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(plan)
+    assert len(found) == 1 and "map<" not in found[0], found
+
+
+def test_words_of_plain_letters_go_to_the_merges_directly(library):
+    memo = P.word_memo(open(PATH, encoding="utf-8").read())
+    letters = [c for c in map(chr, P._SPELL)]
+    words = sorted({*letters, *(c + "a" for c in letters), "thonre", "éelleoule", "ÉLÈVE", "straße", "x" * 300, *(f"{a}{b}on" for a in letters[:80] for b in letters[-90:])})
+    assert all(ids is not None for ids in memo.words(words))
+    assert memo.words(words) == [np.array(library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    pieces = []
+    memo.pieces.joined = lambda texts, joiner, f=memo.pieces.joined: pieces.extend(texts) or f(texts, joiner)
+    assert memo.of([*words, "a1"])[:-1] == memo.words(words) and pieces == [["a", "1"]]
+    # Words that the last tokens don't tell apart are left to the library.
+    memo.clear()
+    memo.last[:] = False
+    assert memo.of(["abc", "def"]) == [np.array(library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in ("abc", "def")]
+    P._MEMOS.clear()
