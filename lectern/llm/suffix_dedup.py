@@ -10,7 +10,8 @@ they stand. Neighbouring strings share theirs, so a text falls into runs of stri
    read it without another shuffle. A batch tells each shard of grams, in sorted 32-bit codes, which grams it has; the shard answers which
    of them another document has too. Wrong agreements of codes cost work, not results.
 2. For those, the batch sends the context of each run - the bytes of its strings, equal contexts of a batch once, with their smallest
-   id - to the gram's shard. A shard takes contexts in the order of ids, in portions. A portion gets a suffix array: the places of its strings,
+   id - to the gram's shard. A shard, too, looks at equal contexts once, and puts strings aside that no other one shares its hash with. It takes
+   contexts in the order of ids, in portions. A portion gets a suffix array: the places of its strings,
    sorted by eight bytes, ties by the next eight, up to `length`. It is merge-scanned, block by block, against the suffix arrays of the existing levels
    for strings of an earlier document, and becomes a level of what is new; levels of like size merge, so there are logarithmically many. A level
    is a text and sorted places in it, of 8 bytes for each string. The shard answers which strings of a context have an earlier holder.
@@ -152,6 +153,31 @@ def string_hashes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+def equal_contexts(data: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """first, last: where the first and the last string of each run begin. Of each run the number of its context, and of each context the place of a
+    run. Runs of one hash are compared byte by byte."""
+    of, places, todo = np.zeros(len(key), np.int64), [], np.arange(len(key))
+    while len(todo):
+        _, lead, group = np.unique(key[todo], return_index=True, return_inverse=True)
+        like = todo[lead][group]
+        more = last[todo] - first[todo]
+        same = more == last[like] - first[like]
+        for step in [*range(0, int(more.max()), length), None]:
+            ends = more if step is None else np.minimum(more, step)
+            for k in _offsets(length):
+                # Of another length, it may reach over the end.
+                same[same] = words_at(data, (first[todo] + ends + k)[same]) == words_at(data, (first[like] + ends + k)[same])
+        of[todo[same]] = sum(map(len, places)) + group[same]
+        places.append(todo[lead])
+        todo = todo[~same]
+    return of, np.concatenate(places) if places else np.zeros(0, np.int64)
+
+
+def context_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, own: np.ndarray, length: int) -> np.ndarray:
+    """own: the hashes of the first strings."""
+    return own ^ (string_hashes(data, last, length) * _U(0x94D049BB133111EB) + (last - first).astype(_U)) if len(own) else own
+
+
 class Contexts:
     """Contexts of the runs whose gram another document has too, equal ones once: where one stands, its number of strings and its smallest id."""
 
@@ -167,10 +193,8 @@ class Contexts:
         self.doc = np.r_[texts.doc[plain], np.repeat(texts.doc[hot], n)]
         ids = texts.ids[self.doc]
         own = string_hashes(texts.bytes, self.first, texts.length) if len(self.first) else np.zeros(0, _U)
-        key = own.copy()
-        if len(key):
-            key ^= string_hashes(texts.bytes, self.last, texts.length) * _U(0x94D049BB133111EB) + (self.last - self.first).astype(_U)
-        self.of, self.place = self._equal(texts, key)
+        key = context_hashes(texts.bytes, self.first, self.last, own, texts.length)
+        self.of, self.place = equal_contexts(texts.bytes, self.first, self.last, key, texts.length)
         self.least = np.full(len(self.place), NULL_ID, np.int64)
         np.minimum.at(self.least, self.of, ids)
         shard = (codes >> _U(32)).astype(np.int64)[inverse[plain]] if len(plain) else np.zeros(0, np.int64)
@@ -178,21 +202,6 @@ class Contexts:
         self.strings = (self.last - self.first + 1)[self.place]
         self.order = np.argsort(self.target, kind="stable")
 
-    def _equal(self, texts: Texts, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each run the number of its context, and of each context the place of a run. Runs of one hash are compared byte by byte."""
-        of, places, todo = np.zeros(len(key), np.int64), [], np.arange(len(key))
-        while len(todo):
-            _, lead, group = np.unique(key[todo], return_index=True, return_inverse=True)
-            like = todo[lead][group]
-            same = (self.last - self.first)[todo] == (self.last - self.first)[like]
-            for ends in (self.first, self.last):
-                for k in _offsets(texts.length):
-                    same &= words_at(texts.bytes, ends[todo] + k) == words_at(texts.bytes, ends[like] + k)
-            of[todo[same]] = sum(map(len, places)) + group[same]
-            places.append(todo[lead])
-            todo = todo[~same]
-        return of, np.concatenate(places) if places else np.zeros(0, np.int64)
-
     def by_shard(self) -> Iterator[tuple[int, np.ndarray]]:
         own = self.target[self.order]
         if not len(own):
@@ -299,25 +308,67 @@ class Family:
         return out
 
 
+def repeated(data: np.ndarray, begin: np.ndarray, strings: np.ndarray, length: int) -> np.ndarray:
+    """Of the strings of all contexts, one after the other, whether another one has the same hash. The others stand once, so nobody else holds them."""
+    ends = np.cumsum(strings)
+    total = int(ends[-1]) if len(ends) else 0
+    low = _U((1 << total.bit_length()) - 1)
+    h = np.empty(total, _U)
+    s = 0
+    while s < len(strings):
+        a = int(ends[s] - strings[s])
+        e = max(s + 1, int(np.searchsorted(ends, a + PORTION, side="right")))
+        h[a : int(ends[e - 1])] = string_hashes(data, spans(begin[s:e], strings[s:e]), length)
+        s = e
+    # The low bits tell which string it is, so that one sort of plain numbers does.
+    h &= ~low
+    h |= np.arange(total, dtype=_U)
+    h.sort()
+    like = (h[1:] ^ h[:-1]) <= low
+    h &= low
+    out = np.zeros(total, bool)
+    for own in (h[1:], h[:-1]):
+        out[own[like].astype(np.int64)] = True
+    return out
+
+
 def earlier_holders(data: np.ndarray, strings: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
     """data: contexts, one after the other; strings: how many each has. Of each context a mask: bit i is set if its i-th string stands in a
-    context with a smaller id."""
+    context with a smaller id. Equal contexts are looked at once, and of those the strings that stand in more than one."""
+    first = np.cumsum(strings + length - 1) - (strings + length - 1)
+    last = first + strings - 1
+    key = context_hashes(data, first, last, string_hashes(data, first, length), length)
+    of, place = equal_contexts(data, first, last, key, length)
+    least = np.full(len(place), NULL_ID, np.int64)
+    np.minimum.at(least, of, ids)
+    place = place[order := np.argsort(least, kind="stable")]
+    out = np.zeros(len(order), _U)
+    out[order] = _earlier(data, first[place], strings[place], least[order], length)
+    out = out[of]
+    out[ids > least[of]] = ~_U(0)
+    return out
+
+
+def _earlier(data: np.ndarray, begin: np.ndarray, strings: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """earlier_holders of different contexts in the order of ids, which begin at `begin`."""
     out = np.zeros(len(ids), _U)
-    size = strings + length - 1
-    begin = np.cumsum(size) - size
-    order = np.argsort(ids, kind="stable")
+    flags = repeated(data, begin, strings, length)
+    ends = np.cumsum(strings)
+    total = np.r_[0, np.cumsum(flags)][ends]  # strings to look at, up to the end of each context
     family = Family(length)
-    total = np.cumsum(strings[order])
     s = 0
-    while s < len(order):
+    while s < len(ids):
         e = max(s + 1, int(np.searchsorted(total, (total[s - 1] if s else 0) + PORTION, side="right")))
-        part = order[s:e]
-        n = strings[part]
-        text = data[spans(begin[part], size[part])]
-        bit = spans(np.zeros(len(part), np.int64), n)
-        earlier = family.scan(text, np.repeat(np.cumsum(size[part]) - size[part], n) + bit, np.repeat(ids[part], n))
-        # Bits of one context are distinct, so they add up to its mask.
-        np.add.at(out, np.repeat(part, n)[earlier], _U(1) << bit[earlier].astype(_U))
+        flag = flags[int(ends[s] - strings[s]) : int(ends[e - 1])]
+        if flag.any():
+            n = strings[s:e]
+            part = np.repeat(np.arange(s, e), n)[flag]
+            bit = spans(np.zeros(e - s, np.int64), n)[flag]
+            used, own = np.unique(part, return_inverse=True)
+            size = strings[used] + length - 1
+            earlier = family.scan(data[spans(begin[used], size)], (np.cumsum(size) - size)[own] + bit, ids[part])
+            # Bits of one context are distinct, so they add up to its mask.
+            np.add.at(out, part[earlier], _U(1) << bit[earlier].astype(_U))
         s = e
     return out
 

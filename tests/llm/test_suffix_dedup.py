@@ -116,6 +116,20 @@ def test_equal_hashes_are_told_apart(monkeypatch):
     assert all(c.least[min(k)] == min(held[context]) for context, k in of.items()) and any(len(set(v)) > 1 for v in held.values())
 
 
+def test_shards_sort_only_strings_of_several_contexts(monkeypatch):
+    rng = random.Random(11)
+    texts = [bytes(rng.choice(b"abcdefgh ") for _ in range(80)) for _ in range(40)]
+    contexts = [*texts, *texts[:20], texts[30][5:70] + b"!" * 9]  # copies, and 16 strings of another context
+    ids = np.array([*range(100, 140), *range(20), 7])
+    seen, scan = [], S.Family.scan
+    monkeypatch.setattr(S.Family, "scan", lambda self, data, places, ids: seen.extend(places) or scan(self, data, places, ids))
+    masks = S.earlier_holders(np.frombuffer(b"".join(contexts), np.uint8), np.array([len(c) - 49 for c in contexts]), ids, 50).tolist()
+    assert len(seen) == 32
+    bits = [[m >> k & 1 for k in range(len(c) - 49)] for c, m in zip(contexts, masks, strict=True)]
+    shared = [1 if 5 <= k < 21 else 0 for k in range(31)]
+    assert bits == [[1] * 31] * 20 + [[0] * 31] * 10 + [shared] + [[0] * 31] * 9 + [[0] * 31] * 20 + [[0] * 25]
+
+
 def test_edges(spark):
     assert S.digests(docs(spark, [])).count() == 0
     line = "x" * 20 + "abcdefghijklmnopqrstuvwxyz0123456789 and some more of it"
