@@ -1,7 +1,8 @@
 """The rules over whole books: every container of a parsed book is cleaned where it stands, and headings are marked where they are accepted.
 
 A book stays one row. Its containers are the runs of its paragraphs, titles, verses, cells and so on; the steps go over the array of them as column
-expressions. Only books with split words meet the dictionary; nothing else is shuffled.
+expressions. What the dictionary has of all split words is looked up first, by a job of its own; only where they are many, books that have some meet the dictionary in a join. Nothing else is
+shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text_rules as R
+from ..sources import fb2
 from . import cleaning
 
 #: A run that is styled, linked or an image can't be trimmed, nor begin a line of speech: an empty run without style stands before or after it.
@@ -30,7 +32,7 @@ def _trimmed(x: str) -> str:
 
 def _steps(books: DataFrame, enabled: Collection[str], dictionary: DataFrame | None) -> tuple[DataFrame, list[cleaning.Step]]:
     if "dehyph" in enabled and dictionary is not None and not books.is_cached:
-        # Three branches read them, which meet the dictionary or go around it; a parse is dearer than a read from disk.
+        # Their split words are gathered before they are cleaned; a parse is dearer than a read from disk.
         books = books.persist(StorageLevel.DISK_ONLY)
     return cleaning.steps(books.withColumn("__containers", F.expr(_CONTAINERS)), "__containers", ["path"], enabled, dictionary, nested=True)
 
@@ -54,9 +56,11 @@ def clean(books: DataFrame, enabled: Collection[str] = R.DEFAULT, dictionary: Da
         df = df.withColumn("__headings", F.transform("blocks", lambda b: R.is_heading(F.array_join(F.transform(b["runs"], lambda r: r["text"]), ""))))
         df = df.withColumn("blocks", F.expr(f"zip_with(blocks, __headings, (b, h) -> named_struct({fields}, 'heading', b.heading or ({here} and h), 'runs', b.runs))"))
     heads = "filter(blocks, b -> b.role = 'title' and b.parent_block is null and b.kind in ('paragraph', 'subtitle'))"
-    df = df.withColumn("__heads", F.expr(f"transform({heads}, b -> named_struct('sec_ord', b.sec_ord, 'text', {_trimmed(_TEXT)}))"))
-    title = _trimmed("array_join(transform(filter(__heads, h -> h.sec_ord = s.sec_ord and h.text <> ''), h -> h.text), ' ')")
-    df = df.withColumn("sections", F.expr(f"transform(sections, s -> named_struct('sec_ord', s.sec_ord, 'parent_ord', s.parent_ord, 'depth', s.depth, 'path', s.path, 'body', s.body, 'id', s.id, 'title', {title}, 'image', s.image, 'alt', s.alt))"))
+    made = f"filter(transform({heads}, b -> named_struct('sec_ord', b.sec_ord, 'text', {_trimmed(_TEXT)})), h -> h.text <> '')"
+    title = _trimmed("array_join(transform(filter(heads_, h -> h.sec_ord = s.sec_ord), h -> h.text), ' ')")
+    anew = f"transform(sections, s -> named_struct('sec_ord', s.sec_ord, 'parent_ord', s.parent_ord, 'depth', s.depth, 'path', s.path, 'body', s.body, 'id', s.id, 'title', {title}, 'image', s.image, 'alt', s.alt))"
+    # Heads are found once for all sections: what a lambda captures is evaluated again and again.
+    df = df.withColumn("sections", F.expr(f"transform(array({made}), heads_ -> {anew})[0]"))
     return df.select(*columns)
 
 
@@ -80,7 +84,7 @@ def findings(books: DataFrame, enabled: Collection[str] = R.DEFAULT, dictionary:
 
 def _whole(df: DataFrame, after: str) -> DataFrame:
     """Findings of the structural rules, given the column after the last step."""
-    whole = _cleaned(df, after).select(F.col("path").alias("book"), "sections", F.posexplode("blocks").alias("at", "b"))
+    whole = _cleaned(df, after).select(F.col("path").alias("book"), "sections", F.posexplode(fb2.each("blocks")).alias("at", "b"))
     whole = whole.where("b.role = 'content' and b.kind = 'paragraph' and b.parent_block is null")
     whole = whole.select("book", F.get("sections", F.col("b.sec_ord"))["id"].alias("section"), (F.col("at") + F.lit(1 << 24)).alias("cont_ord"), F.expr(_TEXT).alias("t"))  # after all containers
     return cleaning.block_findings(whole, "t", ["book", "section", "cont_ord"])

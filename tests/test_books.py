@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import metadata as M
 from lectern.functions import text_rules as R
-from lectern.operators import assembly, books, structure
+from lectern.operators import assembly, books, cleaning, structure
 from lectern.sources import covers, fb2
 
 BOOK = """<?xml version="1.0" encoding="{encoding}"?>
@@ -250,3 +250,25 @@ def test_a_book_is_parsed_once(spark):
     found = books.findings(df, dictionary=words).collect()
     assert parsed.value == 6
     assert {r.section for r in found} == {"a"} and sum(r.rule_id == "dehyph" for r in found) == 6 and sum(r.rule_id == "page-number" for r in found) == 6
+
+
+BODY = (
+    "<body><title><p>Том - раз, два</p></title><section id='a'><title><p>Глава</p><p> </p><p>ПЕРВАЯ</p></title><p> Он сказал \"да \"нет\" да\" - и ушёл -- так, сло- во и к дому</p><p>ккк- ппп  xа д0м т. д.</p>"
+    "<p>ГЛАВА ПЯТАЯ</p><section id='b'><p>42</p><p>- Да<strong>,нет (c) 5 %</strong></p></section></section><section id='b'><p>раз  два</p></section></body>"
+)
+
+
+def test_rules_run_once_for_each_book(spark):
+    """Where blocks are taken out of cleaned books, the planner must not infer filters that clean them once more; with few split words no book is shuffled."""
+    words = spark.createDataFrame([("слово",)], "word string")
+    df = fb2.blocks(books.clean(shelf(spark, BODY, BODY), R.DEFAULT | {"heading-detect"}, words)).where("kind = 'paragraph'").select("book", "runs", "heading")
+    plan = df._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+    assert plan.count(R.BY_ID["dash-multi"].pattern) == 1 and "Join" not in plan and "Union" not in plan
+    assert "Он сказал «да „нет“ да» — и ушёл — так, слово и к дому" in ["".join(r.text for r in b.runs).replace(chr(0xA0), " ") for b in df.where("book = '0'").collect()]
+
+
+def test_many_split_words_meet_the_dictionary_in_a_join(spark, monkeypatch):
+    words = spark.createDataFrame([("слово",)], "word string")
+    few = books.clean(shelf(spark, BODY), dictionary=words).first()
+    monkeypatch.setattr(cleaning, "FEW", 1)
+    assert books.clean(shelf(spark, BODY), dictionary=words).first() == few
