@@ -8,6 +8,7 @@ shuffled.
 from __future__ import annotations
 
 from collections.abc import Collection
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -82,6 +83,33 @@ def findings(books: DataFrame, enabled: Collection[str] = R.DEFAULT, dictionary:
     return out.unionByName(blocks.select(*names))
 
 
+def finding_counts(books: DataFrame, enabled: Collection[str] = R.DEFAULT, dictionary: DataFrame | None = None, only: Collection[str] | None = None) -> DataFrame:
+    """book, section (its id), rule_id, level, count: how many findings each section has, without making them; rules that find nothing there have no row."""
+    df, done = _steps(books, enabled, dictionary)
+    own = df.withColumn("__section", F.expr("transform(blocks, b -> get(sections, b.sec_ord).id)"))
+    kinds, at = [], [F.col("__section")]
+    for s in done:
+        if only is not None and s.rule.id not in only:
+            continue
+        for level, n in s.counts("b"):
+            # What a step left as it was holds none of its findings, but for those that only suggest.
+            count = f"zip_with({s.before}, {s.after}, (b, a) -> if(b = a, 0, {n}))" if s.after != s.before and s.rule.scope != "dictionary" else f"transform({s.before}, b -> {n})"
+            own = own.withColumn(f"__n{len(kinds)}", F.expr(count))
+            at.append(F.col(f"__n{len(kinds)}"))
+            kinds.append((s.rule.id, level))
+    names = ["book", "section", "rule_id", "level", "count"]
+    parts = []
+    if kinds:
+        rows = own.select(F.col("path").alias("book"), F.inline(F.arrays_zip(*at))).withColumnRenamed("__section", "section")
+        sums = rows.groupBy("book", "section").agg(*[F.sum(f"__n{k}").alias(f"__n{k}") for k in range(len(kinds))])
+        each = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(level).alias("level"), F.col(f"__n{k}").alias("count")) for k, (r, level) in enumerate(kinds)])
+        parts.append(sums.select("book", "section", F.inline(F.filter(each, lambda x: x["count"] > 0))))
+    whole = [r.id for r in R.BLOCK_RULES if only is None or r.id in only]
+    if whole or not kinds:
+        parts.append(_whole(df, done[-1].after).where(F.col("rule_id").isin(*whole)).groupBy(*names[:-1]).count())
+    return reduce(DataFrame.unionByName, parts).select(*names)
+
+
 def _whole(df: DataFrame, after: str) -> DataFrame:
     """Findings of the structural rules, given the column after the last step."""
     whole = _cleaned(df, after).select(F.col("path").alias("book"), "sections", F.posexplode(fb2.each("blocks")).alias("at", "b"))

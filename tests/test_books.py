@@ -272,3 +272,15 @@ def test_many_split_words_meet_the_dictionary_in_a_join(spark, monkeypatch):
     few = books.clean(shelf(spark, BODY), dictionary=words).first()
     monkeypatch.setattr(cleaning, "FEW", 1)
     assert books.clean(shelf(spark, BODY), dictionary=words).first() == few
+
+
+@pytest.mark.parametrize("only", [None, {"quotes", "dehyph", "mixed-alpha", "ocr-digit"}, {"heading-detect", "page-number"}, {"sp-trim"}])
+def test_findings_of_sections_are_counted_without_being_made(spark, only):
+    words = spark.createDataFrame([("слово",)], "word string")
+    made = shelf(spark, BODY, BODY.replace("Он", "Она"), "<body><section><p>чисто</p></section></body>")
+    enabled = R.DEFAULT | {"ell-two"}
+    names = ["book", "section", "rule_id", "level"]
+    found = books.findings(made, enabled, words, only).groupBy(*names).count().collect()
+    counted = books.finding_counts(made, enabled, words, only).collect()
+    assert sorted(map(tuple, counted)) == sorted(map(tuple, found)) and counted
+    assert only is not None or {("dehyph", "B"), ("dehyph", "C"), ("quotes", "B"), ("page-number", "C"), ("ocr-digit", "C"), ("mixed-alpha", "C")} <= {(r.rule_id, r.level) for r in counted}
